@@ -33,8 +33,8 @@ def window_hash(hashes: Column, i: Column, width: int) -> Column:
 
 
 def candidate(width: int):
-    """The window that starts at word i, as (h, width, i)."""
-    return lambda i: F.struct(window_hash(F.col("hs"), i, width).alias("h"), F.lit(width).alias("width"), i.alias("i"))
+    """The hash of the window of ``width`` words that starts at word i."""
+    return lambda i: window_hash(F.col("hs"), i, width)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -58,18 +58,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     keyed = mark if keyed is None else keyed.unionAll(mark)
     base = docs.select("doc_id", norm_words(F.col("text")).alias("words"))
     base = base.select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
-    size = F.size("words")
-    parts = [F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("width"), F.lit(0).alias("i")))]
+    # one long per window, in a projection of its own: the explode and the join then compile into one loop that
+    # touches a document's words only where a hash is in the set. The outer form keeps the optimizer from adding a
+    # size test that would compute the whole array again. Places: the mark, then the windows of each width.
+    size, first, parts, word_at = F.size("words"), F.lit(1), [F.array(F.lit(0).cast("long"))], F.lit(-1)
     for width in widths:
         starts = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
         parts.append(F.transform(starts, candidate(width)))
-    cand = base.select("doc_id", "words", F.explode(F.concat(*parts)).alias("c")).select("doc_id", "words", "c.h", "c.width", "c.i")
+        word_at = F.when(F.col("b_width") == width, F.col("pos") - first).otherwise(word_at)
+        first = first + F.greatest(size - width + 1, F.lit(0))
+    base = base.select("doc_id", "words", F.concat(*parts).alias("own"))
+    cand = base.select("doc_id", "words", F.posexplode_outer("own").alias("pos", "h"))
     small = found.count() <= BROADCAST_WINDOWS
     joined = cand.join(F.broadcast(keyed) if small else keyed, "h")
-    real = joined.where((F.col("width") == F.col("b_width")) & ((F.col("width") == 0) | (F.slice("words", F.col("i") + 1, F.col("width")) == F.col("w"))))
+    spot = joined.withColumn("i", word_at)
+    real = spot.where(F.when(F.col("b_width") == 0, F.col("pos") == 0).otherwise((F.col("i") >= 0) & (F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("b_width")) == F.col("w"))))
     rows = real.select(
-        "doc_id", F.when(F.col("width") == 0, F.size("words")).alias("nw"),
-        F.when(F.col("width") > 0, F.struct("i", "width")).alias("span"), F.when(F.col("width") > 0, F.col("items")).alias("its"))
+        "doc_id", F.when(F.col("b_width") == 0, F.size("words")).alias("nw"),
+        F.when(F.col("b_width") > 0, F.struct("i", F.col("b_width").alias("width"))).alias("span"), F.when(F.col("b_width") > 0, F.col("items")).alias("its"))
     found_in = rows.groupBy("doc_id").agg(F.max("nw").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("its").alias("its"))
     return found_in.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"),

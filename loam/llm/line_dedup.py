@@ -27,7 +27,9 @@ def repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, drop): the 0-based numbers of the lines to remove, for documents that lose any.
 
     A window goes where the same lines stood before: at a smaller doc_id, or earlier in the same document."""
-    hits = docs.select("doc_id", F.posexplode(window_keys(F.col("text"), size)).alias("pos", "key"))
+    keyed = docs.select("doc_id", window_keys(F.col("text"), size).alias("keys"))
+    # the outer form keeps the optimizer from adding a size test that would compute the keys again
+    hits = keyed.select("doc_id", F.posexplode_outer("keys").alias("pos", "key")).where("pos is not null")
     firsts = hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     later = hits.join(firsts, "key").where(F.struct("doc_id", "pos") > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts")).select(
