@@ -73,3 +73,29 @@ def slices(buf: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterat
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+
+
+def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+    """(node, component) of an undirected graph given as (u, v) long pairs, the component being its smallest node;
+    nodes without an edge to another node don't appear.
+
+    Alternating large-star and small-star steps: each is a partially aggregated minimum and one join on the node, so a
+    node with very many neighbours is split by adaptive skew joins. Rounds grow with the logarithm of the graph's
+    size; each is written to the shared folder, and ends when a round changes nothing."""
+    now = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), f"{tag}-e")
+    state = _state(now)
+    while state[0]:
+        both = now.unionAll(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionAll(least).distinct()
+        now = stash(small, tag)
+        was, state = state, _state(now)
+        if was == state:
+            break
+    return now.toDF("node", "component")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
