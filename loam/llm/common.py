@@ -37,6 +37,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: some 50 MB in memory. What is larger is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(written: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if its counted rows are within ``BROADCAST_ROWS``."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm import textvec as tv
-from loam.llm.common import components, flat, slices, stash, texts_of
+from loam.llm.common import components, flat, if_small, slices, stash, texts_of
 
 #: Retained values of a sketch.
-K = 48
+K = 64
 #: Sets of at most this size are also listed under runs of two values, where runs of three could all be broken.
 SMALL = 15
+#: Lists that a linked pair shares at least; of small sets, SHARED_SMALL.
+SHARED, SHARED_SMALL = 6, 2
 #: Members of one leader that one task verifies.
 MEMBERS = 500
 U = np.uint64
@@ -65,33 +68,34 @@ def _sketch(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc) for each run of three consecutive retained values; of two, too, for small sets."""
+    """(key, doc, n) for each run of three consecutive retained values; of two, too, for small sets."""
     for batch in batches:
         docs, ns = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
-        keys, of = [], []
+        keys, of, size = [], [], []
         for d, n, raw in zip(docs, ns, batch.column("sketch").to_pylist(), strict=True):
             x = np.frombuffer(raw, U)
             if n <= SMALL and len(x) > 1:
                 keys.append(tv.join2(x[:-1], x[1:]))
                 of.append(np.full(len(x) - 1, d))
+                size.append(np.full(len(x) - 1, n))
             if n >= 13:
                 y = tv.join2(tv.join2(x[:-2], x[1:-1]), x[2:])
                 keys.append(y)
                 of.append(np.full(len(y), d))
+                size.append(np.full(len(y), n))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of).astype(np.int64))], ["key", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of).astype(np.int64)), pa.array(np.concatenate(size).astype(np.int64))], ["key", "doc", "n"])
 
 
 def _estimate(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose estimate from the union's sketch is not far below the threshold."""
+    """Pairs whose estimate from the union's sketch is not far below ``least``."""
     for batch in batches:
         keep = []
         for n1, n2, s1, s2 in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
-            if min(n1, n2) < least * max(n1, n2):
+            if min(n1, n2) < least * max(n1, n2) - 1e-9:
                 keep.append(False)
                 continue
-            a, b = np.frombuffer(s1, U), np.frombuffer(s2, U)
-            both = np.sort(np.concatenate([a, b]))
+            both = np.sort(np.concatenate([np.frombuffer(s1, U), np.frombuffer(s2, U)]))
             same = both[1:] == both[:-1]
             distinct = np.concatenate([[True], ~same])
             if n1 <= K and n2 <= K:
@@ -99,56 +103,78 @@ def _estimate(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Re
                 continue
             top = np.cumsum(distinct) <= K
             est = np.count_nonzero(same & top[1:]) / max(1, np.count_nonzero(distinct & top))
-            # six standard deviations of a sketch's estimate below the threshold
+            # six standard deviations of a sketch's estimate below it
             keep.append(est >= least - 6 * (least * (1 - least) / K) ** 0.5)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by (leader, salt) with the leader's own first: each member's whole set against the leader's."""
+    """Rows come by (leader, salt) with the leader's own first: each member's whole set against the leader's. Members
+    that are linked (2) or that may be linked with linked ones (1) come with what tells them from the leader."""
     now, whole = None, np.zeros(0, U)
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("leader", "salt", "doc_id")), strict=True))
         buf, offs = flat(batch.column("text"))
-        out = []
+        out: tuple[list, ...] = ([], [], [], [], [])
         for lo, hi, b, o in slices(buf, offs):
             for (leader, salt, doc), x in zip(keys[lo:hi], shingle_sets(b, o, width), strict=True):
                 if leader == doc:
                     now, whole = (leader, salt), x
                 elif now == (leader, salt):
-                    m = len(x) and len(whole) and np.intersect1d(x, whole, assume_unique=True).size
-                    if m and den * m >= num * (len(x) + len(whole) - m):
-                        out.append((leader, doc))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+                    apart = np.setxor1d(x, whole, assume_unique=True)
+                    union = (len(x) + len(whole) + len(apart)) // 2
+                    same = union - len(apart)
+                    rel = 2 if den * same >= num * union else 1 if den * len(apart) <= 2 * (den - num) * union else 0
+                    if rel:
+                        keep = len(apart) - _shared(rel, len(apart), len(x) + len(whole), num, den) + 1
+                        for col, v in zip(out, (leader, doc, rel, keep, apart.view(np.int64)), strict=True):
+                            col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["a", "b", "rel", "keep", "apart"])
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The (u, v) of ``pairs`` (a, b) that are similar on their full sets."""
+def _shared(rel: int, n: int, sizes: int, num: int, den: int) -> int:
+    """How many of a member's n differences from its leader a linked partner has too, at least, if one of the two isn't
+    linked to the leader. With r = (1 - t) / (1 + t) a pair is linked if it differs by r (|x| + |y|) at most, so for x
+    not linked to the leader L they share (e + (1 - r) |Dy|) / 2, e = |Dx| - r (|x| + |L|), which is e / (1 + r) too."""
+    r = (den - num) / (den + num)
+    return max(1, math.ceil((n * (1 - r) / 2 if rel == 2 else (n - r * sizes) / (1 + r)) - 1e-9))
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int, least: float) -> DataFrame:
+    """Of ``pairs`` (a, b): (a, b, rel, keep, apart), rel 2 for those that are similar on their full sets and 1 for those that
+    are at most twice as far apart; those not given are further. Pairs are certain to be given down to ``least``."""
     sa = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sb = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    likely = stash(pairs.join(sa, "a").join(sb, "b").mapInArrow(lambda it: _estimate(it, num / den), "a long, b long"), "likely")
+    likely = stash(pairs.join(sa, "a").join(sb, "b").mapInArrow(lambda it: _estimate(it, least), "a long, b long"), "likely")
     size = likely.groupBy("a").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / MEMBERS).cast("int"))
     salted = likely.join(size, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     heads = size.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    whole = texts.join(salted.unionAll(heads), "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", (F.col("doc_id") != F.col("leader")))
-    return whole.mapInArrow(lambda it: _verify(it, width, num, den), "u long, v long")
+    whole = texts.join(if_small(stash(salted.unionAll(heads), "salted")), "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", (F.col("doc_id") != F.col("leader")))
+    return stash(whole.mapInArrow(lambda it: _verify(it, width, num, den), "a long, b long, rel int, keep int, apart array<long>"), "verified")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, most_pairs: int = 2_000_000, star_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, star_rounds: int = 2, most_pairs: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the classes of documents that are linked, directly or not, by
     ``den * |A & B| >= num * |A | B|`` on their sets of distinct ``width``-word shingles.
 
     One hash function orders all shingles; a document retains its ``K`` smallest. Documents with equal sets become one
     class first. The inverted lists hold runs of three consecutive retained values (of two for small sets): a pair at
-    0.8 has none of some 46 runs in common with a chance of about 1e-7, and small sets, which are retained whole, never
-    miss. A list never becomes all its pairs: its members are compared with its first one, which then leaves; lists
-    whose rest is one component already are done, and only when few pairs between different components remain are
-    these made. Union-sketch estimates filter, and whole sets, computed anew from whole texts, decide. A leader with
-    many members is spread over tasks.
+    0.8 shares fewer than ``SHARED`` of some 62 runs with a chance of less than 1e-6, and small sets, which are retained
+    whole, always share ``SHARED_SMALL``; a document in fewer open lists leaves them. Union-sketch estimates filter, and whole sets, computed anew from whole texts, decide.
+
+    A list never becomes all its pairs. Each member is compared with the list's leader L, a document with many sharers. Jaccard distance
+    is a metric, so a member that is more than twice the threshold's distance from L is linked with none of those
+    linked with L. A member x within that, but not linked with L, can only be linked with a member y that shares
+    differences from L with it: |x ^ y| <= (|x| + |y|) / 9 at 0.8 means that at least 4/9 of y's differences are x's
+    too, so lists of each member's rarest differences, by leader, find these. L and those linked with it then leave the list, and pairs that are
+    both within a leader's reach are settled; the next leader is one that no leader has reached, and a list without
+    unsettled pairs between components is done. Only when the unsettled pairs are in proportion to the lists'
+    rows (or after ``star_rounds``) are these compared directly. A leader's members are spread over tasks.
 
     Null or empty text, or no words: an empty set, linked with nothing. Fewer words than ``width``: one shingle of
     them all. Repeated rows of a doc_id: each is returned with the class of its id. Null doc_id: not returned.
     Empty table: no rows. Other columns: ignored."""
+    near, far = num / den, 1 - 2 * (1 - num / den)
     texts = texts_of(docs.where("doc_id is not null"))
     sketched = stash(texts.mapInArrow(lambda it: _sketch(it, width), "doc_id long, n long, k1 long, k2 long, sketch binary"), "sketch")
     full = sketched.where("n > 0")
@@ -156,39 +182,96 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     member = stash(full.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "rep"), "member")
     heads = member.where("doc_id = rep").select("doc_id").distinct()
     sketches = stash(full.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"), "heads")
-    keys = stash(sketches.mapInArrow(_keys, "key long, doc long"), "keys")
-    lists = keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    rows = stash(keys.join(lists, "key").where("doc <> leader").select("key", "doc", "leader"), "lists")
-    tested = stash(rows.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    found = stash(verified(tested, sketches, texts, width, num, den), "links")
-    comp = components(found)
+    keys = stash(sketches.mapInArrow(_keys, "key long, doc long, n long"), "keys")
+    lists = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    rows = stash(keys.join(lists, "key"), "lists")
+    rows = rows.join(rows.groupBy("doc").agg(F.sum("m").alias("pop")), "doc").select("key", "doc", "n", "pop", F.col("doc").alias("c"), F.array().cast("array<long>").alias("within"))
+    rows = _led(_shared_often(rows))
+    listed = if_small(stash(rows.select(F.col("doc").alias("doc_id")).distinct(), "listed"))
+    texts = stash(texts.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sketches = stash(sketches.join(listed, "doc_id", "left_semi"), "listed-sketches")
+    comp = tested = known = None
     for turn in range(star_rounds + 1):
-        named = rows.select("key", "doc").join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        named = stash(named, "named")
-        open_lists = named.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("first"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-        rows = stash(named.join(open_lists.select("key", "first", "m"), "key").select("key", "doc", "c", F.col("first.doc").alias("leader"), F.col("first.c").alias("lead_c"), "m"), "open")
-        left = rows.agg(F.count("*"), F.sum((F.col("m") - 1) / 2)).first()
-        if not left[0]:
-            break
-        last = left[1] <= most_pairs or turn == star_rounds
-        if last:
-            other = rows.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"))
-            pairs = rows.select("key", F.col("doc").alias("a"), "c").join(other, "key").where("a < b and c <> cb").select("a", "b").distinct()
-        else:
-            pairs = rows.where("doc <> leader and c <> lead_c").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-        pairs = stash(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stash(verified(pairs, sketches, texts, width, num, den), "links")
-        comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
-        if last:
-            break
-        tested = tested.unionAll(pairs)
-        rows = rows.where("doc <> leader").select("key", "doc")
+        if comp is not None:
+            of = comp.select(F.col("node").alias("doc"), "component")
+            named = stash(rows.join(of, "doc", "left").select("key", "doc", "n", "pop", "within", F.coalesce("component", "doc").alias("c")), "named")
+            open_keys = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+            rows = _led(_shared_often(stash(named.join(open_keys, "key"), "open")))
+            count, pairs_left = rows.count(), _unresolved(rows)
+            if not pairs_left:
+                break
+            if pairs_left <= most_pairs * count or turn == star_rounds:
+                rows = stash(_rarest(rows), "rarest")
+                other = rows.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("within").alias("wb"))
+                pairs = rows.select("key", F.col("doc").alias("a"), "c", "within").join(other, "key").where("a < b and c <> cb and not arrays_overlap(within, wb)")
+                last = verified(stash(pairs.select("a", "b").distinct(), "pairs"), sketches, texts, width, num, den, near)
+                comp = _joined(comp, last)
+                break
+        led = rows.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+        led = stash(led if tested is None else led.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verified(led, sketches, texts, width, num, den, far)
+        status = led.join(found.select("a", "b", "rel"), ["a", "b"], "left").select("a", "b", F.coalesce("rel", F.lit(0)).alias("rel"))
+        tested = stash(status if tested is None else tested.unionAll(status), "tested")
+        comp = _joined(comp, found)
+        # of the leaders with new members: members that share a difference, one of them at least not linked to the leader
+        known = found if known is None else known.unionAll(found)
+        leaders = known.where("rel = 1").join(led.select("a").distinct(), "a", "left_semi").select("a").distinct()
+        differ = stash(known.join(leaders, "a", "left_semi").select("a", "b", "rel", "keep", F.explode("apart").alias("d")), "differ")
+        order = F.row_number().over(Window.partitionBy("a", "b").orderBy("m", "d"))
+        differ = differ.join(differ.groupBy("a", "d").agg(F.count("*").alias("m")).where("m > 1"), ["a", "d"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        differ = stash(differ.withColumn("at", order).where("at <= keep and m > 1").select("a", "d", "b", "rel"), "rare")
+        between = differ.where("rel = 1").select("a", "d", F.col("b").alias("x"))
+        shared = between.join(differ.select("a", "d", F.col("b").alias("y")), ["a", "d"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        at = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        apart = shared.join(at, "b", "left").join(at.toDF("a", "ca"), "a", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        comp = _joined(comp, verified(stash(apart, "apart"), sketches, texts, width, num, den, near))
+        of_leader = tested.where("rel > 0").select(F.col("a").alias("leader"), F.col("b").alias("doc"), "rel")
+        rows = rows.where("doc <> leader").join(of_leader, ["leader", "doc"], "left").where("rel is null or rel = 1")
+        rows = rows.select("key", "doc", "n", "pop", F.when(F.col("rel") == 1, F.array_append("within", F.col("leader"))).otherwise(F.col("within")).alias("within"))
     comp_of = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(comp_of, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _shared_often(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc, n, c) of documents that are in as many lists as a linked pair shares."""
+    often = rows.groupBy("doc").agg(F.count("*").alias("k"), F.first("n").alias("size")).where(F.col("k") >= F.when(F.col("size") <= SMALL, SHARED_SMALL).otherwise(SHARED))
+    return stash(rows.join(often.select("doc"), "doc"), "often")
+
+
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Without each document's most frequent lists, one fewer than a linked pair shares: in the order of lists by their
+    size, a pair's rarest shared list is left to both."""
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")), "key")
+    back = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("m"), "key"))
+    return sized.withColumn("back", back).where(F.col("back") >= F.when(F.col("n") <= SMALL, SHARED_SMALL).otherwise(SHARED)).drop("back", "m")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """The rows of lists with more than one component, each with its list's leader: a document that is far from all
+    earlier leaders, if there is one, and whose lists hold the most documents. The text that others were made from is
+    such a one, and they share few differences from it."""
+    first = F.min(F.struct(F.size("within") > 0, -F.col("pop"), "doc")).getField("doc")
+    lists = rows.groupBy("key").agg(first.alias("leader"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    return stash(rows.join(lists.select("key", "leader"), "key"), "led")
+
+
+def _unresolved(rows: DataFrame) -> int:
+    """Pairs within lists that no common leader has settled, counted by sets of leaders."""
+    sets = rows.groupBy("key", "within").agg(F.count("*").alias("m"))
+    other = sets.select("key", F.col("within").alias("w2"), F.col("m").alias("m2"))
+    pairs = F.when(F.col("within") == F.col("w2"), F.col("m") * (F.col("m") - 1)).otherwise(F.col("m") * F.col("m2"))
+    return sets.join(other, "key").where("not arrays_overlap(within, w2)").agg(F.sum(pairs)).first()[0] or 0
+
+
+def _joined(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    links = found.where("rel = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if comp is None:
+        return components(links)
+    return components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(links)) if links.count() else comp
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each class of :func:`near_duplicates`, that of the smallest doc_id; of repeated
     rows of one doc_id all stay or go together, and rows without a doc_id stay."""
