@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontaminate, embedding_join, line_dedup, minhash, packing, substring_dedup
+from loam.llm import decontaminate, embedding_join, line_dedup, minhash, packing, substring_dedup, toxicity, warc
 from loam.llm.common import table
 
 
@@ -30,10 +30,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPS = (op1_best_fit_packing, op2_suffix_dedup, op4_embedding_dedup, op5_minhash, op6_line_dedup, op9_decontamination)
+_OPS = (op1_best_fit_packing, op2_suffix_dedup, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE}
