@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,13 @@ from loam.llm.common import flat, slices, stash, texts_of
 LABELLED = 200_000
 #: Tokens that the log-odds table keeps at most: those whose log-odds are surest. It bounds what tasks are sent.
 TOKENS = 500_000
-#: Total weight of the Dirichlet prior, in tokens.
+#: Units of a word: the whole, and its first so many bytes where it is longer, as languages compound.
+PREFIXES = (5, 6, 7, 8)
+#: The score of a word without sure units: long clean stretches part passages.
+UNSEEN = -0.1
+#: Standard deviations by which log-odds must differ from 0 to count.
+SURE = 3.0
+#: Total weight of the Dirichlet prior, in tokens, beside half a token for each.
 PRIOR = 1_000.0
 #: A passage is significant below this chance of its score in as long a text.
 SIGNIFICANT = 0.01
@@ -38,6 +44,7 @@ def letters(buf: np.ndarray) -> np.ndarray:
 class Model:
     tokens: np.ndarray
     odds: np.ndarray
+    sure: np.ndarray
     unseen: float
     lam: float
     k: float
@@ -104,10 +111,29 @@ def law(odds: np.ndarray, share: np.ndarray) -> tuple[float, float]:
     return lo, min(1.0, max(1e-4, lo * float((tilted * odds).sum()) / max(tilted.sum(), 1e-12)))
 
 
+def units(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each unit of every word its hash (0 where the word is too short for it), and the words' texts."""
+    buf = letters(buf)
+    h, start, end, doc = tv.words(buf, offs)
+    up, down = tv.powers(len(buf) + 1)
+    out = [h]
+    with np.errstate(over="ignore"):
+        acc = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(tv.BYTE_LOWER[buf] * up[: len(buf)], dtype=np.uint64, out=acc[1:])
+        for k in PREFIXES:
+            stop = np.minimum(start + k, end)
+            out.append(np.where(end - start > k, tv.mix((acc[stop] - acc[start]) * down[start] + np.uint64(1000 + k)), np.uint64(0)))
+    return out, doc
+
+
 def _odds(buf: np.ndarray, offs: np.ndarray, model: Model) -> list[np.ndarray]:
-    h, _, _, doc = tv.words(letters(buf), offs)
-    at = np.minimum(np.searchsorted(model.tokens, h), max(0, len(model.tokens) - 1))
-    x = np.where(model.tokens[at] == h, model.odds[at], model.unseen) if len(model.tokens) else np.full(len(h), model.unseen)
+    """The score of each word of each text: that of its surest unit."""
+    found, doc = units(buf, offs)
+    x, sure = np.full(len(doc), model.unseen), np.zeros(len(doc))
+    for h in found if len(model.tokens) else ():
+        at = np.minimum(np.searchsorted(model.tokens, h), len(model.tokens) - 1)
+        better = (model.tokens[at] == h) & (model.sure[at] > sure)
+        x, sure = np.where(better, model.odds[at], x), np.where(better, model.sure[at], sure)
     ends = np.searchsorted(doc, np.arange(len(offs)))
     return [x[ends[i] : ends[i + 1]] for i in range(len(offs) - 1)]
 
@@ -138,14 +164,24 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offs = flat(batch.column("text"))
         got = []
         for lo, _, b, o in slices(buf, offs):
-            h, _, _, doc = tv.words(letters(b), o)
-            for y in (0, 1):
-                t, c = np.unique(h[label[lo + doc] == y], return_counts=True)
-                got.append((t, np.full(len(t), y), c))
+            found, doc = units(b, o)
+            for h in found:
+                for y in (0, 1):
+                    t, c = np.unique(h[(label[lo + doc] == y) & (h != 0)], return_counts=True)
+                    got.append((t, np.full(len(t), y), c))
         t, y, c = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
         yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.where(y == 0, c, 0).astype(np.int64)), pa.array(np.where(y == 1, c, 0).astype(np.int64))], ["token", "c0", "c1"])
 
 
+def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """How many words have each score."""
+    for batch in batches:
+        buf, offs = flat(batch.column("text"))
+        for _, _, b, o in slices(buf, offs):
+            x, n = np.unique(np.concatenate([np.zeros(0), *_odds(b, o, model)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n.astype(np.int64))], ["x", "n"])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Newton's steps for a logistic regression with an intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -174,33 +210,36 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     pick = F.broadcast(known)  # ``most`` rows of two numbers at most
     train = stash(texts_of(docs.where("doc_id is not null")).join(pick, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).alias("counted")), "labelled")
 
-    def table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    def table(rows: DataFrame) -> tuple:
         counts = rows.select("text", "label").mapInArrow(_counts, "token long, c0 long, c1 long").groupBy("token").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
         counts = stash(counts, "tokens")
         n0, n1 = (int(v or 0) for v in counts.agg(F.sum("c0"), F.sum("c1")).first())
         if not n0 or not n1:
-            return np.zeros(0, np.uint64), np.zeros(0), -0.1, 1.0, 0.1
-        prior = F.lit(PRIOR) * (F.col("c0") + F.col("c1")) / (n0 + n1)
+            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), UNSEEN, 1.0, 0.1
+        prior = 0.5 + F.lit(PRIOR) * (F.col("c0") + F.col("c1")) / (n0 + n1)
         odds = F.log((F.col("c1") + prior) / (n1 + PRIOR)) - F.log((F.col("c0") + prior) / (n0 + PRIOR))
         sure = odds / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))
         # a token that is rarer than its doubt tells nothing: its odds shrink to a small loss
-        rows = counts.withColumn("odds", odds).withColumn("sure", sure).orderBy(F.desc(F.abs("sure")), "token").limit(TOKENS).toPandas()
-        value = rows.odds.to_numpy() * np.maximum(0, 1 - 1.96**2 / np.maximum(rows.sure.to_numpy() ** 2, 1e-9)) - 0.05
+        rows = counts.withColumn("odds", odds).withColumn("sure", F.abs(sure)).where(F.col("sure") > SURE).orderBy(F.desc("sure"), "token").limit(TOKENS).toPandas()
+        # the odds shrink by their own doubt; all other units are one small loss
+        value, sure = rows.odds.to_numpy(np.float64), rows.sure.to_numpy(np.float64)
+        value = value * (1 - SURE**2 / np.maximum(sure**2, SURE**2)) + UNSEEN
         tokens = rows.token.to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(tokens)
-        share = rows.c0.to_numpy() / max(1, rows.c0.sum())
-        lam, k = law(value, share)
-        return tokens[order], value[order], -0.05, lam, k
+        return tokens[order], value[order], sure[order], UNSEEN, 1.0, 0.1
 
     blank = (np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
     draft = Model(*table(train.where("counted")), *blank)
+    shares = train.where("counted and label = 0").select("text").mapInArrow(lambda it: _scores(it, draft), "x double, n long").groupBy("x").agg(F.sum("n").alias("n")).toPandas()
+    if len(shares):  # as many rows as the table has values at most
+        draft = replace(draft, **dict(zip(("lam", "k"), law(shares.x.to_numpy(), shares.n.to_numpy() / shares.n.sum()), strict=True)))
     rest = train.where("not counted").select("doc_id", "text").mapInArrow(lambda it: _features(it, draft), SCORED).select("doc_id", "features").join(pick, F.col("doc_id") == F.col("id"))
     seen = rest.select("features", "label").toPandas()  # FEATURES numbers for each of at most ``most`` rows
     if not len(seen):
         return Model(*table(train), np.array([0.0] * FEATURES + [-10.0]), *blank[1:])
     x, y = np.array(seen.features.tolist()), seen.label.to_numpy().astype(float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Model(draft.tokens, draft.odds, draft.unseen, draft.lam, draft.k, _logistic((x - mean) / scale, y), mean, scale)
+    return Model(draft.tokens, draft.odds, draft.sure, draft.unseen, draft.lam, draft.k, _logistic((x - mean) / scale, y), mean, scale)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
