@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontaminate, embedding_join, line_dedup, minhash, packing, substring_dedup, toxicity, warc
+from loam.llm import decontaminate, embedding_join, language_model, line_dedup, minhash, packing, substring_dedup, toxicity, warc
 from loam.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.link(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPS = (op1_best_fit_packing, op2_suffix_dedup, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination)
+_OPS = (op1_best_fit_packing, op2_suffix_dedup, op3_lm_scoring, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE}
