@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontaminate, embedding_join, language_model, line_dedup, minhash, packing, substring_dedup, toxicity, warc
+from loam.llm import decontaminate, embedding_join, language_model, line_dedup, minhash, packing, quality, substring_dedup, toxicity, warc
 from loam.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPS = (op1_best_fit_packing, op2_suffix_dedup, op3_lm_scoring, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination)
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPS = (op1_best_fit_packing, op2_suffix_dedup, op3_lm_scoring, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination, op10_quality)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE}
