@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; a longer single text is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _LOCAL: dict[str, str] = {}
 
 

@@ -91,7 +91,7 @@ def _pack(batches: Iterable[pa.RecordBatch], ranks: str, capacity: int, most: in
     for batch in batches:
         buf, offs = flat(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
-        for lo, hi, b, o in slices(buf, offs, 16 << 20):
+        for lo, hi, b, o in slices(buf, offs, 4 << 20):
             out: list[tuple] = []
             for k in range(lo, hi):
                 toks = enc.encode_ordinary(bytes(b[o[k - lo] : o[k - lo + 1]]).decode("utf-8", "replace"))
