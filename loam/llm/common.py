@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,7 +48,12 @@ def if_small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+#: Rows that a Python worker is handed at a time; long texts come in smaller batches by bytes.
+BATCH_ROWS = 2_500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +89,16 @@ def slices(buf: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterat
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task else holds what its last one needed."""
+    pa.default_memory_pool().release_unused()
+    if "libc" not in _LOCAL:
+        _LOCAL["libc"] = ctypes.util.find_library("c")
+    if _LOCAL["libc"] and hasattr(libc := ctypes.CDLL(_LOCAL["libc"]), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
