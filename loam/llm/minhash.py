@@ -15,9 +15,10 @@ from loam.llm.common import components, flat, if_small, slices, stash, texts_of
 
 #: Retained values of a sketch.
 K = 64
-#: Sets of at most this size are also listed under runs of two values, where runs of three could all be broken.
-SMALL = 15
-#: Lists that a linked pair shares at least; of small sets, SHARED_SMALL.
+#: Sets of at most this size are also listed under runs of two values, where runs of three could be broken down to fewer
+#: than SHARED: with u values in the union and d of them unshared a pair holds u - 2 - 3d of these at least, 5 for 16 and 3.
+SMALL = 16
+#: Lists that a linked pair shares at least; of pairs with a small set, SHARED_SMALL is enough to ask of that set.
 SHARED, SHARED_SMALL = 6, 2
 #: Members of one leader that one task verifies.
 MEMBERS = 500
@@ -158,9 +159,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ``den * |A & B| >= num * |A | B|`` on their sets of distinct ``width``-word shingles.
 
     One hash function orders all shingles; a document retains its ``K`` smallest. Documents with equal sets become one
-    class first. The inverted lists hold runs of three consecutive retained values (of two for small sets): a pair at
-    0.8 shares fewer than ``SHARED`` of some 62 runs with a chance of less than 1e-6, and small sets, which are retained
-    whole, always share ``SHARED_SMALL``; a document in fewer open lists leaves them. Union-sketch estimates filter, and whole sets, computed anew from whole texts, decide.
+    class first. The inverted lists hold runs of three consecutive retained values (of two for small sets). Sets of at
+    most ``K`` shingles are retained whole, and a pair of them at 0.8 always shares ``SHARED`` lists (``SHARED_SMALL`` if
+    a set is small); a pair of larger ones shares fewer than ``SHARED`` of 62 runs with a chance of 1.3e-6 at most (each value
+    shared with 0.8, independently). A document in fewer open lists leaves them. Union-sketch estimates filter, and
+    whole sets, computed anew from whole texts, decide.
 
     A list never becomes all its pairs. Each member is compared with the list's leader L, a document with many sharers. Jaccard distance
     is a metric, so a member that is more than twice the threshold's distance from L is linked with none of those

@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,6 +129,33 @@ def test_minhash(spark, table, width):
     assert minhash.drop_near_duplicates(df, width).columns == df.columns
 
 
+def test_minhash_runs_of_small_sets():
+    """Every linked subset of 2 to 20 values, wherever its missing values stand: both sets stay listed together."""
+    import pyarrow as pa
+
+    values = np.sort(np.random.default_rng(8).integers(0, 1 << 62, 20).astype(np.uint64))
+    for n in range(2, 21):
+        x = values[:n]
+        sets = [x, *(np.delete(x, list(gone)) for d in range(1, n // 5 + 1) for gone in itertools.combinations(range(n), d))]
+        cols = [pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())]
+        keys = defaultdict(set)
+        for batch in minhash._keys([pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sketch"])]):
+            for k, d in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), strict=True):
+                keys[d].add(k)
+        for d, s in enumerate(sets[1:], 1):
+            assert len(keys[0] & keys[d]) >= max(minhash.SHARED_SMALL if m <= minhash.SMALL else minhash.SHARED for m in (n, len(s))), (n, len(s))
+
+
+def test_minhash_of_texts_cut_short(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(100):  # 16 pairs of words; and the 13 first of them
+        words = [f"w{k}x{rng.randrange(10**9)}" for _ in range(17)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:14]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_lines(spark, table):
     rows, df = table
     seen, want = set(), {}
