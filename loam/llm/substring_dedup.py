@@ -166,8 +166,23 @@ def repeated(doc: np.ndarray, a: np.ndarray, n: np.ndarray, raw: list[bytes], le
     return row[s][cut], k[s][cut], np.diff(np.append(cut, len(s))), h
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From segments in order of (h, doc, a) each one once: it comes for every row of its doc_id."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("h", "doc", "a")]
+        again = np.ones(batch.num_rows, bool)
+        for k, x in enumerate(keys):
+            again[1:] &= x[1:] == x[:-1]
+            again[0] &= last is not None and x[0] == last[k]
+        last = [x[-1] for x in keys]
+        yield batch.filter(pa.array(~again)) if again.any() else batch
+
+
 def _marks(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Segments in order of (h, doc, a), whole anchors at a time. Of an anchor with more than ``CHUNK_ROWS`` segments,
+    """Segments in order of (h, doc, a), each once, whole anchors at a time. Of an anchor with more than ``CHUNK_ROWS`` segments,
     each chunk is also held against the string hashes of the chunks before it."""
     rest: pa.Table | None = None
     seen, seen_h = None, None
@@ -183,7 +198,7 @@ def _marks(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Record
             seen, seen_h = np.unique(hashes if own is None else np.concatenate([own, hashes])), h[0]
         return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((a[row] + k).astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "a", "n"])
 
-    for batch in batches:
+    for batch in _once(batches):
         rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
         if rest.num_rows >= CHUNK_ROWS:
             h = rest.column("h").to_numpy()

@@ -103,6 +103,28 @@ def test_substrings(spark, table):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("chunk", [2, 20_000])
+def test_substrings_of_a_document_given_twice(spark, monkeypatch, chunk):
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = some(300)
+    rows = [(1, some(200) + passage + some(200)), (2, some(200) + passage + some(200)), (3, some(400))]
+    want = {1: 0, 2: 300, 3: 0}
+    for parts in (1, 5):  # its rows in one batch, and in several
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows + rows[:2] + rows[:1], "doc_id long, text string").repartition(parts)).collect()
+        assert len(got) == 6 and all(r.n_removed == want[r.doc_id] for r in got)
+    # rows of one segment in a chunk, and over several
+    monkeypatch.setattr(substring_dedup, "CHUNK_ROWS", chunk)
+    raw = passage.encode()
+    seg = [(7, d, 0, 201, raw) for d in (1, 1, 1, 2, 2)]
+    cols = [pa.array(c, t) for c, t in zip(zip(*seg, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(cols, ["h", "doc", "a", "n", "raw"])
+    marks = [m for out in substring_dedup._marks([batch.slice(k, 1) for k in range(5)], 100) for m in out.to_pylist()]
+    assert marks == [{"doc": 2, "a": 0, "n": 201}]
+
+
 def test_previous_factors():
     rng = np.random.default_rng(2)
     for _ in range(30):
