@@ -103,6 +103,25 @@ def test_substrings(spark, table):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_added_tokens_in_a_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(packing.default_ranks())
+    end = "<|endoftext|>"
+    odd = [f"end{end}next", f"a {end} b", end, f"a{end}{end}\n x  {end}  ", f" \n {end}'s 12  ", "<|endoftext|", "<|fim|> x", f"  a  \n\n{end}é"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in odd]
+    assert [packing.encode(enc, x) for x in odd] == want and want[0] == [437, 50256, 19545]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in packing.pack(docs).collect()}
+    assert got == {i: [*x, 2] for i, x in enumerate(want)}
+    raw = [x.encode() for x in odd]
+    ids, _ = language_model.subwords(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), packing.default_ranks())
+    assert (ids == 50256).sum() == sum(x.count(end) for x in odd) and ids.max() < language_model.PUBLIC_IDS
+    assert language_model.score(docs, F.lit(True), rounds=-1).where("isnan(score) or score is null").count() == 0
+
+
 @pytest.mark.parametrize("chunk", [2, 20_000])
 def test_substrings_of_a_document_given_twice(spark, monkeypatch, chunk):
     import pyarrow as pa
