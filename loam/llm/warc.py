@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +126,10 @@ def _normalise(batches: Iterable[pa.RecordBatch], folder: str, level: int) -> It
                     out.write(member)
                     rows.append((new, offset, len(member), head["warc-record-id"], head["warc-type"], head.get("warc-target-uri")))
                     offset += len(member)
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names)
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            index = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names)
+            pq.write_table(pa.Table.from_batches([index]), new.removesuffix(".warc.gz") + ".cdx.parquet", filesystem=where)
+            yield index
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -177,7 +179,8 @@ def write(pages: DataFrame, folder: str, level: int = 1, least: int = 0, per_fil
 
 def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Inflate each whole-file stream of ``archives`` (path) once, rewrite every record as a gzip member of its own, and
-    return the index (path, offset, size, record_id, record_type, uri), which is also written beside the files. A file
+    return the index (path, offset, size, record_id, record_type, uri). Beside each ``X.members.warc.gz`` in ``folder``
+    its own rows of it are written as ``X.members.cdx.parquet``. A file
     with members already is rewritten alike. A file that ends within a record is an error; an empty one has no rows."""
     return stash(archives.repartition(F.col("path")).mapInArrow(lambda it: _normalise(it, folder, level), INDEX), "cdx")
 

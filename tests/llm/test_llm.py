@@ -277,6 +277,19 @@ def test_warc(spark, tmp_path):
         list(warc.records([whole[:-10]]))
 
 
+def test_warc_index_beside_each_file(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://{k}", "x" * k) for k in range(9)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}"
+    index = warc.normalise(warc.write(pages, folder, per_file=500), folder)
+    files = {str(p) for p in tmp_path.glob("*.members.warc.gz")}
+    assert len(files) > 1 and {str(p) for p in tmp_path.glob("*.cdx.parquet")} == {f.removesuffix(".warc.gz") + ".cdx.parquet" for f in files}
+    beside = spark.read.parquet(f"{folder}/*.members.cdx.parquet")
+    assert beside.columns == index.columns and sorted(map(tuple, beside.collect())) == sorted(map(tuple, index.collect()))
+    for f in files:
+        assert {r.path for r in spark.read.parquet(f"file://{f.removesuffix('.warc.gz')}.cdx.parquet").collect()} == {f}
+    assert {r.page_id for r in warc.read(beside, folder).collect()} == set(range(9))
+
+
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(6)
     counts = rng.integers(0, 50, language_model.VOCAB).astype(float)
