@@ -39,6 +39,25 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of an operator's written steps in the shared folder. A step is dropped once those that read it are
+    written, so the disk holds a few of them and not all; what the result still reads stays."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/loam-{tag}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Rows of a few numbers each that may be broadcast: some 50 MB in memory. What is larger is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -53,7 +72,8 @@ BATCH_ROWS = 2_500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
