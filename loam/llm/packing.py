@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,8 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: The split pattern of the 50k byte-level vocabulary, with possessive runs: the same splits, less backtracking.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: White space (as the vocabulary's pattern has it) in runs that would overflow the pattern's stack if they were long enough.
+LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _ENCODERS: dict[str, object] = {}
 
 
@@ -42,8 +45,24 @@ def encoder(ranks_path: str):
 
 
 def encode(enc, text: str) -> list[int]:
-    """The ids of a text. An added token within it is its own id, and what stands between such is split alone."""
-    return enc.encode(text, allowed_special="all")
+    """The ids of a text. An added token within it is its own id, and what stands between such is split alone.
+
+    A run of white space is one piece up to its last character, which goes with what follows; at the end of a part it
+    is one piece as a whole. Very long runs are cut by that rule beforehand."""
+    if LONG_GAP.search(text) is None:
+        return enc.encode(text, allowed_special="all")
+    out: list[int] = []
+    for part in re.split(f"({'|'.join(map(re.escape, sorted(enc.special_tokens_set)))})", text) if enc.special_tokens_set else [text]:
+        if part in enc.special_tokens_set:
+            out.append(enc.encode_single_token(part))
+            continue
+        at = 0
+        for gap in LONG_GAP.finditer(part):
+            last = gap.end() if gap.end() == len(part) else gap.end() - 1
+            out += enc.encode_ordinary(part[at : gap.start()]) + enc.encode_ordinary(part[gap.start() : last])
+            at = last
+        out += enc.encode_ordinary(part[at:])
+    return out
 
 
 def default_ranks() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import textvec as tv
-from loam.llm.common import flat, slices, stash, texts_of
+from loam.llm.common import flat, if_small, slices, stash, texts_of
 
 LENGTH = 100
 #: Bytes of an anchor: each string of LENGTH bytes is keyed by the least hash of its substrings of this length.
@@ -19,6 +19,8 @@ ANCHOR = 20
 #: Segments that are put in suffix order together.
 CHUNK_ROWS = 20_000
 U = np.uint64
+#: Low bits that hold a place in a slice (4 GB at most).
+PLACE = U(0xFFFFFFFF)
 _ROW = ["h", "doc", "a", "n"]
 
 
@@ -27,8 +29,9 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, width: int) -> tuple
     keys; the first of these strings' start in the text and their number."""
     reach = length - width + 1
     h = tv.windows(buf, width)
-    bits = U((1 << len(buf).bit_length()) - 1)
-    # the place fills the low bits, so the leftmost of equal hashes wins: a rule by content alone
+    bits = PLACE
+    # the place fills the low 32 bits whatever the slice's length, and the leftmost of equal leading bits wins: which
+    # substring of a string is its anchor depends on the string alone
     low = tv.sliding_min((h & ~bits) | np.arange(len(h), dtype=U), reach)
     size = np.diff(offs)
     stop = np.repeat(offs[1:], size)[: len(low)]
@@ -244,8 +247,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     longest-previous-factor array (previous and next smaller position) tells which strings stand earlier.
 
     Null or empty text: no bytes, nothing removed. Shorter than ``length``: unchanged. Null doc_id: not returned.
-    Repeated rows of a doc_id with the same text: one document, each row returned. Empty table: no rows."""
+    Repeated rows of a doc_id with the same text: one document, each row returned. With different texts: the text of
+    least hash is the document; the others are returned whole and are no earlier occurrence of anything. Empty table:
+    no rows. Other columns: ignored."""
     texts = texts_of(docs.where("doc_id is not null"))
+    h = F.xxhash64("text")
+    several = stash(texts.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id", "lo"), "several")
+    rest = None
+    if several.limit(1).count():
+        both = texts.join(if_small(several), "doc_id", "left").withColumn("own", F.coalesce(F.col("lo") == h, F.lit(True)))
+        texts, rest = both.where("own").select("doc_id", "text"), both.where("not own").select("doc_id", "text")
     rows = texts.mapInArrow(lambda it: _anchors(it, length, ANCHOR), "h long, ctx long, doc long, a int, n int, twin boolean")
     rows = rows.repartition("h").sortWithinPartitions("twin", "h", "ctx", "doc", "a")
     marks = stash(rows.mapInArrow(_classes, "h long, doc long, a int, n int, whole boolean"), "anchors")
@@ -254,4 +265,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     compared = segments.repartition("h").sortWithinPartitions("h", "doc", "a").mapInArrow(lambda it: _marks(it, length), "doc long, a int, n int")
     cover = compared.unionAll(marks.where("whole").select("doc", "a", "n")).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("a", "n")).alias("spots"))
     both = texts.join(cover, texts["doc_id"] == cover["of"], "left").select("doc_id", "text", "spots")
+    if rest is not None:
+        both = both.unionByName(rest.withColumn("spots", F.lit(None).cast(both.schema["spots"].dataType)))
     return both.mapInArrow(lambda it: _digest(it, length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -19,6 +19,8 @@ from loam.llm.common import shared_dir, stash
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes that a reader or writer handles at a time.
 STEP = 1 << 20
+#: Bytes of a file that one task reads.
+SPAN = 16 << 20
 END = b"\r\n\r\n"
 INDEX = "path string, offset long, size long, record_id string, record_type string, uri string"
 
@@ -182,12 +184,16 @@ def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return the index (path, offset, size, record_id, record_type, uri). Beside each ``X.members.warc.gz`` in ``folder``
     its own rows of it are written as ``X.members.cdx.parquet``. A file
     with members already is rewritten alike. A file that ends within a record is an error; an empty one has no rows."""
-    return stash(archives.repartition(F.col("path")).mapInArrow(lambda it: _normalise(it, folder, level), INDEX), "cdx")
+    n = max(1, archives.count())
+    return stash(archives.repartition(n).mapInArrow(lambda it: _normalise(it, folder, level), INDEX), "cdx")
 
 
 def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records of an index, each from its own member. A revisit has the size and digest of what it refers to."""
-    return index.mapInArrow(lambda it: _read(it, folder, with_payload), READ)
+    """The records of an index, each from its own member, dealt out by ``SPAN`` bytes of each file. A revisit's payload
+    is that of the record it refers to and isn't read again: its size is null here."""
+    span = F.floor(F.col("offset") / SPAN)
+    n = max(1, index.select("path", span).distinct().count())
+    return index.repartition(n, "path", span).sortWithinPartitions("path", "offset").mapInArrow(lambda it: _read(it, folder, with_payload), READ)
 
 
 def archive_folder(spark) -> str:
@@ -195,7 +201,10 @@ def archive_folder(spark) -> str:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of ``pages`` as read back from the archives."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of ``pages`` as read back from the archives.
+
+    Null html: an empty payload. Null page_id: not returned. Null or empty url: ``about:blank``. Repeated rows of a
+    page_id: one row each. Very long html: one record. Empty table: no rows. Other columns: ignored."""
     folder = archive_folder(pages.sparkSession)
     rows = stash(read(normalise(write(pages, folder), folder), folder, with_payload=False).drop("payload", "url"), "read")
     whole = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("payload_bytes").alias("n"))
