@@ -23,7 +23,9 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: The split pattern of the 50k byte-level vocabulary, with possessive runs: the same splits, less backtracking.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: White space (as the vocabulary's pattern has it) in runs that would overflow the pattern's stack if they were long enough.
+#: Runs of white space (as the vocabulary's pattern has it); in texts of over MANY characters they may be so long that
+#: they overflow the pattern's stack.
+MANY = 200_000
 LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _ENCODERS: dict[str, object] = {}
 
@@ -49,8 +51,8 @@ def encode(enc, text: str) -> list[int]:
 
     A run of white space is one piece up to its last character, which goes with what follows; at the end of a part it
     is one piece as a whole. Very long runs are cut by that rule beforehand."""
-    if LONG_GAP.search(text) is None:
-        return enc.encode(text, allowed_special="all")
+    if len(text) < MANY or LONG_GAP.search(text) is None:
+        return enc.encode(text, allowed_special="all") if any(t in text for t in enc.special_tokens_set) else enc.encode_ordinary(text)
     out: list[int] = []
     for part in re.split(f"({'|'.join(map(re.escape, sorted(enc.special_tokens_set)))})", text) if enc.special_tokens_set else [text]:
         if part in enc.special_tokens_set:
