@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import components, stash
 
-#: Leading principal dimensions that make the grid and the boxes.
-DIMS = 8
-#: Vectors of a block, and children of a node of the recursion.
-BLOCK = 1024
-FAN = 8
+#: Leading principal dimensions that make the grid and the boxes, and those of the first look at a pair of vectors.
+DIMS, LOOK = 16, 24
+#: Vectors of a block, and children of a node of the recursion: its lowest nodes are intervals of so many blocks.
+BLOCK, FAN = 512, 16
+#: Share of a pair of blocks' vectors up to which those that the first look leaves are computed one by one.
+FEW = 0.03
 
 
 def _clean(column: pa.Array) -> list[np.ndarray | None]:
@@ -49,18 +50,18 @@ def _moments(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordB
 
 
 def principal(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The leading principal directions of the unit vectors (dim x DIMS), from sums over all of them."""
+    """The principal directions of the unit vectors (dim x dim), leading ones first, from sums over all of them."""
     sums = vectors.mapInArrow(lambda it: _moments(it, dim), "k int, x double").groupBy("k").agg(F.sum("x")).orderBy("k").toPandas().to_numpy()[:, 1]
     n, first, second = sums[0], sums[1 : dim + 1], sums[dim + 1 :].reshape(dim, dim)
     _, vec = np.linalg.eigh(second / n - np.outer(first / n, first / n))
-    return np.ascontiguousarray(vec[:, ::-1][:, :DIMS])
+    return np.ascontiguousarray(vec[:, ::-1])
 
 
 def _cells(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, eps: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = unit(batch.column("raw").to_pylist(), dim) @ axes
+        at = unit(batch.column("raw").to_pylist(), dim) @ axes[:, :DIMS]
         # cells in lexicographic order of their numbers: each number as one sortable character
         cell = ["".join(chr(0x1000 + int(c)) for c in r) for r in np.floor(at / eps)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "weight", "raw")), pa.array(cell)], ["rep", "weight", "raw", "cell"])
@@ -75,7 +76,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, size:
     def block(rows: pa.Table) -> pa.RecordBatch:
         nonlocal number
         raw = rows.column("raw").to_pylist()
-        at = unit(raw, dim) @ axes
+        at = unit(raw, dim) @ axes[:, :DIMS]
         number += 1
         return pa.RecordBatch.from_arrays(
             [pa.array([(part << 32) + number - 1], pa.int64()), pa.array([rows.column("rep").to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([rows.column("weight").to_numpy().astype(np.int64).tobytes()], pa.binary()),
@@ -93,64 +94,116 @@ def _blocks(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, size:
         yield block(rest)
 
 
-def block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a <= b: the blocks (block, lo, hi) that may hold a pair within ``eps``.
+def interval_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """(a, b), a <= b: the intervals of ``FAN`` blocks (block, lo, hi) that may hold a pair within ``eps``.
 
-    The blocks in order are the leaves of a tree with ``FAN`` children a node; starting at the root, pairs of sequence
+    The intervals in order are the leaves of a tree with ``FAN`` children a node; starting at the root, pairs of sequence
     intervals split into pairs of their children, and those whose boxes lie more than ``eps`` apart are dropped."""
     top = boxes.agg(F.max("block")).first()[0]
     if top is None:
         return boxes.select(F.col("block").alias("a"), F.col("block").alias("b"))
-    low = lambda c, f: F.array(*[f(F.col(c)[k]) for k in range(DIMS)])
-    levels = [boxes.select(F.col("block").alias("node"), "lo", "hi")]
-    while top > 0:
+    size = len(boxes.first()["lo"])
+    low = lambda c, f: F.array(*[f(F.col(c)[k]) for k in range(size)])
+    levels, below = [], boxes.select(F.col("block").alias("node"), "lo", "hi")
+    while not levels or top > 0:
         top //= FAN
-        up = levels[-1].withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-        levels.append(up.groupBy("node").agg(low("lo", F.min).alias("lo"), low("hi", F.max).alias("hi")))
+        up = below.withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
+        below = up.groupBy("node").agg(low("lo", F.min).alias("lo"), low("hi", F.max).alias("hi"))
+        levels.append(below)
     pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
     for level in levels[-2::-1]:
         kids = level.withColumn("up", F.floor(F.col("node") / FAN).cast("long"))
         left = kids.select(F.col("up").alias("a"), F.col("node").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
         right = kids.select(F.col("up").alias("b"), F.col("node").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-        gap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.greatest(F.get("la", k) - F.get("hb", k), F.get("lb", k) - F.get("ha", k), F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
+        gap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.greatest(F.get("la", k) - F.get("hb", k), F.get("lb", k) - F.get("ha", k), F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
         pairs = pairs.join(left, "a").join(right, "b").where((F.col("na") <= F.col("nb")) & (gap <= eps * eps * (1 + 1e-9) + 1e-12)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
         pairs = stash(pairs, "boxes")
     return pairs
 
 
-def _links(batches: Iterable[pa.RecordBatch], dim: int, least: float) -> Iterator[pa.RecordBatch]:
-    """For each block pair: (id, links, root), the number of linked vectors in the other block and one linked vector
-    that stands for the part of the pair's graph that the vector lies in."""
+class Block:
+    """A block's vectors as given and as unit vectors, their leading principal parts, and their ids and weights."""
+
+    def __init__(self, row: dict, dim: int, axes: np.ndarray):
+        self.number, self.x = row["block"], np.frombuffer(row["data"], np.float64).reshape(-1, dim)
+        self.ids, self.weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
+        self.unit, self.lo, self.hi = unit([row["data"]], dim), np.array(row["lo"]), np.array(row["hi"])
+        self.look = (self.unit @ axes[:, :LOOK]).astype(np.float32)
+        self.square = (self.look * self.look).sum(axis=1)
+
+
+def linked_pairs(a: Block, b: Block, least: float) -> np.ndarray | None:
+    """Whether each two vectors of two blocks have a cosine of ``least`` in double precision; None if their boxes or
+    the first look at their leading principal parts leave no pair. What these leave out is provably further apart."""
+    eps2 = 2 - 2 * least
+    gap = np.maximum(0, np.maximum(a.lo - b.hi, b.lo - a.hi))
+    if gap @ gap > eps2 * (1 + 1e-9) + 1e-12:
+        return None
+    near = a.square[:, None] + b.square[None, :] - 2 * (a.look @ b.look.T) <= np.float32(eps2 + 1e-4)
+    i, j = np.nonzero(near)
+    if not len(i):
+        return None
+    linked = np.zeros(near.shape, bool)
+    if len(i) > FEW * near.size:
+        cos = a.unit @ b.unit.T
+        np.greater_equal(cos, least, out=linked)
+        i, j = np.nonzero(np.abs(cos - least) < 1e-9)
+    else:
+        cos = np.einsum("ij,ij->i", a.unit[i], b.unit[j])
+        linked[i, j] = cos >= least
+        close = np.abs(cos - least) < 1e-9
+        i, j = i[close], j[close]
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):  # so near the threshold the plain formula on the vectors as given decides
+        x, y = a.x[p], b.x[q]
+        linked[p, q] = float(x @ y) / (float(x @ x) ** 0.5 * float(y @ y) ** 0.5) >= least
+    return linked
+
+
+def _links(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows are the blocks of a pair of intervals (a, b), in order of (a, b, block). For each pair of blocks of the two:
+    (id, links, root), the number of linked vectors in the other block and one linked vector that stands for the part
+    of the pair's graph that the vector lies in."""
+    def stars(a: Block, b: Block) -> Iterator[pa.RecordBatch]:
+        linked, same = linked_pairs(a, b, least), a.number == b.number
+        if linked is None:
+            return
+        if same:
+            np.fill_diagonal(linked, False)
+        if not linked.any():
+            return
+        count = linked @ b.weights
+        rows = [(a.ids, count)] if same else [(a.ids, count), (b.ids, a.weights @ linked)]
+        # spanning stars: labels spread over the dense block until they rest
+        la, lb = a.ids.copy(), b.ids.copy()
+        big = np.iinfo(np.int64).max
+        while True:
+            nla = np.minimum(la, np.where(linked, lb[None, :], big).min(axis=1, initial=big))
+            nlb = nla if same else np.minimum(lb, np.where(linked, nla[:, None], big).min(axis=0, initial=big))
+            if (nla == la).all() and (nlb == lb).all():
+                break
+            la, lb = nla, nlb
+        for (ids, n), root in zip(rows, [la] if same else [la, lb], strict=True):
+            on = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(n[on].astype(np.int64)), pa.array(root[on])], ["id", "links", "root"])
+
+    def tile(key: tuple, held: list[Block]) -> Iterator[pa.RecordBatch]:
+        left, right = ([x for x in held if x.number // FAN == k] for k in key)
+        for a in left:
+            for b in right:
+                if a.number <= b.number:
+                    yield from stars(a, b)
+
+    now, held = None, []
     for batch in batches:
-        for ia, wa, da, ib, wb, db, same in zip(*(batch.column(c).to_pylist() for c in ("ia", "wa", "da", "ib", "wb", "db", "same")), strict=True):
-            a, b = unit([da], dim), unit([db], dim)
-            na, wa_, nb, wb_ = np.frombuffer(ia, np.int64), np.frombuffer(wa, np.int64), np.frombuffer(ib, np.int64), np.frombuffer(wb, np.int64)
-            cos = a @ b.T
-            linked = cos >= least
-            close = np.argwhere(np.abs(cos - least) < 1e-9)
-            if len(close):  # so near the threshold the plain formula on the vectors as given decides
-                x, y = np.frombuffer(da, np.float64).reshape(-1, dim), np.frombuffer(db, np.float64).reshape(-1, dim)
-                for i, j in close:
-                    linked[i, j] = float(x[i] @ y[j]) / (float(x[i] @ x[i]) ** 0.5 * float(y[j] @ y[j]) ** 0.5) >= least
-            if same:
-                np.fill_diagonal(linked, False)
-            if not linked.any():
-                continue
-            ca = linked @ wb_
-            rows = [(na, ca)] if same else [(na, ca), (nb, wa_ @ linked)]
-            # spanning stars: labels spread over the dense block until they rest
-            la, lb = na.copy(), nb.copy()
-            big = np.iinfo(np.int64).max
-            while True:
-                nla = np.minimum(la, np.where(linked, lb[None, :], big).min(axis=1, initial=big))
-                nlb = nla if same else np.minimum(lb, np.where(linked, nla[:, None], big).min(axis=0, initial=big))
-                if (nla == la).all() and (nlb == lb).all():
-                    break
-                la, lb = nla, nlb
-            roots = [la] if same else [la, lb]
-            for (ids, count), root in zip(rows, roots, strict=True):
-                on = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(count[on].astype(np.int64)), pa.array(root[on])], ["id", "links", "root"])
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if now != (row["a"], row["b"]):
+                if held:
+                    yield from tile(now, held)
+                now, held = (row["a"], row["b"]), []
+            held.append(Block(row, dim, axes))
+    if held:
+        yield from tile(now, held)
 
 
 def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -158,9 +211,10 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col
     the others linked directly, component_id is the smallest id reachable.
 
     Equal vectors become one with a weight. The rest are unit vectors, for which a cosine of ``least`` is a distance
-    ``eps``; a grid of that width on the leading principal dimensions orders them, blocks of the order are joined
-    recursively and blocks further apart than ``eps`` skipped (:func:`block_pairs`). Each remaining pair of blocks is
-    one matrix product in double precision, and gives sums and one row per vector, never its pairs.
+    ``eps``; a grid of that width on the leading principal dimensions orders them. Intervals of the order are joined
+    recursively, those further apart than ``eps`` skipped (:func:`interval_pairs`); a task gets the blocks of two
+    intervals, skips pairs of blocks and of vectors that are further apart in their leading principal parts
+    (:func:`linked_pairs`), computes the others in double precision, and gives sums and one row per vector, never pairs.
 
     Null, empty or zero vectors and those with null or non-finite components: no links, a component of their own.
     Vectors of different lengths are not compared. Repeated rows of an id: several vectors to the counts, and each row
@@ -176,17 +230,15 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col
         heads = member.where((F.col("dim") == dim) & (F.col("vec_id") == F.col("rep"))).select("vec_id", "rep", "weight").distinct()
         distinct = stash(real.where(F.col("dim") == dim).join(heads, "vec_id").select("rep", "weight", "raw").dropDuplicates(["rep"]), "distinct")
         axes = principal(distinct, dim)
-        axes = np.pad(axes, ((0, 0), (0, DIMS - axes.shape[1])))
         cells = distinct.mapInArrow(lambda it, dim=dim, axes=axes: _cells(it, dim, axes, eps), "rep long, weight long, raw binary, cell string")
         ordered = cells.repartitionByRange("cell", "rep").sortWithinPartitions("cell", "rep")
         blocks = stash(ordered.mapInArrow(lambda it, dim=dim, axes=axes: _blocks(it, dim, axes, BLOCK), "place long, ids binary, weights binary, data binary, lo array<double>, hi array<double>"), "blocks")
         boxes = stash(_numbered(blocks.select("place", "lo", "hi")), "numbered")
-        at = boxes.select("block", "place")
-        pairs = block_pairs(boxes.select("block", "lo", "hi"), eps).join(at.toDF("a", "pa"), "a").join(at.toDF("b", "pb"), "b")
-        left = blocks.select(F.col("place").alias("pa"), F.col("ids").alias("ia"), F.col("weights").alias("wa"), F.col("data").alias("da"))
-        right = blocks.select(F.col("place").alias("pb"), F.col("ids").alias("ib"), F.col("weights").alias("wb"), F.col("data").alias("db"))
-        tiles = pairs.join(left, "pa").join(right, "pb").select("ia", "wa", "da", "ib", "wb", "db", (F.col("a") == F.col("b")).alias("same"))
-        found = stash(tiles.mapInArrow(lambda it, dim=dim: _links(it, dim, least), "id long, links long, root long"), "links")
+        pairs = interval_pairs(boxes.select("block", "lo", "hi"), eps)
+        sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("interval"))
+        placed = blocks.join(boxes.select("place", "block"), "place").withColumn("interval", F.floor(F.col("block") / FAN).cast("long"))
+        tiles = sides.join(placed, "interval").select("a", "b", "block", "ids", "weights", "data", "lo", "hi").repartition(max(1, pairs.count()), "a", "b").sortWithinPartitions("a", "b", "block")
+        found = stash(tiles.mapInArrow(lambda it, dim=dim, axes=axes: _links(it, dim, axes, least), "id long, links long, root long"), "links")
         linked = found if linked is None else linked.unionAll(found)
         edges = edges.unionAll(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     out = rows.select("vec_id")

@@ -170,21 +170,74 @@ def test_minhash(spark, table, width):
     assert minhash.drop_near_duplicates(df, width).columns == df.columns
 
 
-def test_minhash_runs_of_small_sets():
-    """Every linked subset of 2 to 20 values, wherever its missing values stand: both sets stay listed together."""
-    import pyarrow as pa
-
+def test_minhash_runs_of_small_sets(spark):
+    """Sets of up to 20 values and all their subsets that are linked with them share as many runs as the filters ask for."""
     values = np.sort(np.random.default_rng(8).integers(0, 1 << 62, 20).astype(np.uint64))
-    for n in range(2, 21):
+    least = dict(spark.range(2, 21).select(F.col("id").cast("int"), minhash.least_shared(F.col("id"), 0.2).cast("int")).collect())
+    for n in range(4, 21):
         x = values[:n]
-        sets = [x, *(np.delete(x, list(gone)) for d in range(1, n // 5 + 1) for gone in itertools.combinations(range(n), d))]
-        cols = [pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())]
-        keys = defaultdict(set)
-        for batch in minhash._keys([pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sketch"])]):
-            for k, d in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), strict=True):
-                keys[d].add(k)
-        for d, s in enumerate(sets[1:], 1):
-            assert len(keys[0] & keys[d]) >= max(minhash.SHARED_SMALL if m <= minhash.SMALL else minhash.SHARED for m in (n, len(s))), (n, len(s))
+        mine = set(minhash.run_keys(x, n).tolist())
+        for d in range(1, n // 5 + 1):
+            for gone in itertools.combinations(range(n), d):
+                y = np.delete(x, list(gone))
+                if 100 * len(y) >= 80 * n:
+                    assert len(mine & set(minhash.run_keys(y, len(y)).tolist())) >= max(least[n], least[len(y)]), (n, gone)
+
+
+def test_minhash_linked_pairs_of_all_sizes_meet():
+    """Recall of the sketches' lists for pairs at the threshold, by size; exact up to 0.8 K values."""
+    rng = np.random.default_rng(9)
+    for n in (13, 16, 40, 76, 120, 300, 1000, 4000):
+        for _ in range(200):
+            u = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            out = rng.permutation(len(u))[: len(u) // 5]
+            cut = rng.integers(0, len(out) + 1)
+            x, y = np.delete(u, out[:cut]), np.delete(u, out[cut:])
+            assert 100 * len(np.intersect1d(x, y)) >= 80 * len(u)
+            shared = len(set(minhash.run_keys(x[: minhash.K], len(x)).tolist()) & set(minhash.run_keys(y[: minhash.K], len(y)).tolist()))
+            assert shared >= minhash.SHARED, n
+
+
+def test_minhash_blocks_against_plain_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = []
+    for _ in range(90):
+        keep = base[rng.random(300) > rng.choice([0.02, 0.1, 0.2])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)])))
+    sets += [np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64)), base[:1]]
+    got = minhash.similar(sets, 30, 80, 100)
+    for i in range(30):
+        for j in range(len(sets)):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            assert got[i, j] == (100 * len(a & b) >= 80 * len(a | b)), (i, j)
+
+
+def test_minhash_families_and_several_blocks(spark, monkeypatch):
+    """Copies around the threshold of one text, a row given twice, and one doc_id with two texts, in blocks of a few."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "MEMBERS", 5)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([0, 2, 5, 7, 8, 9, 10, 14])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [rows[5], (2000, "a b c d e"), (2000, rows[7][1]), (None, rows[8][1])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) - 1
+    by = {}
+    for d, t in rows[:121]:
+        w = t.split()
+        by[d] = {tuple(w[k : k + 2]) for k in range(len(w) - 1)}
+    links = [(a, b) for a, b in itertools.combinations(by, 2) if 100 * len(by[a] & by[b]) >= 80 * len(by[a] | by[b])]
+    want = union(sorted(by), links)
+    for r in got:
+        if r.doc_id != 2000:
+            assert r.component_id == want[r.doc_id], r
+    assert sorted(r.n_shingles for r in got if r.doc_id == 2000) == sorted([4, len(by[rows[7][0]])])
 
 
 def test_minhash_of_texts_cut_short(spark):
