@@ -173,7 +173,7 @@ def shared_counts(ids: np.ndarray, owner: np.ndarray, left: int, width: int) ->
 
 
 def similar(sets: list[np.ndarray], left: int, num: int, den: int) -> np.ndarray:
-    """(left x all) whether den * |A & B| >= num * |A | B| for the first ``left`` sets and all sets.
+    """(left x all) whether den * |A & B| >= num * |A | B| for the first ``left`` sets and all others.
 
     Sets are held as their differences from the values that most of them have: |A ^ B| = |DA| + |DB| - 2 |DA & DB|."""
     width, size = len(sets), np.array([len(x) for x in sets], np.int64)

