@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What looks like a secret, and where a text gives edit instructions.
-SECRET = r"(sk-[A-Za-z0-9_-]{16,}|token\s*=\s*\"[0-9a-f]{40}\")"
+#: An API key, what replaces it, the line ends, and explicit edit instructions.
+SECRET = r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{8,}"
+REDACTED = "[REDACTED_API_KEY]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+INSTRUCTION = r"\b(change|replace|edit|modify)\b.{0,40}\b(to|with)\b|把.{0,30}(改成|替换为)|第\s*\d+\s*行"
+FRAME = r'(?m)^\s*File "([^"]+)", line (\d+), in ([^\n]+)$'
+DECISION_RELATIONS = ("CALL", "DEF_USE", "CONTROL", "TYPE", "IMPORT", "ATTRIBUTE", "INHERITANCE", "OVERRIDE", "EXCEPTION", "TRACEBACK", "DECORATOR", "NONE")
 
 
 def splitlines(text: Column) -> Column:
     """Lines without their ends; a final line end makes no further line. Null: null."""
-    parts = F.split(text, "\r\n|\n|\r|\x0b|\x0c", -1)
+    parts = F.split(text, LINE_END, -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -51,16 +56,74 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
 
 
-def has_secret(text: Column) -> Column:
-    return text.rlike(SECRET)
+def has_secret(text: Column, more: str = "") -> Column:
+    """``more``: a further pattern that counts as a secret."""
+    return text.rlike(f"{SECRET}|{more}" if more else SECRET)
 
 
-def redact(text: Column) -> Column:
-    return F.regexp_replace(text, SECRET, "[REDACTED]")
+def redact(text: Column, more: str = "") -> Column:
+    return F.regexp_replace(text, f"{SECRET}|{more}" if more else SECRET, REDACTED)
+
+
+def has_instruction(text: Column) -> Column:
+    return text.rlike("(?i)" + INSTRUCTION)
+
+
+def canonical_json(*cols: Column | str) -> Column:
+    """Compact JSON with keys in order and nulls written; for strings and integers without control characters."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def hash64(*parts: Column) -> Column:
+    """The first 64 bits of the SHA-256 of the parts joined by \\x1f, as a decimal(20, 0)."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Jaccard of the words of two names, split at underscores and what is no word character."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[_\W]+", -1))
+    return jaccard(words(a), words(b))
+
+
+def repo_of(value: Column) -> Column:
+    """(repository, commit) of ``x/owner__name.commit``; null if it is none or has unsafe characters."""
+    encoded = F.regexp_replace(value, "^[^/]*/", "")
+    pattern = r"^([A-Za-z0-9_.-]+?)__([A-Za-z0-9_.-]+)\.([^.]*)$"
+    return F.when(encoded.rlike(pattern), F.struct(F.concat_ws("/", F.regexp_extract(encoded, pattern, 1), F.regexp_extract(encoded, pattern, 2)).alias("repository"), F.regexp_extract(encoded, pattern, 3).alias("commit")))
+
+
+def slug(value: Column, limit: int = 96) -> Column:
+    safe = F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z0-9_.-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.concat_ws("_", F.substring(safe, 1, limit), stable_hash(value, length=12))
 
 
 def numbered_view(lines: Column) -> Column:
-    return F.array_join(F.transform(lines, lambda x, i: F.format_string("%6d\t%s", i + 1, x)), "\n")
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 6, " "), F.lit("\t"), x)), "\n")
+
+
+def grep_line(path: Column, line: Column, text: Column) -> Column:
+    return F.concat_ws(":", path, line.cast("string"), text)
+
+
+def pair_document(anchor: Column, candidate: Column) -> Column:
+    return F.concat(F.lit("[ANCHOR]\n"), anchor, F.lit("\n[CANDIDATE]\n"), candidate)
+
+
+def fenced_json(text: Column) -> Column:
+    """The text inside a Markdown code fence, or all of it."""
+    inner = F.regexp_extract(F.trim(text), r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$", 1)
+    return F.when(inner != "", inner).otherwise(F.trim(text))
+
+
+def braces(text: Column) -> Column:
+    """From the first brace to the last; null without them."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def valid_decision(d: Column, block_id: Column) -> Column:
+    """Whether a reviewer's decision (block_id, role, relation, confidence) is well formed and about the block."""
+    relation = F.coalesce(d["relation"], F.lit("NONE"))
+    return F.coalesce((d["block_id"] == block_id) & d["role"].isin("SUPPORT", "DROP") & relation.isin(*DECISION_RELATIONS) & d["confidence"].between(0, 1), F.lit(False))
 
 
 def patch_path(raw: Column) -> Column:
@@ -70,6 +133,6 @@ def patch_path(raw: Column) -> Column:
 
 
 def traceback_frames(text: Column) -> Column:
-    """path:line of each frame of a Python traceback, in order."""
-    pattern = F.lit(r'(?m)^\s*File "([^"]+)", line (\d+)')
-    return F.zip_with(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2), lambda p, n: F.struct(p.alias("path"), n.cast("int").alias("line")))
+    """(path, line, name) of each frame of a Python traceback, in order; a line without the name is no frame."""
+    all_ = lambda k: F.regexp_extract_all(text, F.lit(FRAME), k)
+    return F.transform(F.arrays_zip(all_(1).alias("path"), all_(2).alias("line"), all_(3).alias("name")), lambda x: F.struct(x["path"].alias("path"), x["line"].cast("int").alias("line"), F.trim(x["name"]).alias("name")))

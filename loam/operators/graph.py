@@ -18,27 +18,41 @@ def unique_targets(names: DataFrame, name: str, value: str) -> DataFrame:
     return names.groupBy(name).agg(F.count("*").alias("n"), F.first(value).alias(value)).where("n = 1").drop("n")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of an undirected graph (u, v): the smallest node that is reachable; nodes without an edge to
+    another don't appear. In turns every node's larger neighbours, then its smaller ones, are tied to the least of them:
+    rounds are logarithmic in the graph's size, a node's neighbours are never gathered, and each round is checkpointed
+    where a folder is set (else kept in memory, and the one before given up)."""
+    saved = bool(pairs.sparkSession.sparkContext.getCheckpointDir())
+    keep = lambda df: df.checkpoint() if saved else df.persist()
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+    now = keep(pairs.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
+    was, at = None, state(now)
+    while at[0] and at != was:
+        ends = now.unionAll(now.select("lo", "hi")).toDF("u", "v")
+        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ends.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low).distinct()
+        before, now = now, keep(small)
+        was, at = at, state(now)
+        if not saved:
+            before.unpersist()
+    return now.toDF("node", "component")
+
+
 def shared_key_components(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
     """(node, component): nodes that share a value of any of ``keys``, directly or through others, have the smallest
-    node. Each round takes the least label of every key value and then of every node: partial aggregates and joins on
-    (key, value) and node; rounds are written through ``checkpoint`` where a folder is set. A group costs one row a
-    member, never its pairs."""
-    spark = rows.sparkSession
-    links = None
+    node. Each value ties its nodes to the least of them: a group costs one row a member, never its pairs."""
+    pairs = None
     for k in keys:
-        part = rows.where(F.col(k).isNotNull()).select(F.col(node).alias("node"), F.lit(k).alias("kind"), F.col(k).cast("string").alias("value"))
-        links = part if links is None else links.unionAll(part)
-    label = rows.select(F.col(node).alias("node")).distinct().withColumn("component", F.col("node"))
-    saved = bool(spark.sparkContext.getCheckpointDir())
-    moved = 1
-    while moved and links is not None:
-        least = links.join(label, "node").groupBy("kind", "value").agg(F.min("component").alias("least"))
-        new = links.join(least, ["kind", "value"]).groupBy("node").agg(F.min("least").alias("least"))
-        now = label.join(new, "node", "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
-        now = now.checkpoint() if saved else now.persist()
-        moved = now.where("component <> was").limit(1).count()
-        label = now.select("node", "component")
-    return label
+        part = rows.where(F.col(k).isNotNull()).select(F.col(node).alias("u"), F.col(k).alias("value"))
+        ties = part.join(part.groupBy("value").agg(F.min("u").alias("v")), "value").select("u", "v")
+        pairs = ties if pairs is None else pairs.unionAll(ties)
+    nodes = rows.select(F.col(node).alias("node")).distinct()
+    if pairs is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def split_components(label: DataFrame, validation: float, test: float) -> DataFrame:

@@ -12,18 +12,21 @@ def role_rank(role: Column) -> Column:
 
 def lattice_merge(labels: DataFrame, keys: list[str]) -> DataFrame:
     """One label a key from (role, confidence, seq, source): the highest role, then confidence, then the first; and the
-    distinct sources in order of their first appearance. A max_by and an ordered collect in one aggregate."""
-    best = F.max_by(F.struct("role", "confidence"), F.struct(role_rank(F.col("role")), F.col("confidence"), -F.col("seq")))
-    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]))
-    return labels.groupBy(*keys).agg(best.alias("best"), seen.alias("provenance")).select(*keys, "best.role", "best.confidence", "provenance")
+    distinct sources in order of their first appearance. Each source's best and first are found before anything is
+    collected, so a key gathers its sources and not its rows."""
+    order = F.struct(role_rank(F.col("role")).alias("rank"), "confidence", (-F.col("seq")).alias("minus"))
+    each = labels.groupBy(*keys, "source").agg(F.max(F.struct(order.alias("order"), "role")).alias("best"), F.min("seq").alias("first"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda x: x["source"])
+    return each.groupBy(*keys).agg(F.max("best").alias("best"), seen.alias("provenance")).select(*keys, "best.role", "best.order.confidence", "provenance")
 
 
 def smallest_enclosing(points: DataFrame, blocks: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Each point (keys, at) with the smallest block (keys, start, stop, container) around it: blocks that are no
-    containers first, then the shorter, then the later start. An equi-join on the keys carries the range condition."""
-    inside = points.join(blocks, keys).where(F.col(at).between(F.col("start"), F.col("stop")))
+    containers first, then the shorter, then the later start. Points and blocks meet by the keys and a bucket of lines."""
+    from loam.operators.relations import around
+
     order = F.struct("container", F.col("stop") - F.col("start"), -F.col("start"))
-    return inside.groupBy(*keys, at).agg(F.min_by(F.struct("start", "stop"), order).alias("block")).select(*keys, at, "block.start", "block.stop")
+    return around(points, blocks, keys, at).groupBy(*keys, at).agg(F.min_by(F.struct("start", "stop"), order).alias("block")).select(*keys, at, "block.start", "block.stop")
 
 
 def dilate(rows: DataFrame, keys: list[str], at: str, mark: str, reach: int) -> DataFrame:
@@ -31,13 +34,17 @@ def dilate(rows: DataFrame, keys: list[str], at: str, mark: str, reach: int) ->
     return rows.withColumn("near", F.max(mark).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(-reach, reach)))
 
 
-def nearest_marked(rows: DataFrame, keys: list[str], at: str, mark: str) -> DataFrame:
-    """``distance`` to the nearest marked row of the key, null where there is none: one pass back, one ahead."""
+def nearest_marked(rows: DataFrame, keys: list[str], at: str, mark: str, middle: bool = False) -> DataFrame:
+    """``distance`` to the nearest marked row of the key: one pass back, one ahead. Where there is none: null, or with
+    ``middle`` the distance to the middle row, rows being numbered from 0."""
     w = Window.partitionBy(*keys).orderBy(at)
     spot = F.when(F.col(mark), F.col(at))
     back = F.last(spot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first(spot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("distance", F.least(F.col(at) - back, ahead - F.col(at)))
+    near = F.least(F.col(at) - back, ahead - F.col(at))
+    if middle:
+        near = F.coalesce(near, F.abs(F.col(at) - F.floor(F.count("*").over(Window.partitionBy(*keys)) / 2)))
+    return rows.withColumn("distance", near)
 
 
 def latest_definition(uses: DataFrame, definitions: DataFrame, key: str, at: str, value: str) -> DataFrame:

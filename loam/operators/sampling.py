@@ -34,17 +34,73 @@ def replay_mix(new: DataFrame, old: DataFrame, key: str, total: int, ratio: floa
     n_old = round(total * ratio)
 
     def draw(pool: DataFrame, n: int, name: str) -> DataFrame:
-        order = Window.orderBy(stable_hash(F.lit(seed), F.col(key)), key)
+        """The ``n`` first by hash of a pool that may be drawn several times: whole prefixes of the hash are counted,
+        and only the one in which the limit falls is ranked."""
         size = pool.count()
-        times = -(-n // size) if size else 0
-        ranked = pool.select(key, F.explode(F.sequence(F.lit(0), F.lit(max(0, times - 1)))).alias("turn")) if times > 1 else pool.select(key, F.lit(0).alias("turn"))
-        top = ranked.orderBy("turn", stable_hash(F.lit(seed), F.col(key)), key).limit(n)
-        del order
-        return top.select(key, "turn", F.lit(name).alias("pool"))
+        if not size or n < 1:
+            return pool.limit(0).select(key, F.lit(0).alias("turn"), F.lit(name).alias("pool"))
+        whole, rest = divmod(n, size)
+        hashed = pool.select(key, stable_hash(F.lit(seed), F.col(key)).alias("h")).withColumn("part", F.substring("h", 1, 3))
+        full = hashed.select(key, F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("turn")) if whole else None
+        ahead, cut = 0, None
+        for part, m in sorted(hashed.groupBy("part").count().collect()):  # 4,096 rows at most
+            if ahead + m > rest:
+                cut = part
+                break
+            ahead += m
+        last = hashed.where(F.col("part") < cut).select(key) if cut else hashed.select(key)
+        if cut:
+            last = last.unionAll(hashed.where(F.col("part") == cut).orderBy("h", key).limit(rest - ahead).select(key))
+        last = last.withColumn("turn", F.lit(whole))
+        return (full.unionByName(last) if full is not None else last).select(key, "turn", F.lit(name).alias("pool"))
 
     return draw(new, total - n_old, "new").unionByName(draw(old, n_old, "replay"))
 
 
+def grep_rows(rows: DataFrame, keys: list[str], at: str, seed: int, most: int, reach: int = 2) -> DataFrame:
+    """Of texts with a CORE line: lines within ``reach`` of one, and others in hash order, up to ``most``; with the marks
+    of what a search shows."""
+    from loam.operators.labels import dilate
+
+    per = Window.partitionBy(*keys)
+    near = dilate(rows.withColumn("p", F.col("role") == "CORE"), keys, at, "p", reach).withColumn("some", F.max("p").over(per)).where("some")
+    order = F.when(~F.col("near"), stable_hash(F.lit(seed), *[F.col(k) for k in keys], F.col(at)))
+    top = near.withColumn("r", F.row_number().over(per.orderBy(F.desc("near"), order, at))).where(F.col("r") <= most)
+    role = F.when(F.col("p"), F.col("role")).when(F.col("near"), "SUPPORT").otherwise("DROP")
+    return top.withColumns({"keep": F.col("near").cast("int"), "role": role, "confidence": F.when(F.col("p"), 1.0).when(F.col("near"), 0.75).otherwise(0.85)})
+
+
+def strategy_views(rows: DataFrame, seed: int, ratio: float) -> DataFrame:
+    """Lines (doc_id, q, n, i, x, k) chosen by each of four strategies: all kept lines (k), and others up to
+    ``ceil(n * ratio)`` lines, one staying out at least. ``local``: nearest to kept ones; ``lexical``: most words of the
+    query (q); ``mixed``: a third by hash, then nearest; ``wide``: by thirds of the distance."""
+    from loam.functions.text import query_tokens
+    from loam.operators.labels import nearest_marked
+
+    d = nearest_marked(rows, ["doc_id"], "i", "k", middle=True).withColumn("pos", F.count_if("k").over(Window.partitionBy("doc_id")))
+    d = d.withColumn("lex", F.size(F.array_intersect("q", query_tokens(F.col("x"))))).withColumn("strategy", F.explode(F.array(*map(F.lit, ("local", "lexical", "mixed", "wide")))))
+    s = F.col("strategy")
+    h = F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.col("doc_id").cast("string"), s, F.col("i").cast("string")), 256)
+    first = F.when(F.col("k"), 0).when(s == "lexical", -F.col("lex")).when(s == "mixed", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 3).when(s == "wide", F.floor(F.col("distance") / 3)).otherwise(0)
+    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("strategy", "doc_id").orderBy(F.desc("k"), first, F.when(s == "wide", 0).otherwise(F.col("distance")), h, "i")))
+    wanted = F.ceil(F.col("n") * F.lit(ratio))
+    most = F.greatest("pos", F.when((F.col("pos") < F.col("n")) & (wanted >= F.col("n")), F.col("n") - 1).otherwise(wanted))
+    return ranked.where(F.col("k") | (F.col("r") <= most))
+
+
+def file_listing(files: DataFrame, group: str, seed: int, most: int = 40, share: float = 0.3) -> DataFrame:
+    """(group, path, role, confidence) of a listing of (group, path, dir, patch): the files of the patch, others in hash
+    order up to ``most``, and of these as SUPPORT up to ``share`` of all, those in a directory of the patch first. Groups
+    with fewer than four files or no patch have none."""
+    per = Window.partitionBy(group)
+    g = files.withColumns({"pool": F.count("*").over(per), "np": F.count_if("patch").over(per), "samedir": F.max(F.col("patch").cast("int")).over(Window.partitionBy(group, "dir")), "r": F.row_number().over(Window.partitionBy(group, "patch").orderBy(stable_hash(F.lit(seed), F.col(group), F.col("path")), "path"))})
+    s = g.where((F.col("pool") >= 4) & (F.col("np") > 0) & (F.col("patch") | (F.col("r") <= most - F.col("np")))).withColumn("m", F.count("*").over(per))
+    want = F.greatest(F.col("np"), F.floor(share * F.col("m") + 0.999 + 1e-9)) - F.col("np")
+    t = s.withColumn("support", F.row_number().over(Window.partitionBy(group, "patch").orderBy(F.desc("samedir"), F.desc("path"))) <= want)
+    role = F.when(F.col("patch"), "CORE").when(F.col("support"), "SUPPORT").otherwise("DROP")
+    return t.select(group, "path", role.alias("role"), F.when(F.col("patch"), 1.0).when(F.col("support"), 0.7).otherwise(0.85).alias("confidence"))
+
+
 def select_views(lines: DataFrame, keys: list[str], at: str, keep: str, order: list[Column], ratio: float) -> DataFrame:
     """All kept lines of a key, and the best others up to ``ceil(n * ratio)`` lines; one line at least stays out."""
     per = Window.partitionBy(*keys)

@@ -34,8 +34,12 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode("lines").alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("line"), "text")
 
 
-LINES = r"""lines AS (SELECT doc_id, i AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM
- (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END ls FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r|\x0b|\x0c') l FROM documents))))"""
+def sql_lines(text: str) -> str:
+    parts = rf"string_split_regex({text}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')".replace("\\\\", "\\")
+    return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END)"
+
+
+LINES = f"""lines AS (SELECT doc_id, i AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT doc_id, {sql_lines("text")} ls FROM documents)))"""
 
 
 @query(f"""WITH {LINES}, shared AS (SELECT text FROM lines WHERE length(text) >= 12 GROUP BY text HAVING count(DISTINCT doc_id) > 1),
@@ -43,10 +47,14 @@ m AS (SELECT doc_id, line, text IN (SELECT text FROM shared) core FROM lines),
 n AS (SELECT *, max(core) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) near FROM m)
 SELECT doc_id, count(*) FILTER (WHERE core) n_core, count(*) FILTER (WHERE near AND NOT core) n_support, count(*) FILTER (WHERE NOT near) n_drop FROM n GROUP BY doc_id""")
 def doc_line_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that documents share are CORE, those within two of one SUPPORT, the others DROP."""
-    lines = doc_lines(spark, sf_dir)
-    shared = lines.where(F.length("text") >= 12).select("text", "doc_id").distinct().groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select("text", F.lit(True).alias("core"))
-    marked = lines.join(shared, "text", "left").select("doc_id", "line", F.coalesce("core", F.lit(False)).alias("core"))
+    """Lines that documents share are CORE, those within two of one SUPPORT, the others DROP. A line's hash and not its
+    text is shuffled, short lines, of which a few are everywhere, not at all, and a line is shared if the first and the
+    last document that have it differ."""
+    lines = doc_lines(spark, sf_dir).select("doc_id", "line", F.when(F.length("text") >= 12, F.unhex(F.md5(F.col("text").cast("binary")))).alias("h"))
+    long_ = lines.where("h is not null")
+    shared = long_.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
+    core = long_.join(shared, "h", "left_semi").select("doc_id", "line", F.lit(True).alias("core"))
+    marked = lines.select("doc_id", "line").join(core, ["doc_id", "line"], "left").select("doc_id", "line", F.coalesce("core", F.lit(False)).alias("core"))
     near = labels.dilate(marked, ["doc_id"], "line", "core", 2)
     return near.groupBy("doc_id").agg(F.count_if("core").alias("n_core"), F.count_if(F.col("near") & ~F.col("core")).alias("n_support"), F.count_if(~F.col("near")).alias("n_drop"))
 
@@ -70,8 +78,8 @@ SELECT doc_id, item_id, CAST(len(list_intersect(a, b)) AS INTEGER) overlap, roun
 def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier overlap of each document with one benchmark item: an equi-join, then array intersections."""
     items = read(spark, sf_dir, "benchmark").select("item_id", T.query_tokens(F.col("text")).alias("b"))
-    top = items.agg((F.max("item_id") + 1).alias("m"))
-    docs = read(spark, sf_dir, "documents").join(F.broadcast(top)).select("doc_id", (F.col("doc_id") % F.col("m")).alias("item_id"), T.query_tokens(F.col("text")).alias("a"))
+    top = items.agg(F.max("item_id") + 1).first()[0] or 1
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % top).alias("item_id"), T.query_tokens(F.col("text")).alias("a"))
     return docs.join(items, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).alias("overlap"), F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
 
@@ -81,9 +89,13 @@ def budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", t.alias("tokens"), ((lines <= 240) & (F.length("text") <= 30000) & (t <= 7500)).alias("fits"))
 
 
-@query(rf"""SELECT doc_id, sha256(regexp_replace(text, '{T.SECRET}', '[REDACTED]', 'g')) redacted FROM documents WHERE regexp_matches(text, '{T.SECRET}')""")
+#: A secret of the test tables besides API keys.
+PLANTED = r"token\s*=\s*\"[0-9a-f]{40}\""
+
+
+@query(rf"""SELECT doc_id, sha256(regexp_replace(text, '{PLANTED}', '{T.REDACTED}', 'g')) redacted FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{{8,}}|{PLANTED}')""")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where(T.has_secret(F.col("text"))).select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted"))
+    return read(spark, sf_dir, "documents").where(T.has_secret(F.col("text"), PLANTED)).select("doc_id", F.sha2(T.redact(F.col("text"), PLANTED), 256).alias("redacted"))
 
 
 @query("""SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.25""")
@@ -183,12 +195,12 @@ def frontier_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").join(parts, "l_partkey", "left_semi").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_distinct("l_orderkey").alias("orders"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey src, 'supplied' relation, -l_suppkey dst FROM lineitem), f AS (SELECT o_orderkey node FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 97 = 3)
+@query("""WITH e AS (SELECT DISTINCT l_orderkey src, 'supplied' relation, -l_suppkey dst FROM lineitem), f AS (SELECT o_orderkey node FROM orders WHERE o_orderpriority LIKE '1%')
 SELECT DISTINCT dst AS node, relation FROM e WHERE src IN (SELECT node FROM f)""")
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of chosen orders; the modulus is the frontier's definition."""
+    """Neighbours of all orders of the first priority."""
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("supplied").alias("relation"), (-F.col("l_suppkey")).alias("dst")).distinct()
-    frontier = read(spark, sf_dir, "orders").where("o_orderpriority like '1%' and o_orderkey % 97 = 3").select(F.col("o_orderkey").alias("node"))
+    frontier = read(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("node"))
     return graph.one_hop(edges, frontier)
 
 
@@ -272,7 +284,7 @@ def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def core_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of at most 12 lines around the lines with a table mark: an ordered fold, tested against plain Python."""
+    """Windows of at most 12 lines around the lines with an a: an ordered fold, tested against plain Python."""
     docs = read(spark, sf_dir, "documents").select("doc_id", T.splitlines(F.col("text")).alias("ls"))
     rows = docs.select("doc_id", F.size("ls").alias("n_lines"), F.posexplode("ls").alias("pos", "x")).where(F.col("x").contains("a")).select("doc_id", "n_lines", (F.col("pos") + 1).alias("line"))
     return labels.core_windows(rows, ["doc_id"], 12)

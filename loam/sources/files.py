@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import json
 import re
 import tomllib
 from collections.abc import Iterable, Iterator
@@ -25,14 +27,55 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.option("ignoreNullFields", "false").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_json(spark: SparkSession, path: str, default):
+    """One small JSON document; ``default`` where there is none."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if exists(spark, path) else default
+
+
+def write_json(spark: SparkSession, value, path: str, replace: bool = True) -> bool:
+    """One small JSON document with sorted keys, written beside its place and then moved; whether it was written."""
+    if not replace and exists(spark, path):
+        return False
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    files = to.getFileSystem(conf)
+    out = files.create(tmp, True)
+    out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()))
+    out.close()
+    files.delete(to, False)
+    return files.rename(tmp, to)
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """A folder of JSON lines for each split."""
+    df.repartition(split).write.partitionBy(split).json(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of each file."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed lines that are neither blank nor comments."""
+    """Trimmed lines that are neither blank nor comments; none where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "name string")
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' and name not like '#%'").distinct()
 
 
 def load_config(spark: SparkSession, path: str) -> dict:
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
-    return tomllib.loads(text)
+    found = tomllib.loads(text)
+    return found | {"fingerprint": hashlib.sha256(json.dumps(found, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest()[:24]}
 
 
 def load_tasks(rows: DataFrame) -> DataFrame:
@@ -45,31 +88,47 @@ def load_tasks(rows: DataFrame) -> DataFrame:
     return rows.select(pick("task_id", "instance_id", "id").alias("task_id"), repo.alias("repo_path"), pick("repo_name", "repo").alias("repo_name"), pick("base_commit", "base_sha").alias("base_commit"), pick("issue_text", "problem_statement", "query").alias("issue_text"), patch.alias("patch"), change.alias("mutation_patch"), pick("traceback", "trace").alias("traceback"), error.alias("error"))
 
 
-def diff_rows(text: str) -> Iterator[tuple[str, int, str, str]]:
-    """(path, old line, kind, text) of a unified diff's removed and added lines."""
-    path, old, left_old, left_new = "", 0, 0, 0
-    for line in text.splitlines():
-        if left_old <= 0 and left_new <= 0:
-            if line.startswith("--- "):
-                path = line[4:].split("\t")[0].strip().removeprefix("a/")
-            elif m := re.match(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@", line):
-                old, left_old, left_new = int(m[1]), int(m[2] or 1), int(m[3] or 1)
-            continue
-        mark, body = line[:1], line[1:]
-        if mark == "-":
-            yield path, old, "deleted", body
-            old, left_old = old + 1, left_old - 1
-        elif mark == "+":
-            yield path, old, "added", body
-            left_new -= 1
+def _path(raw: str) -> str:
+    path = raw.split("\t")[0].strip()
+    return "" if path == "/dev/null" else re.sub("^[ab]/", "", path).lstrip("./")
+
+
+def diff_rows(text: str) -> Iterator[tuple[tuple[str, int], str, str]]:
+    """((path, old line), kind, text) of a unified diff. ``deleted`` lines stand at their old line; of a run of changes
+    without one, the first added line gives an ``addition_context`` at the old line before which it stands; ``added``
+    are all added lines. A new file has its new path. A run ends with a context line, a header or anything that is no
+    line of a hunk, which also ends the hunk; empty lines count as nothing."""
+    old, new, at, inside, first, deleted = "", "", 0, False, None, False
+    for line in [*re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", text), "@end"]:
+        head = re.match(r"@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@", line)
+        mark = line[:1] if inside and (old or new) else ""
+        change = (mark == "-" and not line.startswith("---")) or (mark == "+" and not line.startswith("+++"))
+        if not change and not line.startswith("+++ ") and (line.startswith("--- ") or head or (mark and mark != "\\") or line == "@end"):
+            if first is not None and not deleted:
+                yield first, "addition_context", ""
+            first, deleted = None, False
+        if line.startswith("--- "):
+            old, inside = _path(line[4:]), False
+        elif line.startswith("+++ "):
+            new = _path(line[4:])
+        elif head:
+            at, inside = int(head[1]), True
+        elif change and mark == "-":
+            yield (old or new, at), "deleted", line[1:]
+            at, deleted = at + 1, True
+        elif change:
+            first = first or (old or new, max(1, at))
+            yield (old or new, at), "added", line[1:]
         elif mark == " ":
-            old, left_old, left_new = old + 1, left_old - 1, left_new - 1
+            at += 1
+        elif mark and mark != "\\":
+            inside = False
 
 
 def parse_diffs(rows: DataFrame, id_col: str = "task_id", text_col: str = "patch") -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(i, *r) for i, t in zip(f["id"], f["text"], strict=True) for r in diff_rows(t or "")]
+            out = [(i, *where, *r) for i, t in zip(f["id"], f["text"], strict=True) for where, *r in diff_rows(t or "")]
             yield pd.DataFrame(out, columns=["id", "path", "old_line", "kind", "text"])
 
     return rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, path string, old_line int, kind string, text string")

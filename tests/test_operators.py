@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
+import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions import arrays as A
 from loam.functions import text as T
-from loam.operators import graph, labels, sampling
-from loam.plans import catalog
+from loam.operators import graph, labels, records, relations, sampling
+from loam.plans import catalog, dataset  # noqa: F401  (dataset adds its queries to the catalog)
 from loam.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -37,15 +42,15 @@ def test_against_sql(spark, duck, name):
 
 
 def test_splitlines(spark):
-    cases = {"": [], "\n": [""], "a\n": ["a"], "a\r\nb": ["a", "b"], "a\n\nb\n\n": ["a", "", "b", ""]}
+    cases = {x: x.splitlines() for x in ("", "\n", "a\n", "a\r\nb", "a\n\nb\n\n", "a\x1cb\x1d\x1ec", "a\x85b\u2028c\u2029", "\x0b\x0c")}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.splitlines(F.col("t")).alias("x")).collect()
     assert {r[0]: r[1] for r in rows} == cases
 
 
 def test_paths_and_frames(spark):
-    one = spark.createDataFrame([("a/./src/x.py\t2024", '  File "a.py", line 3, in f\n  x\nFile "b.py", line 10\n')], "p string, t string")
+    one = spark.createDataFrame([("a/./src/x.py\t2024", '  File "a.py", line 3, in f\n  x\nFile "b.py", line 10\n File "/c d.py", line 7, in <module>\n')], "p string, t string")
     r = one.select(T.patch_path(F.col("p")).alias("p"), T.traceback_frames(F.col("t")).alias("f")).first()
-    assert r.p == "src/x.py" and [(x.path, x.line) for x in r.f] == [("a.py", 3), ("b.py", 10)]
+    assert r.p == "src/x.py" and [(x.path, x.line, x.name) for x in r.f] == [("a.py", 3, "f"), ("/c d.py", 7, "<module>")]
 
 
 def test_lattice_keeps_the_first_of_equals(spark):
@@ -114,3 +119,77 @@ def test_diff_and_blocks(spark):
     code = spark.createDataFrame([("a.py", "def f():\n    return 1\n"), ("b.py", "def")], "path string, code string")
     rows = {(r.id, r.type, r.start, r.stop, r.container) for r in files.python_blocks(code).collect()}
     assert {("a.py", "FunctionDef", 1, 2, True), ("a.py", "Return", 2, 2, False)} <= rows and any(r[1] == "Error" for r in rows)
+
+
+def diff(text):
+    return [(*where, kind, line) for where, kind, line in files.diff_rows(text)]
+
+
+def test_diff_rules():
+    head = "--- a/x.py\n+++ b/x.py\n@@ -2,3 +2,4 @@\n"
+    assert diff(head + "-a\n+b\n") == [("x.py", 2, "deleted", "a"), ("x.py", 3, "added", "b")]
+    assert diff(head + "+b\n+c\n one\n+d\n") == [("x.py", 2, "added", "b"), ("x.py", 2, "added", "c"), ("x.py", 2, "addition_context", ""), ("x.py", 3, "added", "d"), ("x.py", 3, "addition_context", "")]
+    # a deleted line that begins with two dashes ends the hunk, an empty line counts as nothing, a note is skipped
+    assert diff(head + "---a\n-b\n") == []
+    assert diff(head + " one\n\n\\ No newline\n-b\n") == [("x.py", 3, "deleted", "b")]
+    assert diff("--- /dev/null\n+++ b/.github/new.py\n@@ -0,0 +1,1 @@\n+x\n") == [("github/new.py", 0, "added", "x"), ("github/new.py", 1, "addition_context", "")]
+    assert diff("no diff\n+x\n") == []
+
+
+def test_json_files_and_splits(spark, tmp_path):
+    path = f"file://{tmp_path}/d.json"
+    assert files.read_json(spark, path, {"none": 1}) == {"none": 1}
+    assert files.write_json(spark, {"b": "é", "a": [1]}, path) and files.read_json(spark, path, None) == {"b": "é", "a": [1]}
+    assert not files.write_json(spark, {}, path, replace=False) and (tmp_path / "d.json").read_text().startswith('{\n  "a"')
+    assert files.read_list(spark, f"file://{tmp_path}/none.txt").count() == 0
+    files.write_splits(spark.createDataFrame([(1, "train"), (2, "test")], "k int, split string"), f"file://{tmp_path}/s")
+    assert spark.read.json(f"file://{tmp_path}/s/split=test").first().k == 2
+    for _ in range(2):
+        files.append_jsonl(spark.range(1), f"file://{tmp_path}/log")
+    assert spark.read.json(f"file://{tmp_path}/log").count() == 2
+    (tmp_path / "c.toml").write_text("a = 1\n")
+    assert files.load_config(spark, f"file://{tmp_path}/c.toml")["a"] == 1 and len(files.load_config(spark, f"file://{tmp_path}/c.toml")["fingerprint"]) == 24
+    assert files.file_digests(spark, f"file://{tmp_path}/c.toml").first().sha256 == hashlib.sha256(b"a = 1\n").hexdigest()
+
+
+def test_crf_against_all_taggings(spark):
+    rng = random.Random(3)
+    start, trans, end = [0.2, -0.4], [[0.5, -0.3], [-0.6, 0.1]], [0.3, -0.2]
+    rows = [(k, [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(k)]) for k in range(7)]
+    df = spark.createDataFrame(rows, "k int, e array<struct<a:double,b:double>>")
+    got = {r.k: r for r in df.select("k", A.crf_normalizer(F.col("e"), start, trans, end).alias("z"), A.crf_decode(F.col("e"), start, trans, end).alias("d")).collect()}
+    assert got[0].z is None and got[0].d is None
+    for k, e in rows[1:]:
+        scores = {}
+        for tags in itertools.product((0, 1), repeat=k):
+            scores[tags] = start[tags[0]] + end[tags[-1]] + sum(e[i][t] for i, t in enumerate(tags)) + sum(trans[tags[i]][tags[i - 1]] for i in range(1, k))
+        best = max(scores, key=scores.get)
+        assert abs(got[k].z - math.log(sum(map(math.exp, scores.values())))) < 1e-9
+        assert abs(got[k].d.score - scores[best]) < 1e-9 and got[k].d.tags == "".join(map(str, best))
+
+
+def test_review_and_names(spark):
+    rows = [("DROP", 0.7, "SUPPORT", 0.9, "DROP"), ("DROP", 0.7, "SUPPORT", 0.4, "SUPPORT"), ("DROP", 0.7, "SUPPORT", 0.7, "SUPPORT"), ("DROP", 0.7, "SUPPORT", 0.7, "DROP")]
+    got = records.adjudicated(spark.createDataFrame(rows, "role string, confidence double, first_role string, first_confidence double, second_role string")).collect()
+    assert [(r.new_role, round(r.new_confidence, 2), r.agreement) for r in got] == [("SUPPORT", 0.9, None), ("DROP", 0.6, False), ("SUPPORT", 0.82, True), ("DROP", 0.55, False)]
+    one = spark.createDataFrame([("org/owner__name.abc1234", "see sk-abcdefgh12 now", "x-sk-abcdefgh12")], "r string, s string, t string")
+    r = one.select(T.repo_of(F.col("r")).alias("r"), T.redact(F.col("s")).alias("s"), T.has_secret(F.col("t")).alias("t")).first()
+    assert (r.r.repository, r.r.commit, r.s, r.t) == ("owner/name", "abc1234", "see [REDACTED_API_KEY] now", False)
+    assert records.spread(0, 5) == [] and records.spread(6, 3) == [0, 2, 5]
+
+
+def test_related_blocks_and_paths(spark):
+    edges = spark.createDataFrame([("c", "x", "CALL", 0.72), ("x", "c", "IMPORT", 0.78), ("y", "c", "TYPE", 0.78), ("c", "d", "CALL", 0.72)], "source string, target string, relation string, confidence double")
+    core, none = spark.createDataFrame([("c",), ("d",)], "block string"), spark.createDataFrame([], "block string")
+    assert {tuple(r) for r in relations.support_labels(edges, core, none).collect()} == {("x", "CALL", 0.72), ("y", "TYPE", 0.78)}
+    known = spark.createDataFrame([("a/b.py",), ("c/b.py",), ("a/z.py",)], "file string")
+    want = spark.createDataFrame([("b.py",), ("z.py",), ("/root/a/b.py",), ("a/b.py",), ("q.py",)], "path string")
+    assert {r.path: r.file for r in relations.resolve_paths(want, known).collect()} == {"b.py": None, "z.py": "a/z.py", "/root/a/b.py": "a/b.py", "a/b.py": "a/b.py", "q.py": None}
+    texts = spark.createDataFrame([(1, "the quick brown fox"), (2, "a quickly brown fox")], "id int, text string")
+    parts = spark.createDataFrame([("quick brown fox",), ("ick",), ("k brown f",)], "fragment string")
+    assert {tuple(r) for r in relations.contained_fragments(texts, parts).collect()} == {(1, "quick brown fox"), (1, "ick"), (2, "ick"), (1, "k brown f")}
+
+
+def test_long_chain_has_one_component(spark):
+    chain = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r.component for r in graph.components(chain).collect()} == {0}
