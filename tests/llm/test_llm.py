@@ -7,8 +7,10 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -345,17 +347,64 @@ def test_warc_index_beside_each_file(spark, tmp_path):
 
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(6)
-    counts = rng.integers(0, 50, language_model.VOCAB).astype(float)
-    w = language_model.start_weights(counts)
+    n = language_model.VOCAB
+    pair = language_model.pair_logs(rng.integers(0, 50, (n, n)).astype(float))
+    w = language_model.start_weights()
+    w["c"], w["g"] = (rng.standard_normal(w[k].shape).astype(np.float32) * 0.3 for k in ("c", "g"))
     state = rng.standard_normal((2, language_model.WIDTH)).astype(np.float32)
-    total = [np.exp(language_model.log_probs(w, np.repeat(state[k : k + 1], language_model.VOCAB, 0), np.arange(language_model.VOCAB))).sum() for k in range(2)]
+    total = [np.exp(language_model.log_probs(w, pair, np.repeat(state[k : k + 1], n, 0), np.arange(n), np.full(n, 5 + k))).sum() for k in range(2)]
     assert np.allclose(total, 1, atol=1e-3)
     ids = np.tile(np.arange(40), 200)
     rows = language_model.blocks(ids, np.array([0, 4000, 8000]))
     assert (rows[0] >= 0).sum() == 8002
-    before = language_model.score_rows(w, rows, 2).sum()
-    after = language_model.score_rows(language_model.train(w, rows, 60, 0.02, 1), rows, 2).sum()
-    assert after > before / 4
+    pair, w = language_model.pair_logs(np.zeros((n, n))), language_model.start_weights()
+    before = language_model.score_rows(w, pair, rows, 2).sum()
+    after = language_model.score_rows(language_model.train(w, pair, rows, 60, 0.02, 1), pair, rows, 2).sum()
+    assert after > before / 2
+    # a text alone and among others, in whatever steps, gets the same score
+    one = language_model.score_rows(w, pair, language_model.blocks(ids[:4000], np.array([0, 4000])), 1)
+    assert np.allclose(one[0], language_model.score_rows(w, pair, rows, 2, step=7)[0], rtol=1e-5)
+
+
+def test_language_model_columns(spark, table):
+    """Every column that plain Python can tell, on nulls, empty texts and repeated rows."""
+    rows, df = table
+    docs = df.unionAll(df.where("doc_id in (2, 3)"))
+    got = defaultdict(list)
+    for r in language_model.report(docs).collect():
+        got[r.doc_id].append(r)
+    texts_ = [(r[0], r[1] or "") for r in [*rows, rows[2], rows[3]]]
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    toks = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(w for d, t in texts_ if not held(d) for w in toks(t))
+    total, kinds = sum(counts.values()), len(counts)
+    for d, t in texts_:
+        w = toks(t)
+        base = sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w)
+        for r in got[d]:
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(w), sum(counts[x] > 0 for x in w), total), d
+            assert abs(r.base_score - base) < 1e-6 and r.score < 0
+        assert max(r.score for r in got[d]) - min(r.score for r in got[d]) < 1e-3  # rows of other batches: single precision
+    assert sum(len(x) for x in got.values()) == len(texts_)
+
+
+def test_encoder_on_long_gaps_and_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.default_ranks())
+    for text in (" " * 400_000 + "a", "x" + "\n" * 400_000, "x" + " \u3000" * 150_000 + "<|endoftext|>  b" + " " * 250_000 + "1", "é" * 300_000):
+        assert packing.encode(enc, text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_lines_of_long_texts_and_of_one_text(spark):
+    lines_ = [f"line {k % 7001}" for k in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines_)), (2, "\n".join(["own", *lines_[:5], "more", "end"])), (3, "a\na\na\na\na")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1] == "\n".join(lines_[:7003]) or got[1] == "\n".join(lines_[:7001])
+    assert got[2] == "own\nmore\nend" and got[3] == "a"
+
 
 
 def test_gradient():
