@@ -409,12 +409,17 @@ def test_lines_of_long_texts_and_of_one_text(spark):
 
 def test_gradient():
     rng = np.random.default_rng(7)
-    w = {k: v.astype(np.float64) for k, v in language_model.start_weights(np.ones(language_model.VOCAB)).items()}
-    target, given, first, _ = language_model.blocks(rng.integers(0, 4000, 60), np.array([0, 25, 60]))
+    n = language_model.VOCAB
+    pair = tuple(x.astype(np.float64) for x in language_model.pair_logs(rng.integers(0, 9, (n, n)).astype(float)))
+    w = {k: v.astype(np.float64) for k, v in language_model.start_weights().items()}
+    w["c"], w["g"] = (rng.standard_normal(w[k].shape) * 0.3 for k in ("c", "g"))
+    target, given, first, _ = language_model.blocks(rng.integers(0, n - 2, 60), np.array([0, 25, 60]))
     before = np.roll(given, 1, axis=0)
-    loss = lambda: -language_model.log_probs(w, language_model.forward(w, given, before, first)["out"].reshape(-1, language_model.WIDTH)[target.ravel() >= 0], target[target >= 0]).mean()
-    g = language_model.gradient(w, target, given, before, first)
-    for k in ("q", "k", "v", "near", "w1", "b1", "w2", "c", "cb"):
+    order = np.argsort(target.ravel() // language_model.SIDE, kind="stable")
+    order = order[target.ravel()[order] >= 0]
+    loss = lambda: -language_model.log_probs(w, pair, language_model.forward(w, given, before, first)["out"].reshape(-1, language_model.WIDTH)[order], target.ravel()[order], given.ravel()[order]).mean()
+    g = language_model.gradient(w, pair, target, given, before, first)
+    for k in ("q", "k", "v", "near", "w1", "b1", "w2", "c"):
         at = tuple(rng.integers(0, n) for n in w[k].shape)
         old = w[k][at]
         w[k][at] = old + 1e-3
