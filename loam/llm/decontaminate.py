@@ -42,9 +42,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     and items (ids of the items with a window there).
 
     The benchmark's windows become a hash set, broadcast while it has at most ``BROADCAST_WINDOWS`` entries (it is
-    counted first) and joined by a shuffle beyond. Documents are read once: each emits the hashes of its own windows
-    and one mark that carries its number of words, so documents without a hit come through the same join. A hit's
-    words are compared one by one before it counts."""
+    counted first): documents are then read once, each emits the hashes of its own windows and one mark, so documents
+    without a hit come through the same join. Beyond, (doc_id, place, hash) is shuffled, and what it finds is joined back
+    to the documents. A hit's words are compared one by one before it counts.
+
+    Null or wordless text: no words, no hits. Null doc_id: such rows are judged together, as are those of any other id.
+    Repeated rows change nothing. Two texts of one id: the longer one's number of words, the hits of both. Null item_id:
+    the item is ignored. Empty tables: no rows, or no hits. Other columns are left behind."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", norm_words(F.col("text")).alias("words")).where(F.col("item_id").isNotNull())
     found = stash(windows(items, n), "ngrams")
@@ -69,13 +73,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         first = first + F.greatest(size - width + 1, F.lit(0))
     base = base.select("doc_id", "words", F.concat(*parts).alias("own"))
     cand = base.select("doc_id", "words", F.posexplode_outer("own").alias("pos", "h"))
-    small = found.count() <= BROADCAST_WINDOWS
-    joined = cand.join(F.broadcast(keyed) if small else keyed, "h")
+    if found.count() <= BROADCAST_WINDOWS:
+        joined = cand.join(F.broadcast(keyed), "h")
+    else:
+        # a window's row is three numbers; those found go back to their documents, where the words are compared
+        spots = cand.where("pos > 0").select(F.col("doc_id").alias("of"), "pos", "h").join(keyed.where("b_width > 0"), "h")
+        joined = base.select("doc_id", "words").join(spots, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     spot = joined.withColumn("i", word_at)
-    real = spot.where(F.when(F.col("b_width") == 0, F.col("pos") == 0).otherwise((F.col("i") >= 0) & (F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("b_width")) == F.col("w"))))
-    rows = real.select(
-        "doc_id", F.when(F.col("b_width") == 0, F.size("words")).alias("nw"),
-        F.when(F.col("b_width") > 0, F.struct("i", F.col("b_width").alias("width"))).alias("span"), F.when(F.col("b_width") > 0, F.col("items")).alias("its"))
+    same = (F.col("i") >= 0) & (F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.greatest(F.col("b_width"), F.lit(0))) == F.col("w"))
+    real = F.when(F.col("b_width") > 0, same)
+    rows = spot.select(
+        "doc_id", F.size("words").alias("nw"), F.when(real, F.struct("i", F.col("b_width").alias("width"))).alias("span"), F.when(real, F.col("items")).alias("its"))
     found_in = rows.groupBy("doc_id").agg(F.max("nw").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("its").alias("its"))
     return found_in.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"),
@@ -97,8 +105,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str
     bad = stash(hits(docs.where("doc_id is not null"), benchmark, n).where(F.size("hit") > 0).select(F.col("doc_id").alias("__hit_id"), F.col("hit").alias("__hit")), "leaks")
     if remove == "documents":
         return docs.join(bad, docs["doc_id"] == bad["__hit_id"], "left_anti")
-    kept = F.array_join(F.filter(norm_words(F.col("text")), lambda w, i: ~F.array_contains(F.col("__hit"), i)), " ")
-    out = docs.join(bad, docs["doc_id"] == bad["__hit_id"], "left")
+    out = docs.join(bad, docs["doc_id"] == bad["__hit_id"], "left").withColumn("__words", norm_words(F.col("text")))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__words") - 1), "__hit")
+    kept = F.array_join(F.transform(places, lambda i: F.get("__words", i)), " ")
     return out.withColumn("text", F.when(F.col("__hit").isNotNull(), kept).otherwise(F.col("text"))).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -277,6 +277,34 @@ def test_benchmark(spark):
     assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}[1] == "x y"
 
 
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_benchmark_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    rng = random.Random(8)
+    say = lambda n: [rng.choice("ab cd ef gh".split()) for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([14, 12, 10, 11, 4, 3, 7])] + [(90, None), (91, "--")]
+    docs = [(i, " ".join(say(rng.randint(0, 40)) + (items[i % 7][1].upper().split() if i % 3 == 0 else []) + say(9))) for i in range(40)]
+    docs += [docs[0], (3, "ab"), (3, "--"), (70, None), (71, ""), (72, " ".join(say(3000))), (None, items[1][1]), (None, "zz")]
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = {(i, tuple(w[k : k + 10])) for i, t in items for w in [words(t)] if w for k in range(max(1, len(w) - 9))}
+    want = defaultdict(lambda: [0, set(), set()])
+    for i, t in docs:
+        w, row = words(t), want[i]
+        row[0] = max(row[0], len(w))
+        for item, g in grams:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    row[1].update(range(k, k + len(g)))
+                    row[2].add(str(item))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(d, b).collect()}
+    assert got == {i: (n, len(h), len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()) for i, (n, h, x) in want.items()}
+    left = decontaminate.decontaminate(d, b, remove="spans").where("doc_id = 6 or doc_id is null").collect()
+    assert {r.text for r in left if r.doc_id == 6} == {" ".join(w for k, w in enumerate(words(docs[6][1])) if k not in want[6][1])}
+    assert {r.text for r in left if r.doc_id is None} == {items[1][1], "zz"}
+    assert decontaminate.report(d.limit(0), b).count() == 0 and decontaminate.report(d, b.limit(0)).where("contaminated").count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
