@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from loam.functions import arrays as A
 from loam.functions import text as T
+from loam.operators import audit as reports
 from loam.operators import graph, labels, records, relations, sampling
-from loam.plans import catalog, dataset  # noqa: F401  (dataset adds its queries to the catalog)
+from loam.plans import audit, catalog, dataset  # noqa: F401  (the others add their queries to the catalog)
 from loam.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -193,3 +194,30 @@ def test_related_blocks_and_paths(spark):
 def test_long_chain_has_one_component(spark):
     chain = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.component for r in graph.components(chain).collect()} == {0}
+
+
+def test_screen_and_export_on_defects(spark):
+    cols = "sample_id string, text string, lines array<string>, keep array<int>, bad boolean"
+    rows = [("a", "x sk-abcdefgh12", ["x"], [1], False), ("a", "y", ["y", "z"], [1], None), ("b", None, None, None, True), (None, "q", ["q"], [0], False)]
+    df = spark.createDataFrame(rows, cols)
+    aux = spark.createDataFrame([("a",), ("zz",), (None,)], "sample_id string")
+    got = {r.finding: r.n for r in reports.screen(df, aux, ["keep"], F.col("bad")).collect()}
+    assert got == {"key": 1, "unverified": 1, "length:keep": 2, "duplicate": 1, "orphan": 2}
+    empty = {r.finding for r in reports.screen(df.limit(0), aux.limit(0), ["keep"], F.col("bad")).collect()}
+    assert not empty
+    assert [tuple(r) for r in reports.mapped(df.where("text = 'q'"), {"text": "code", "keep": "labels"}).collect()] == [("q", [0])]
+    with pytest.raises(Exception, match="marks don't fit"):
+        reports.mapped(df, {"text": "code"}).collect()
+    with pytest.raises(ValueError, match="fields missing"):
+        reports.mapped(df, {"nothing": "code"})
+
+
+def test_derived_errors_and_loading(spark):
+    rows = [(["a"], [1], "p"), ([], [], "p"), (["a"], [1, 2], "p"), (["a"], [1], ""), (["a"], None, None)]
+    df = spark.createDataFrame(rows, "lines array<string>, keep array<int>, parent_sample_id string")
+    assert [r[0] for r in df.select(reports.derived_error(["keep"])).collect()] == [None, "code", "keep", "parent_sample_id", "keep"]
+    base = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "sample_id string, n int")
+    more = spark.createDataFrame([("a1", "a", "x"), ("c1", "c", "y")], "sample_id string, parent_sample_id string, kind string")
+    ids = spark.createDataFrame([("a",), ("b",), ("d",), ("a",)], "sample_id string")
+    got = {(r.sample_id, r.n, r.kind, r.error) for r in reports.training_rows(base, more, ids).collect()}
+    assert got == {("a", 1, None, None), ("b", 2, None, None), ("b", 3, None, None), ("a1", None, "x", None), ("d", None, None, "missing"), ("b", None, None, "duplicate")}
