@@ -282,9 +282,13 @@ def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(F.sha2(F.concat_ws("\0", "lang", "text"), 256).alias("signature")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, m AS MATERIALIZED (SELECT doc_id, line, contains(text, 'a') core, count(*) OVER (PARTITION BY doc_id) n FROM lines), c AS MATERIALIZED (SELECT doc_id, line, n FROM m WHERE core),
+s AS (SELECT doc_id, min(line) f FROM c GROUP BY doc_id UNION ALL SELECT s.doc_id, min(c.line) f FROM s JOIN c ON s.doc_id = c.doc_id AND c.line >= s.f + 12 GROUP BY s.doc_id),
+w AS (SELECT s.doc_id, f, max(c.line) l, max(c.n) n FROM s JOIN c ON s.doc_id = c.doc_id AND c.line BETWEEN s.f AND s.f + 11 GROUP BY s.doc_id, f),
+p AS (SELECT doc_id, greatest(1, least(f - (12 - (l - f + 1)) // 2, n - 11)) first, n FROM w)
+SELECT DISTINCT doc_id, CAST(first AS INTEGER) AS first, CAST(least(first + 11, n) AS INTEGER) AS last FROM p""")
 def core_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of at most 12 lines around the lines with an a: an ordered fold, tested against plain Python."""
+    """Windows of at most 12 lines around the lines with an a: an ordered fold, in SQL a recursion over window starts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", T.splitlines(F.col("text")).alias("ls"))
     rows = docs.select("doc_id", F.size("ls").alias("n_lines"), F.posexplode("ls").alias("pos", "x")).where(F.col("x").contains("a")).select("doc_id", "n_lines", (F.col("pos") + 1).alias("line"))
     return labels.core_windows(rows, ["doc_id"], 12)
