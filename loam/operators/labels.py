@@ -58,13 +58,15 @@ def core_windows(cores: DataFrame, keys: list[str], most: int) -> DataFrame:
     """(keys, first, last) of line windows of at most ``most`` lines around sorted core lines (``line``, of ``n_lines``):
     lines join the window while it stays within ``most``; it is then padded evenly and kept within the file."""
     grouped = cores.groupBy(*keys).agg(F.array_sort(F.collect_set("line")).alias("at"), F.max("n_lines").alias("n"))
-    empty = F.array().cast("array<struct<first:int,last:int>>")
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), none.alias("first"), none.alias("last"))
+    def closed(acc: Column) -> Column:
+        return F.when(acc["first"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))))
+    # the windows are copied where one ends, not at every line
     def step(acc: Column, x: Column) -> Column:
-        one = F.struct(x.alias("first"), x.alias("last"))
-        end = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (x - F.get(acc, F.size(acc) - 1)["first"] < most)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(end["first"].alias("first"), x.alias("last"))))).otherwise(F.concat(acc, F.array(one)))
-    found = grouped.select(*keys, "n", F.explode(F.aggregate("at", empty, step)).alias("w"))
+        grown = F.struct(acc["done"].alias("done"), acc["first"].alias("first"), x.alias("last"))
+        return F.when(x - acc["first"] < most, grown).otherwise(F.struct(closed(acc).alias("done"), x.alias("first"), x.alias("last")))
+    found = grouped.select(*keys, "n", F.explode(F.aggregate("at", start, step, closed)).alias("w"))
     spare = F.lit(most) - (F.col("w.last") - F.col("w.first") + 1)
     first = F.greatest(F.lit(1), F.least(F.col("w.first") - F.floor(spare / 2), F.col("n") - most + 1)).cast("int")
     return found.select(*keys, first.alias("first"), F.least(first + most - 1, F.col("n")).cast("int").alias("last")).distinct()
