@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; a longer single text is taken whole.
@@ -58,6 +58,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(scratch: Scratch, name: str, df: DataFrame) -> DataFrame:
+    """``df``, written as step ``name``, with ``row``: exact row numbers from 0 without gaps. The rows of each part that
+    was written are counted, and the counts of the parts before are added: one row a part is all that is gathered."""
+    rows = scratch.put(name, df.withColumn("row", F.monotonically_increasing_id()))
+    part = F.shiftright("row", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    ahead = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("least")).alias("shift"))
+    return rows.withColumn("part", part).join(F.broadcast(ahead), "part").withColumn("row", F.col("row") + F.col("shift")).drop("part", "shift")
+
+
 #: Rows of a few numbers each that may be broadcast: some 50 MB in memory. What is larger is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
