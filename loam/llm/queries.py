@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import conversation_trie, decontaminate, embedding_join, language_model, line_dedup, minhash, packing, quality, substring_dedup, topk_search, toxicity, warc
+from loam.llm import conversation_trie, decontaminate, embedding_join, language_model, line_dedup, minhash, packing, quality, spelling, substring_dedup, topk_search, toxicity, warc
 from loam.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"), span=5)
 
@@ -59,6 +63,6 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-_OPS = (op1_best_fit_packing, op2_suffix_dedup, op3_lm_scoring, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination, op10_quality, op12_conversation_trie, op13_topk_search)
+_OPS = (op1_best_fit_packing, op2_suffix_dedup, op3_lm_scoring, op4_embedding_dedup, op5_minhash, op6_line_dedup, op7_toxicity, op8_warc, op9_decontamination, op10_quality, op11_spelling_variants, op12_conversation_trie, op13_topk_search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPS}
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE, "op13_topk_search": topk_search.ORACLE}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE, "op13_topk_search": topk_search.ORACLE}
