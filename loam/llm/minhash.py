@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     one = full.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("own")).select("doc_id", "own.k1", "own.k2")
     twins = work.put("twins", one.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"))
     member = work.put("member", one.join(twins.drop("m"), ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "rep"))
-    heads = sketched.where("n > 3").join(if_small(member), "doc_id", "left_anti").select("doc_id", "n", "sketch", "k1", "k2")
+    # a smaller set's only links are with its equals: one value more on either side is beyond the threshold
+    heads = sketched.where(F.col("n") * (den - num) >= num).join(if_small(member), "doc_id", "left_anti").select("doc_id", "n", "sketch", "k1", "k2")
 
     keys = heads.mapInArrow(_sketch_runs, "key long, doc long, n int")
     met = keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key", "left_semi")

@@ -204,9 +204,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of ``pages`` as read back from the archives.
 
     Null html: an empty payload. Null page_id: not returned. Null or empty url: ``about:blank``. Repeated rows of a
-    page_id: one row each. Very long html: one record. Empty table: no rows. Other columns: ignored."""
+    page_id: one row each, with its own payload's size and digest, equal or not. Very long html: one record. Empty table: no rows. Other columns: ignored."""
     folder = archive_folder(pages.sparkSession)
     rows = stash(read(normalise(write(pages, folder), folder), folder, with_payload=False).drop("payload", "url"), "read")
-    whole = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("payload_bytes").alias("n"))
-    out = rows.join(whole, F.coalesce("refers_to", "page_id") == F.col("of"), "left")
+    # by digest too: a page_id given with several payloads has as many sizes
+    whole = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("n"))
+    out = rows.join(whole, (F.coalesce("refers_to", "page_id") == F.col("of")) & (F.col("payload_digest") == F.col("digest")), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
