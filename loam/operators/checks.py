@@ -10,7 +10,8 @@ from loam.functions import text as T
 ARRAYS = ("line_numbers", "line_roles", "line_keep_labels", "line_confidences")
 
 
-def _forbidden(lines: Column, hashes: Column) -> Column:
+def forbidden_in(lines: Column, hashes: Column) -> Column:
+    """Whether a line's normalised text of 12 or more characters has one of the hashes."""
     found = F.transform(F.filter(F.transform(lines, T.normalize_fragment), lambda x: F.length(x) >= 12), lambda x: F.sha2(x, 256))
     return F.arrays_overlap(found, hashes)
 
@@ -32,7 +33,7 @@ def violations(samples: DataFrame, original: str = "original") -> DataFrame:
         "length": ~lengths, "role_keep": F.exists(kept, lambda x: ~x), "query": F.coalesce(F.trim("query"), F.lit("")) == "",
         "positive_roles": positive & own & ~(F.array_contains(roles, "CORE") & F.array_contains(roles, "DROP")), "revision": positive & own & ~F.col("revision").eqNullSafe("buggy_base"), "patch_mapping": positive & own & ~F.coalesce("mapped", F.lit(False)),
         "core_truncated": positive & (F.size("core_line_numbers") > 0) & (told != core), "block_span": positive & F.exists("block_spans", lambda s: (s["start"] <= 0) | (s["stop"] < s["start"])),
-        "leakage": positive & (_forbidden(F.col("lines"), F.col("forbidden")) | _forbidden(T.splitlines(F.col("query")), F.col("forbidden"))), "api_key": T.has_secret(F.concat_ws("\n", "query", code)),
+        "leakage": positive & (forbidden_in(F.col("lines"), F.col("forbidden")) | forbidden_in(T.splitlines(F.col("query")), F.col("forbidden"))), "api_key": T.has_secret(F.concat_ws("\n", "query", code)),
         "gold_patch": code.contains("diff --git") | (code.contains("--- a/") & code.contains("+++ b/"))}
     found = samples.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))).alias("code"))
     again = samples.groupBy("sample_id").agg(F.count("*").alias("m")).where("m > 1 or coalesce(sample_id, '') = ''").select("sample_id", F.explode(F.array_repeat(F.lit("sample_id"), (F.col("m") - F.when(F.coalesce("sample_id", F.lit("")) == "", 0).otherwise(1)).cast("int"))).alias("code"))

@@ -88,52 +88,6 @@ def load_tasks(rows: DataFrame) -> DataFrame:
     return rows.select(pick("task_id", "instance_id", "id").alias("task_id"), repo.alias("repo_path"), pick("repo_name", "repo").alias("repo_name"), pick("base_commit", "base_sha").alias("base_commit"), pick("issue_text", "problem_statement", "query").alias("issue_text"), patch.alias("patch"), change.alias("mutation_patch"), pick("traceback", "trace").alias("traceback"), error.alias("error"))
 
 
-def _path(raw: str) -> str:
-    path = raw.split("\t")[0].strip()
-    return "" if path == "/dev/null" else re.sub("^[ab]/", "", path).lstrip("./")
-
-
-def diff_rows(text: str) -> Iterator[tuple[tuple[str, int], str, str]]:
-    """((path, old line), kind, text) of a unified diff. ``deleted`` lines stand at their old line; of a run of changes
-    without one, the first added line gives an ``addition_context`` at the old line before which it stands; ``added``
-    are all added lines. A new file has its new path. A run ends with a context line, a header or anything that is no
-    line of a hunk, which also ends the hunk; empty lines count as nothing."""
-    old, new, at, inside, first, deleted = "", "", 0, False, None, False
-    for line in [*re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", text), "@end"]:
-        head = re.match(r"@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@", line)
-        mark = line[:1] if inside and (old or new) else ""
-        change = (mark == "-" and not line.startswith("---")) or (mark == "+" and not line.startswith("+++"))
-        if not change and not line.startswith("+++ ") and (line.startswith("--- ") or head or (mark and mark != "\\") or line == "@end"):
-            if first is not None and not deleted:
-                yield first, "addition_context", ""
-            first, deleted = None, False
-        if line.startswith("--- "):
-            old, inside = _path(line[4:]), False
-        elif line.startswith("+++ "):
-            new = _path(line[4:])
-        elif head:
-            at, inside = int(head[1]), True
-        elif change and mark == "-":
-            yield (old or new, at), "deleted", line[1:]
-            at, deleted = at + 1, True
-        elif change:
-            first = first or (old or new, max(1, at))
-            yield (old or new, at), "added", line[1:]
-        elif mark == " ":
-            at += 1
-        elif mark and mark != "\\":
-            inside = False
-
-
-def parse_diffs(rows: DataFrame, id_col: str = "task_id", text_col: str = "patch") -> DataFrame:
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(i, *where, *r) for i, t in zip(f["id"], f["text"], strict=True) for where, *r in diff_rows(t or "")]
-            yield pd.DataFrame(out, columns=["id", "path", "old_line", "kind", "text"])
-
-    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, path string, old_line int, kind string, text string")
-
-
 def python_blocks(rows: DataFrame, id_col: str = "path", text_col: str = "code") -> DataFrame:
     """Statement blocks of Python files: (id, type, name, start, stop, container); a file that doesn't parse has one row
     of type Error."""

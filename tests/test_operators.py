@@ -14,7 +14,7 @@ from loam.functions import arrays as A
 from loam.functions import text as T
 from loam.operators import audit as reports
 from loam.operators import graph, labels, records, relations, sampling
-from loam.plans import audit, catalog, dataset  # noqa: F401  (the others add their queries to the catalog)
+from loam.plans import audit, building, catalog, dataset  # noqa: F401  (the others add their queries to the catalog)
 from loam.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -113,30 +113,12 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":null,"b":1}'
 
 
-def test_diff_and_blocks(spark):
-    diff = "--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,3 @@\n one\n-two\n+2\n three\n"
-    got = [(r.path, r.old_line, r.kind, r.text) for r in files.parse_diffs(spark.createDataFrame([("t", diff)], "task_id string, patch string")).collect()]
-    assert got == [("x.py", 2, "deleted", "two"), ("x.py", 3, "added", "2")]
+def test_blocks(spark):
     code = spark.createDataFrame([("a.py", "def f():\n    return 1\n"), ("b.py", "def")], "path string, code string")
     rows = {(r.id, r.type, r.start, r.stop, r.container) for r in files.python_blocks(code).collect()}
     assert {("a.py", "FunctionDef", 1, 2, True), ("a.py", "Return", 2, 2, False)} <= rows and any(r[1] == "Error" for r in rows)
 
 
-def diff(text):
-    return [(*where, kind, line) for where, kind, line in files.diff_rows(text)]
-
-
-def test_diff_rules():
-    head = "--- a/x.py\n+++ b/x.py\n@@ -2,3 +2,4 @@\n"
-    assert diff(head + "-a\n+b\n") == [("x.py", 2, "deleted", "a"), ("x.py", 3, "added", "b")]
-    assert diff(head + "+b\n+c\n one\n+d\n") == [("x.py", 2, "added", "b"), ("x.py", 2, "added", "c"), ("x.py", 2, "addition_context", ""), ("x.py", 3, "added", "d"), ("x.py", 3, "addition_context", "")]
-    # a deleted line that begins with two dashes ends the hunk, an empty line counts as nothing, a note is skipped
-    assert diff(head + "---a\n-b\n") == []
-    assert diff(head + " one\n\n\\ No newline\n-b\n") == [("x.py", 3, "deleted", "b")]
-    assert diff("--- /dev/null\n+++ b/.github/new.py\n@@ -0,0 +1,1 @@\n+x\n") == [("github/new.py", 0, "added", "x"), ("github/new.py", 1, "addition_context", "")]
-    assert diff("no diff\n+x\n") == []
-
-
 def test_json_files_and_splits(spark, tmp_path):
     path = f"file://{tmp_path}/d.json"
     assert files.read_json(spark, path, {"none": 1}) == {"none": 1}
