@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.storage import cut
+
 
 def one_hop(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     """Nodes next to ``frontier`` (node) by ``edges`` (src, dst, relation) in either direction and not in it."""
@@ -21,12 +23,10 @@ def unique_targets(names: DataFrame, name: str, value: str) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (u, v): the smallest node that is reachable; nodes without an edge to
     another don't appear. In turns every node's larger neighbours, then its smaller ones, are tied to the least of them:
-    rounds are logarithmic in the graph's size, a node's neighbours are never gathered, and each round is checkpointed
-    where a folder is set (else kept in memory, and the one before given up)."""
-    saved = bool(pairs.sparkSession.sparkContext.getCheckpointDir())
-    keep = lambda df: df.checkpoint() if saved else df.persist()
+    rounds are logarithmic in the graph's size, a node's neighbours are never gathered, and each round is cut off from
+    the one before, which is then given up."""
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
-    now = keep(pairs.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
+    now = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
     was, at = None, state(now)
     while at[0] and at != was:
         ends = now.unionAll(now.select("lo", "hi")).toDF("u", "v")
@@ -34,10 +34,9 @@ def components(pairs: DataFrame) -> DataFrame:
         large = ends.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low).distinct()
-        before, now = now, keep(small)
+        before, now = now, cut(small)
         was, at = at, state(now)
-        if not saved:
-            before.unpersist()
+        before.unpersist()  # where it is no checkpoint
     return now.toDF("node", "component")
 
 

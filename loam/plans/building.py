@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import code
 from loam.functions import text as T
-from loam.operators import building, patches, relations
+from loam.operators import alignment, building, graph, ordering, patches, relations
 from loam.plans.catalog import query, read, sql_lines
 from loam.plans.dataset import SAMPLES, samples
 
@@ -105,3 +106,69 @@ def built_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = building.sample_rows(chosen, texts, tasks, 42)
     marks = F.array_join(F.zip_with("line_numbers", "line_roles", lambda n, r: F.concat_ws(":", n, r)), ",")
     return rows.select(F.col("task").alias("doc_id"), "place", "sample_id", "hard_negative_type", F.sha2("code", 256).alias("code"), marks.alias("marks"), F.array_join(F.col("core_line_numbers").cast("array<string>"), ",").alias("core"), F.col("estimated_tokens").alias("tokens"))
+
+
+REPOS = """R AS (SELECT doc_id, 'r' || (doc_id // 10) AS name, md5(text) h FROM documents WHERE text IS NOT NULL),
+T AS (SELECT DISTINCT a.name u, b.name v FROM R a JOIN (SELECT h, min(name) AS name FROM R GROUP BY h) b USING (h) WHERE a.name <> b.name),
+B AS (SELECT u, v FROM T UNION SELECT v, u FROM T), X AS (SELECT name u, name v FROM R UNION SELECT X.u, B.v FROM X JOIN B ON B.u = X.v),
+C AS (SELECT u AS name, min(v) component FROM X GROUP BY u), H AS (SELECT component, sha256('[42,[' || string_agg('"' || name || '"', ',' ORDER BY name) || ']]') h FROM C GROUP BY component),
+O AS (SELECT component, row_number() OVER (ORDER BY h) - 1 row, count(*) OVER () n FROM H),
+Q AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.1, 0)) ELSE 0 END t, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.1, 0)) WHEN n = 2 THEN 1 ELSE 0 END v FROM O)"""
+
+
+@query(f"""WITH RECURSIVE {REPOS} SELECT doc_id, component, CASE WHEN row >= n - t THEN 'test' WHEN row >= n - t - v THEN 'validation' ELSE 'train' END split FROM R JOIN C USING (name) JOIN Q USING (component)""")
+def quota_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents each as a repository; those with an equal text in common stay together; a tenth of the groups for
+    test and for validation."""
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("r"), F.floor(F.col("doc_id") / 10).cast("string")).alias("name"), F.md5(F.col("text").cast("binary")).alias("h"))
+    groups = graph.shared_key_components(rows, "name", ["h"]).withColumnRenamed("node", "name")
+    splits = groups.join(ordering.quota_splits(groups, 42, 0.1, 0.1), "component")
+    return rows.select("doc_id", "name").join(splits, "name").select("doc_id", "component", "split")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 row FROM lineitem) SELECT CAST(row % 16 AS INTEGER) shard, count(*) n, min(l_extendedprice) first, max(l_extendedprice) last, CAST(sum((row // 16) * l_linenumber) AS BIGINT) checksum FROM n GROUP BY 1""")
+def row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by price, dealt out to 16 shards one by one."""
+    rows = ordering.row_shards(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), 16, "l_extendedprice", "l_orderkey", "l_linenumber")
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("first"), F.max("l_extendedprice").alias("last"), F.sum(F.col("turn") * F.col("l_linenumber")).alias("checksum"))
+
+
+_LEXED = code.LEXER.replace("'", "''")
+_KEYS = ", ".join(f"'{k}'" for k in code.KEYWORDS)
+_JSON = "sha256(to_json({})::VARCHAR)"
+
+
+@query(f"""WITH T AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{_LEXED}'), lambda t: NOT starts_with(t, '#')) ts FROM documents),
+E AS (SELECT doc_id, ts, list_transform(ts, lambda t: regexp_full_match(t, '{code.NAME}') AND t NOT IN ({_KEYS})) ids FROM T),
+F AS (SELECT doc_id, ts, ids, list_distinct(list_transform(list_filter(list_zip(ts, ids), lambda x: x[2]), lambda x: x[1])) ns FROM E),
+X AS (SELECT doc_id, unnest(ts) t, unnest(ids) id, unnest(range(len(ts))) k FROM E), Y AS (SELECT *, min(k) OVER (PARTITION BY doc_id, t) f FROM X),
+Z AS (SELECT *, CASE WHEN id THEN 'v' || dense_rank() OVER (PARTITION BY doc_id, id ORDER BY f) ELSE t END s FROM Y), L AS (SELECT doc_id, list(s ORDER BY k) ls FROM Z GROUP BY doc_id)
+SELECT E.doc_id, {_JSON.format("ts")} token_hash, {_JSON.format("list_transform(ts, lambda t, i: CASE WHEN ids[i] THEN 'IDENT' ELSE t END)")} identifier_normalized_hash, {_JSON.format("coalesce(ls, [])")} renamed_hash FROM E LEFT JOIN L USING (doc_id)""")
+def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of each text's tokens: as they are, without identifiers, and with identifiers by their order."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = docs.select("doc_id", code.fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*")
+    return prints.join(code.renamed_hashes(docs, "doc_id", "text").withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+_SQL_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
+
+
+@query(rf"""WITH {SAMPLES}, X AS (SELECT doc_id, text, CAST(greatest(1, 599 - least(length(text) // 100, 598)) AS INTEGER) budget FROM documents WHERE text <> ''),
+P AS (SELECT doc_id, budget, unnest(ps) p, unnest(range(len(ps))) k FROM (SELECT doc_id, budget, regexp_extract_all(text, ' ?\p{{L}}+| ?\p{{N}}{{1,3}}| ?[^\s\x0b\p{{L}}\p{{N}}]+|[\s\x0b]+') ps FROM X)), T AS (SELECT doc_id, budget, k, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) start FROM P),
+M AS (SELECT doc_id, unnest(ms) m, unnest(range(1, len(ms) + 1)) j FROM (SELECT doc_id, regexp_extract_all(text, '[^{_SQL_END}]*(?:\r\n|[{_SQL_END}])|[^{_SQL_END}]+') ms FROM X)), E AS (SELECT doc_id, j, sum(length(m)) OVER (PARTITION BY doc_id ORDER BY j) stop, count(*) OVER (PARTITION BY doc_id) n FROM M),
+A AS (SELECT T.doc_id, k, coalesce(E.j, 0) line FROM (SELECT * FROM T WHERE k < budget) T ASOF LEFT JOIN E ON E.doc_id = T.doc_id AND T.start >= E.stop),
+B AS (SELECT A.doc_id, k, least(line, len(ls) - 1) line, keep, roles, ls FROM A JOIN S USING (doc_id))
+SELECT doc_id, CAST(count(*) AS INTEGER) tokens, CAST(max(line) + 1 AS INTEGER) seen_lines, sha256(string_agg(CAST(line AS VARCHAR), ',' ORDER BY k)) line_index, sum(keep[line + 1])::BIGINT kept, string_agg(CASE roles[line + 1] WHEN 'CORE' THEN '2' WHEN 'SUPPORT' THEN '1' ELSE '0' END, '' ORDER BY k) roles, round(avg(length(ls[line + 1]) * 1.0), 6) AS mean_length FROM B GROUP BY doc_id""")
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each text by their lines and labels, within what its query leaves of 600."""
+    docs = read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    s = samples(spark, sf_dir).join(docs, "doc_id")
+    n = F.size("ls")
+    rows = s.select(F.col("doc_id").alias("id"), "text", n.alias("code_lines"), F.col("keep").alias("line_keep_labels"), F.col("roles").alias("line_roles"), F.transform("ls", lambda x: F.length(x).cast("double")).alias("line_confidences"), F.sequence(F.lit(1), n).alias("line_numbers"), F.array().cast("array<struct<start:int,stop:int>>").alias("hard_spans"))
+    budget = alignment.budgets(F.floor(F.length("text") / 100), 601, 1, 1)["code"]
+    got = alignment.encoded(rows, alignment.token_lines(docs, "doc_id", "text"), budget, F.lit(True))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return got.where("error is null").select(
+        F.col("id").alias("doc_id"), F.size("keep").alias("tokens"), (F.array_max("line_index") + 1).alias("seen_lines"), F.sha2(F.array_join(F.col("line_index").cast("array<string>"), ","), 256).alias("line_index"), total("keep").cast("long").alias("kept"),
+        F.array_join(F.col("roles").cast("array<string>"), "").alias("roles"), F.round(total("confidences") / F.size("confidences"), 6).alias("mean_length"))

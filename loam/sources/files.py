@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
-import re
 import tomllib
 from collections.abc import Iterable, Iterator
 
