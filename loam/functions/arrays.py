@@ -98,6 +98,17 @@ def crf_decode(emissions: Column, start: list[float], trans: list[list[float]],
     return F.when(F.size(emissions) > 0, F.struct(F.greatest(xa, xb).alias("score"), tags.alias("tags")))
 
 
+def crf_score(emissions: Column, tags: Column, start: list[float], trans: list[list[float]], end: list[float]) -> Column:
+    """The score of given tags (0 or 1 by place) of a two-tag chain; its loss is the normalizer less this. Null for no
+    places or tags of another number."""
+    pick = lambda t, a, b: F.when(t == 1, F.lit(b)).otherwise(F.lit(a))
+    own = F.zip_with(emissions, tags, lambda e, t: F.when(t == 1, e["b"]).otherwise(e["a"]))
+    step = F.zip_with(F.slice(tags, F.lit(1), F.size(tags) - 1), F.slice(tags, F.lit(2), F.size(tags)), lambda was, t: F.when(t == 1, pick(was, *trans[1])).otherwise(pick(was, *trans[0])))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    ends = pick(F.get(tags, F.lit(0)), *start) + pick(F.element_at(tags, -1), *end)
+    return F.when((F.size(emissions) > 0) & (F.size(emissions) == F.size(tags)), ends + total(own) + total(step))
+
+
 def log_chance(yes: Column, no: Column) -> Column:
     """Log of the share of ``yes`` in a softmax of the two."""
     return -F.log1p(F.exp(no - yes))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An API key, what replaces it, the line ends, and explicit edit instructions.
+from loam.functions.arrays import bound
+
+#: An API key, what replaces it, the line ends, explicit edit instructions, a traceback's frame, and the
+#: relations that a reviewer may name.
 SECRET = r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{8,}"
 REDACTED = "[REDACTED_API_KEY]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -16,8 +19,7 @@ DECISION_RELATIONS = ("CALL", "DEF_USE", "CONTROL", "TYPE", "IMPORT", "ATTRIBUTE
 
 def splitlines(text: Column) -> Column:
     """Lines without their ends; a final line end makes no further line. Null: null."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def normalize_fragment(text: Column) -> Column:
@@ -69,9 +71,16 @@ def has_instruction(text: Column) -> Column:
     return text.rlike("(?i)" + INSTRUCTION)
 
 
-def canonical_json(*cols: Column | str) -> Column:
-    """Compact JSON with keys in order and nulls written; for strings and integers without control characters."""
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+def canonical_json(*names: str, **cols: Column) -> Column:
+    """Compact JSON of columns with their names sorted and nulls written; for strings and integers without control
+    characters. Structs inside keep their own order."""
+    both = {**{n: F.col(n) for n in names}, **cols}
+    return F.to_json(F.struct(*[both[n].alias(n) for n in sorted(both)]), {"ignoreNullFields": "false"})
+
+
+def json_hash(*parts: Column, length: int = 24) -> Column:
+    """A prefix of the SHA-256 of the parts as a compact JSON list: numbers stay numbers, null is null."""
+    return F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *[F.regexp_replace(F.to_json(F.array(p), {"ignoreNullFields": "false"}), r"^\[|\]$", "") for p in parts]), F.lit("]")), 256), 1, length)
 
 
 def hash64(*parts: Column) -> Column:

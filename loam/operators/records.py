@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.arrays import bound
+from loam.operators.labels import role_rank
+from loam.operators.ordering import row_numbers
+
+#: Fixed value: the source of a label that nothing has said anything about.
+DEFAULT = "static_default_drop"
 
 
 def as_list(many: Column, one: Column) -> Column:
@@ -103,12 +108,41 @@ def diverse(rows: DataFrame, group: str, key: str, groups: int, total: int) -> D
     return once.join(F.broadcast(chosen), group, "left_semi").withColumn("turn", turn).orderBy("turn", stable_hash(F.col(group)), group).limit(total)
 
 
-def spread(n: int, points: int) -> list[int]:
-    """``points`` places from 0 to n - 1, evenly apart, halves rounded to even."""
-    return sorted({round(i * (n - 1) / (points - 1)) for i in range(points)}) if n > 0 and points > 1 else [0] * (n > 0)
-
-
-def parity(spark, left: dict, right: dict) -> DataFrame:
-    """(field, left, right) of the settings in which two configurations differ."""
-    rows = [(k, str(left.get(k)), str(right.get(k))) for k in sorted({*left, *right})]
-    return spark.createDataFrame(rows, "field string, left string, right string").where("not (left <=> right)")
+def spread(rows: DataFrame, points: int, *order: str) -> DataFrame:
+    """``rows`` with ``row``, those at ``points`` places of ``order`` evenly apart, halves rounded to even; all if there
+    are no more. Exact row numbers of a distributed sort meet the few places."""
+    placed = row_numbers(rows, *order)
+    n = placed.count()
+    places = rows.sparkSession.range(points).select(F.bround(F.col("id") * F.lit((n - 1) / max(1, points - 1)), 0).cast("long").alias("row")).distinct()
+    return placed.join(F.broadcast(places), "row", "left_semi")  # ``points`` rows at most
+
+
+def parity(pairs: DataFrame, key: str, fields: list[str], left: str = "left", right: str = "right") -> DataFrame:
+    """(key, field, left, right) of the fields in which the two sides of a row, structs of settings, differ: an unpivot;
+    a side that is missing is null in all of them."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(left)[f].cast("string").alias("left"), F.col(right)[f].cast("string").alias("right")) for f in sorted(fields)]))
+    return pairs.select(key, each).where("not (left <=> right)")
+
+
+def reviewed(labels: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Labels (task, block, role, confidence, relation, provenance) after a review (task, block, new_role, new_confidence,
+    new_relation, models, error).
+
+    A decision goes through the label lattice like any other source: it counts if its role is higher, or the same and
+    surer. Its first model joins the provenance (``api_primary:``) if new, in place of a mere default unless it says DROP;
+    a second one always does (``api_reviewer:``). An error takes .10 off the confidence, down to 0, and leaves the rest. Blocks without a decision
+    stay as they are; of several decisions on a block the surest counts,
+    of equal ones that of the highest role's name, relation and models."""
+    one = decisions.groupBy("task", "block").agg(F.max_by(F.struct("new_role", "new_confidence", "new_relation", "models", "error"), F.struct(F.col("error").isNull(), "new_confidence", "new_role", "new_relation", "models")).alias("d"))
+    both = labels.join(one, ["task", "block"], "left")
+    asked, failed = F.col("d").isNotNull(), F.col("d.error").isNotNull()
+    old, new = role_rank(F.col("role")), role_rank(F.col("d.new_role"))
+    wins = asked & ~failed & ((new > old) | ((F.col("d.new_role") == F.col("role")) & (F.col("d.new_confidence") > F.col("confidence"))))
+    first, second = F.concat(F.lit("api_primary:"), F.get("d.models", F.lit(0))), F.concat(F.lit("api_reviewer:"), F.get("d.models", F.lit(1)))
+    mere = (F.array_join("provenance", ",") == DEFAULT) & (F.col("d.new_role") != "DROP")
+    told = F.when(F.array_contains("provenance", first), F.col("provenance")).when(mere, F.array(first)).otherwise(F.concat("provenance", F.array(first)))
+    told = F.when(F.size("d.models") > 1, F.concat(told, F.array(second))).otherwise(told)
+    return both.select(
+        "task", "block", F.when(wins, F.col("d.new_role")).otherwise(F.col("role")).alias("role"),
+        F.when(wins, F.col("d.new_confidence")).when(asked & failed, F.greatest(F.lit(0.0), F.col("confidence") - 0.10)).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(wins, F.col("d.new_relation")).otherwise(F.col("relation")).alias("relation"), F.when(asked & ~failed, told).otherwise(F.col("provenance")).alias("provenance"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.storage import cut
+
 from loam.operators.labels import role_rank
 
 #: Confidence by relation.
@@ -37,8 +39,10 @@ def resolve_paths(wanted: DataFrame, known: DataFrame, wanted_col: str = "path",
 def reanchor(evidence: DataFrame, lines: DataFrame) -> DataFrame:
     """Evidence (file, line, text) with ``at``: its line if the file (file, line, text) has that text there, trimmed;
     else the only line with that text; else null."""
-    spots = lines.select("file", F.col("line").alias("spot"), F.trim("text").alias("t"))
-    rows = evidence.withColumn("t", F.trim("text"))
+    # a text is 128 bits of hash to the joins
+    mark = F.unhex(F.md5(F.trim("text").cast("binary"))).alias("t")
+    spots = lines.select("file", F.col("line").alias("spot"), mark)
+    rows = evidence.withColumn("t", mark)
     once = rows.select("file", "t").distinct().join(spots, ["file", "t"]).groupBy("file", "t").agg(F.count("*").alias("m"), F.min("spot").alias("only"))
     there = rows.join(spots, (rows["file"] == spots["file"]) & (rows["t"] == spots["t"]) & (rows["line"] == spots["spot"]), "left_semi").select("file", "line", "t").distinct().withColumn("same", F.lit(True))
     found = rows.join(there, ["file", "line", "t"], "left").join(once, ["file", "t"], "left")
@@ -73,7 +77,7 @@ def nearest_header(nodes: DataFrame, rounds: int = 40) -> DataFrame:
         further = now.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hit").alias("hit2"))
         moved = now.where("not hit").join(further, "to").select("node", F.col("to2").alias("to"), F.col("hit2").alias("hit"))
         kept = now.where("hit").unionByName(moved)
-        now = kept.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else kept.persist()
+        now = cut(kept)
     return now.where("hit").select("node", F.col("to").alias("header"))
 
 
@@ -145,14 +149,38 @@ def negative_type(same_class: Column, names: Column, lexical: Column, issue: Col
     return F.when(same_class, "same_class_other_method").when((names >= 0.5) | (lexical >= 0.30), "similar_name_no_relation").when(issue >= 0.20, "issue_keyword_match_no_relation").when(same_file, "same_file_other_branch")
 
 
+#: Characters of a gram, and grams of all fragments up to which they are broadcast: a number each.
+GRAM, BROADCAST_GRAMS = 8, 2_000_000
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Hashes of all substrings of ``size`` characters, in one pass over the text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+
+
 def contained_fragments(texts: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(id, fragment) of fragments (fragment) that stand in a text (id, text). A fragment's longest word with words
-    around it stands whole in such a text, so it is the join's key; the few fragments of one or two words are tried on
-    every text."""
-    words = F.split("fragment", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    keyed = fragments.select("fragment").distinct().withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    by_word = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(keyed.where("word is not null"), "word").select("id", "fragment")
-    hits = by_word.join(texts, "id").where(F.col("text").contains(F.col("fragment"))).select("id", "fragment")
-    short = keyed.where("word is null").select("fragment")
-    return hits.unionByName(texts.join(short, F.col("text").contains(F.col("fragment"))).select("id", "fragment")).distinct()
+    """(id, fragment) of fragments (fragment) that stand in a text (id, text).
+
+    An inverted index of grams: the texts' substrings of ``GRAM`` characters (a shorter fragment is one gram of its own
+    length) that some fragment holds are listed by number; a fragment is looked for in the texts of its rarest gram
+    only, and not at all if one of its grams is in no text. What the list gives is then compared. Empty: in no text."""
+    wanted = fragments.where("fragment <> ''").select("fragment").distinct().withColumn("size", F.least(F.length("fragment"), F.lit(GRAM)))
+    found = None
+    for size in sorted(r[0] for r in wanted.select("size").distinct().collect()):  # at most GRAM
+        parts = cut(wanted.where(F.col("size") == size).select("fragment", F.explode(_grams(F.col("fragment"), size)).alias("gram")).distinct())
+        keys = parts.select("gram").distinct()
+        keys = F.broadcast(keys) if parts.count() <= BROADCAST_GRAMS else keys
+        listed = cut(texts.select("id", F.explode(_grams(F.col("text"), size)).alias("gram")).join(keys, "gram", "left_semi").distinct())
+        rare = parts.join(listed.groupBy("gram").agg(F.count("*").alias("m")), "gram", "left").groupBy("fragment").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram")).alias("key")).where("key.m > 0")
+        hits = listed.join(rare.select("fragment", F.col("key.gram").alias("gram")), "gram").select("id", "fragment")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return texts.select("id", F.lit("").alias("fragment")).limit(0)
+    return found.distinct().join(texts, "id").where(F.col("text").contains(F.col("fragment"))).select("id", "fragment").distinct()
+
+
+def contained_lines(lines: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(id) of texts with a line (id, text) that is, normalised, one of the fragments; compared by hash."""
+    from loam.functions.text import fragment_hash
+
+    return lines.select("id", fragment_hash(F.col("text")).alias("h")).join(fragments.select(F.sha2("fragment", 256).alias("h")).distinct(), "h", "left_semi").select("id").distinct()

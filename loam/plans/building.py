@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loam.functions import code
 from loam.functions import text as T
-from loam.operators import alignment, building, graph, ordering, patches, relations
+from loam.operators import alignment, building, graph, ordering, patches, records, relations
 from loam.plans.catalog import query, read, sql_lines
 from loam.plans.dataset import SAMPLES, samples
+from loam.sources import indexed
+from loam.storage import work_dir
 
 # documents as diffs: a hunk every 10 lines, marks by the lines' lengths, now and then another file's header
 DIFFS = f"""P AS (SELECT doc_id, '--- a/' || lang || '/' || doc_id || '.txt' || chr(10) || '+++ b/' || lang || '/' || doc_id || '.txt' || chr(10) || array_to_string(list_transform(ls, lambda x, i:
@@ -172,3 +174,30 @@ def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("error is null").select(
         F.col("id").alias("doc_id"), F.size("keep").alias("tokens"), (F.array_max("line_index") + 1).alias("seen_lines"), F.sha2(F.array_join(F.col("line_index").cast("array<string>"), ","), 256).alias("line_index"), total("keep").cast("long").alias("kept"),
         F.array_join(F.col("roles").cast("array<string>"), "").alias("roles"), F.round(total("confidences") / F.size("confidences"), 6).alias("mean_length"))
+
+
+@query("""SELECT doc_id, lang, source, n_chars, length(text) AS n FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)""")
+def offset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as indexed JSON lines, those labelled good read back by offset."""
+    path = work_dir(spark, "records")
+    indexed.write_indexed(read(spark, sf_dir, "documents"), path, "doc_id")
+    ids = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return indexed.read_by_ids(spark, path, ids, "doc_id long, lang string, source string, n_chars long, text string").select("doc_id", "lang", "source", "n_chars", F.length("text").alias("n"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) event_type, max(event_id) event_id, substr(repeat(arg_max(event_type, event_id), 300), 1, 1000) error FROM events GROUP BY user_id""")
+def upserted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events put into a bucketed table by their types, one after the other, each over what is earlier."""
+    path, events = work_dir(spark, "cache"), read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.repeat("event_type", 300).alias("error"))
+    newest = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    indexed.upsert_buckets(path, events.join(newest, ["user_id", "event_id"], "left_anti"), "user_id", "event_id", error_col="error")
+    indexed.upsert_buckets(path, events.join(newest, ["user_id", "event_id"]), "user_id", "event_id", error_col="error")
+    return indexed.read_buckets(spark, path).select("user_id", "event_type", "event_id", "error")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || ',' || role WHEN trim(text) <> '' THEN text ELSE '' END told FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels WHERE toxic = 0)""")
+def listed_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations whose number is a clean document's, with one value or several as a list."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.array("role", "role")).alias("many"), "text")
+    clean = read(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("conv_id"))
+    return records.restricted(turns, clean, "conv_id").select("conv_id", "turn", F.array_join(records.as_list(F.col("many"), F.col("text")), ",").alias("told"))

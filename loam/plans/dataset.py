@@ -66,10 +66,10 @@ def grep_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.grep_rows(rows, ["doc_id"], "line", 42, 40).select("doc_id", "line", F.sha2(T.grep_line(F.concat(F.lit("doc/"), F.col("doc_id")), F.col("line"), F.col("x")), 256).alias("view"), "keep", "role", "confidence")
 
 
-@query(f"""WITH {SAMPLES}, w AS (SELECT doc_id, ls[1:30] w FROM S), t AS (SELECT doc_id, w, list_max(list_transform(w, lambda x, i: CASE WHEN x <> '' THEN i ELSE 0 END)) a, list_max(list_transform(w, lambda x, i: CASE WHEN trim(x) <> '' THEN i ELSE 0 END)) b FROM w)
+@query(f"""WITH {SAMPLES}, w AS (SELECT doc_id, ls w FROM S), t AS (SELECT doc_id, w, list_max(list_transform(w, lambda x, i: CASE WHEN x <> '' THEN i ELSE 0 END)) a, list_max(list_transform(w, lambda x, i: CASE WHEN trim(x) <> '' THEN i ELSE 0 END)) b FROM w)
 SELECT doc_id, CAST(a AS INTEGER) n_lines, CAST(b AS INTEGER) n_stripped FROM t""")
 def trimmed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = samples(spark, sf_dir).select("doc_id", F.slice("ls", 1, 30).alias("w"))
+    w = samples(spark, sf_dir).select("doc_id", F.col("ls").alias("w"))
     return w.select("doc_id", F.size(A.without_blank_end(F.col("w"))).alias("n_lines"), F.size(A.without_blank_end(F.col("w"), strip=True)).alias("n_stripped"))
 
 
@@ -226,13 +226,13 @@ def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resolve_paths(wanted, known)
 
 
-@query(f"""WITH {LINES}, ev AS (SELECT doc_id AS file, line + doc_id % 2 AS line, text FROM lines WHERE line % 3 = 1), e AS (SELECT file, line, trim(text) t FROM ev), s AS (SELECT doc_id AS file, line spot, trim(text) t FROM lines),
+@query(f"""WITH {LINES}, e AS (SELECT doc_id AS file, line + doc_id % 2 AS line, trim(text) t FROM lines), s AS (SELECT doc_id AS file, line spot, trim(text) t FROM lines),
 o AS (SELECT file, t, count(*) m, min(spot) AS only FROM s GROUP BY 1, 2), r AS (SELECT e.file, e.line, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.file = e.file AND s.t = e.t AND s.spot = e.line) THEN e.line WHEN m = 1 THEN o.only END AS found FROM e LEFT JOIN o ON e.file = o.file AND e.t = o.t)
 SELECT file, CAST(line AS INTEGER) line, CAST(found AS INTEGER) AS found FROM r""")
 def reanchored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line as evidence, in some documents a line too late, set to where its text stands."""
+    """Every line as evidence, in every other document a line too late, set to where its text stands."""
     lines = samples(spark, sf_dir).select(F.col("doc_id").alias("file"), F.posexplode("ls").alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
-    late = lines.where("line % 3 = 1").withColumn("line", (F.col("line") + F.col("file") % 2).cast("int"))
+    late = lines.withColumn("line", (F.col("line") + F.col("file") % 2).cast("int"))
     return relations.reanchor(late, lines).select("file", "line", F.col("at").alias("found"))
 
 
@@ -263,12 +263,16 @@ def forbidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.forbidden_lines(lines, read(spark, sf_dir, "benchmark").select(F.explode(T.splitlines(F.col("text"))).alias("text")))
 
 
-@query(rf"""WITH {FRAGMENTS}, h AS (SELECT DISTINCT doc_id FROM d JOIN (SELECT DISTINCT fragment FROM f) ON contains(t, fragment))
-SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM h) THEN 'high' WHEN regexp_matches(text, '(?i)\b(change|replace|edit|modify)\b.{{0,40}}\b(to|with)\b|把.{{0,30}}(改成|替换为)|第\s*\d+\s*行') THEN 'medium' ELSE 'low' END risk FROM d""")
+@query(rf"""WITH {FRAGMENTS}, {SAMPLES}, q AS (SELECT DISTINCT fragment FROM f), i AS (SELECT doc_id, array_to_string(ls[1:3], chr(10)) issue, ls[4:] code FROM S),
+h AS (SELECT DISTINCT doc_id FROM i JOIN q ON contains(trim(regexp_replace(issue, '[\s]+', ' ', 'g')), fragment)), c AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, trim(regexp_replace(unnest(code), '[\s]+', ' ', 'g')) t FROM i) JOIN q ON t = fragment)
+SELECT doc_id, doc_id IN (SELECT doc_id FROM h) in_issue, doc_id IN (SELECT doc_id FROM c) in_code, CASE WHEN doc_id IN (SELECT doc_id FROM h) OR doc_id IN (SELECT doc_id FROM c) THEN 'high' WHEN regexp_matches(issue, '(?i)\b(change|replace|edit|modify)\b.{{0,40}}\b(to|with)\b|把.{{0,30}}(改成|替换为)|第\s*\d+\s*行') THEN 'medium' ELSE 'low' END risk FROM i""")
 def leak_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = relations.contained_fragments(_norm(spark, sf_dir), _fragments(spark, sf_dir)).select(F.col("id").alias("doc_id")).distinct().withColumn("in_issue", F.lit(True))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("issue")).join(hit, "doc_id", "left").withColumns({"in_issue": F.coalesce("in_issue", F.lit(False)), "in_code": F.lit(False)})
-    return checks.leak_risk(rows).select("doc_id", "risk")
+    """A document's first three lines as an issue, the others as code, against the benchmark's sentences."""
+    s, parts = samples(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_join(F.slice("ls", 1, 3), "\n").alias("issue"), F.slice("ls", F.lit(4), F.size("ls")).alias("code")), _fragments(spark, sf_dir)
+    told = relations.contained_fragments(s.select("id", T.normalize_fragment(F.col("issue")).alias("text")), parts).select("id").distinct().withColumn("in_issue", F.lit(True))
+    coded = relations.contained_lines(s.select("id", F.explode("code").alias("text")), parts).withColumn("in_code", F.lit(True))
+    rows = s.select("id", "issue").join(told, "id", "left").join(coded, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_issue", "in_code")})
+    return checks.leak_risk(rows).select(F.col("id").alias("doc_id"), "in_issue", "in_code", "risk")
 
 
 TASKS = """T AS (SELECT o_orderkey task_id, CASE WHEN o_orderkey % 11 <> 0 THEN 'repo' || o_custkey % 50 END repo_path, 'repo' || o_custkey % 50 repo_name, CASE o_orderstatus WHEN 'F' THEN 'fix ' || o_orderkey WHEN 'O' THEN ' ' END issue_text, CASE WHEN o_orderkey % 7 <> 0 THEN 'diff' END patch, CASE WHEN o_orderpriority LIKE '1%' THEN 'File' END traceback FROM orders),
@@ -451,14 +455,44 @@ def diverse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.diverse(read(spark, sf_dir, "documents"), "source", "doc_id", 5, 60).select("source", "doc_id", "turn")
 
 
-@query("""WITH n AS (SELECT count(*) n FROM orders) SELECT DISTINCT CAST(round_even(i * (n - 1) / 31.0, 0) AS BIGINT) place FROM n, range(0, 32) r(i)""")
+@query("""WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 row, count(*) OVER () n FROM orders)
+SELECT o_orderkey, row FROM n WHERE row IN (SELECT CAST(round_even(i * (n - 1) / 31.0, 0) AS BIGINT) FROM range(0, 32) r(i))""")
 def spread_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in records.spread(read(spark, sf_dir, "orders").count(), 32)], "place long")
+    """32 orders evenly apart by price, the cheapest and the dearest among them."""
+    return records.spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 32, "o_totalprice", "o_orderkey").select("o_orderkey", "row")
 
 
-@query("""SELECT * FROM (VALUES ('lr', '0.1', '0.2'), ('only_left', '1', 'None')) v(field, "left", "right")""")
+PARITY = ["l_linestatus", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"]
+
+
+@query(f"""WITH p AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS "key", {", ".join(f"a.{c}::VARCHAR a_{c}, b.{c}::VARCHAR b_{c}" for c in PARITY if c in ("l_linestatus", "l_returnflag", "l_shipdate"))}, CAST(a.l_quantity AS BIGINT)::VARCHAR a_l_quantity, CAST(b.l_quantity AS BIGINT)::VARCHAR b_l_quantity, CAST(round(a.l_tax * 100) AS BIGINT)::VARCHAR a_l_tax, CAST(round(b.l_tax * 100) AS BIGINT)::VARCHAR b_l_tax
+FROM (SELECT * FROM lineitem WHERE l_linenumber = 1) a FULL JOIN (SELECT * FROM lineitem WHERE l_linenumber = 2) b USING (l_orderkey)) """ + " UNION ALL ".join(f"""SELECT "key" order_key, '{c}' field, a_{c} "left", b_{c} "right" FROM p WHERE a_{c} IS DISTINCT FROM b_{c}""" for c in PARITY))
 def config_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.parity(spark, {"lr": 0.1, "seed": 42, "only_left": 1}, {"lr": 0.2, "seed": 42})
+    """The first two lines of an order as settings: the fields in which they differ, or that one lacks."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linestatus", F.col("l_quantity").cast("long").alias("l_quantity"), "l_returnflag", F.col("l_shipdate").cast("string").alias("l_shipdate"), F.round(F.col("l_tax") * 100).cast("long").alias("l_tax")).alias("v"))
+    side = lambda n, name: rows.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("v").alias(name))
+    return records.parity(side(1, "left").join(side(2, "right"), "l_orderkey", "full"), "l_orderkey", PARITY).withColumnRenamed("l_orderkey", "order_key")
+
+
+@query("""WITH b AS (SELECT o_custkey task, o_orderkey block, CASE o_orderstatus WHEN 'F' THEN 'CORE' WHEN 'O' THEN 'SUPPORT' ELSE 'DROP' END role, round(o_totalprice / 600000, 4) confidence, CASE WHEN o_orderstatus = 'P' THEN 'static_default_drop' ELSE 'static' END prov FROM orders),
+d AS (SELECT o_custkey task, l_orderkey block, CASE WHEN l_returnflag = 'A' THEN 'DROP' ELSE 'SUPPORT' END nr, round(l_discount * 10, 4) nc, l_shipdate::VARCHAR rel, CASE WHEN l_tax > 0.07 THEN 'timeout' END error, l_linestatus = 'F' two FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY error IS NULL DESC, nc DESC, nr DESC, rel DESC, two DESC) = 1),
+r AS (SELECT b.*, d.*, d.block IS NOT NULL asked, CASE role WHEN 'CORE' THEN 2 WHEN 'SUPPORT' THEN 1 ELSE 0 END o, CASE nr WHEN 'SUPPORT' THEN 1 ELSE 0 END w FROM b LEFT JOIN d ON d.task = b.task AND d.block = b.block),
+k AS (SELECT *, asked AND error IS NULL AND (w > o OR (nr = role AND nc > confidence)) wins FROM r)
+SELECT task, block, CASE WHEN wins THEN nr ELSE role END role, round(CASE WHEN wins THEN nc WHEN asked AND error IS NOT NULL THEN greatest(0, confidence - 0.10) ELSE confidence END, 6) confidence, CASE WHEN wins THEN rel ELSE 'NONE' END relation,
+CASE WHEN asked AND error IS NULL THEN CASE WHEN prov = 'static_default_drop' AND nr <> 'DROP' THEN '' ELSE prov || ',' END || 'api_primary:m1' || CASE WHEN two THEN ',api_reviewer:m2' ELSE '' END ELSE prov END provenance FROM k""")
+def reviewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as labelled blocks of a customer, their first lines as a reviewer's decisions, some of them failed."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    role = F.when(F.col("o_orderstatus") == "F", "CORE").when(F.col("o_orderstatus") == "O", "SUPPORT").otherwise("DROP")
+    labels = o.select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("block"), role.alias("role"), F.round(F.col("o_totalprice") / 600000, 4).alias("confidence"), F.lit("NONE").alias("relation"), F.array(F.when(F.col("o_orderstatus") == "P", records.DEFAULT).otherwise("static")).alias("provenance"))
+    models = F.when(F.col("l_linestatus") == "F", F.array(F.lit("m1"), F.lit("m2"))).otherwise(F.array(F.lit("m1")))
+    said = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("task"), F.col("l_orderkey").alias("block"), F.when(F.col("l_returnflag") == "A", "DROP").otherwise("SUPPORT").alias("new_role"), F.round(F.col("l_discount") * 10, 4).alias("new_confidence"), F.col("l_shipdate").cast("string").alias("new_relation"), models.alias("models"), F.when(F.col("l_tax") > 0.07, "timeout").alias("error"))
+    return records.reviewed(labels, said).select("task", "block", "role", F.round("confidence", 6).alias("confidence"), "relation", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query("""SELECT doc_id, substr(sha256('[7,' || to_json(lang) || ',' || doc_id || ',' || coalesce(to_json(source)::VARCHAR, 'null') || ']'), 1, 24) h FROM documents""")
+def json_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.json_hash(F.lit(7), F.col("lang"), F.col("doc_id"), F.col("source")).alias("h"))
 
 
 @query("""WITH c AS (SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END split FROM documents GROUP BY ALL) SELECT source, string_agg(split, ',' ORDER BY split) splits FROM c GROUP BY source HAVING count(*) > 1""")
@@ -491,15 +525,20 @@ def ranking_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRF = ([0.1, -0.1], [[0.3, -0.2], [-0.4, 0.2]], [0.05, -0.05])
 
 
-@query(f"""WITH RECURSIVE {SAMPLES}, M AS (SELECT doc_id, len(ls) n, list_transform(ls, lambda x: (length(x) % 7) / 7.0) a, list_transform(ls, lambda x: (length(x) % 5) / 5.0) b FROM S),
+@query(f"""WITH RECURSIVE {SAMPLES}, M AS MATERIALIZED (SELECT doc_id, len(ls) n, list_transform(ls, lambda x: (length(x) % 7) / 7.0) a, list_transform(ls, lambda x: (length(x) % 5) / 5.0) b, keep FROM S),
 r AS (SELECT doc_id, 1 i, (0.1 + a[1])::DOUBLE za, (-0.1 + b[1])::DOUBLE zb, (0.1 + a[1])::DOUBLE va, (-0.1 + b[1])::DOUBLE vb FROM M UNION ALL
-SELECT r.doc_id, i + 1, ln(exp(za + 0.3) + exp(zb - 0.2)) + a[i + 1], ln(exp(za - 0.4) + exp(zb + 0.2)) + b[i + 1], greatest(va + 0.3, vb - 0.2) + a[i + 1], greatest(va - 0.4, vb + 0.2) + b[i + 1] FROM r JOIN M USING (doc_id) WHERE i < n)
-SELECT doc_id, round(ln(exp(za + 0.05) + exp(zb - 0.05)), 6) normalizer, round(greatest(va + 0.05, vb - 0.05), 6) best FROM r JOIN M USING (doc_id) WHERE i = n""")
+SELECT r.doc_id, i + 1, ln(exp(za + 0.3) + exp(zb - 0.2)) + a[i + 1], ln(exp(za - 0.4) + exp(zb + 0.2)) + b[i + 1], greatest(va + 0.3, vb - 0.2) + a[i + 1], greatest(va - 0.4, vb + 0.2) + b[i + 1] FROM r JOIN M USING (doc_id) WHERE i < n),
+g AS MATERIALIZED (SELECT doc_id, i, CAST(vb - 0.2 > va + 0.3 AS INTEGER) to0, CAST(vb + 0.2 > va - 0.4 AS INTEGER) to1, CAST(vb - 0.05 > va + 0.05 AS INTEGER) fin FROM r),
+t AS (SELECT g.doc_id, i, fin tag FROM g JOIN M ON M.doc_id = g.doc_id AND i = n UNION ALL SELECT g.doc_id, g.i, CASE WHEN t.tag = 1 THEN to1 ELSE to0 END FROM t JOIN g ON g.doc_id = t.doc_id AND g.i = t.i - 1),
+z AS (SELECT doc_id, sha256(string_agg(tag, '' ORDER BY i)) tags FROM t GROUP BY doc_id),
+y AS (SELECT doc_id, list_sum(list_transform(keep, lambda k, i: CASE WHEN k = 1 THEN b[i] ELSE a[i] END + CASE WHEN i = 1 THEN CASE WHEN k = 1 THEN -0.1 ELSE 0.1 END WHEN k = 1 THEN CASE WHEN keep[i - 1] = 1 THEN 0.2 ELSE -0.4 END ELSE CASE WHEN keep[i - 1] = 1 THEN -0.2 ELSE 0.3 END END)) + CASE WHEN keep[-1] = 1 THEN -0.05 ELSE 0.05 END score FROM M)
+SELECT doc_id, round(ln(exp(za + 0.05) + exp(zb - 0.05)), 6) normalizer, round(greatest(va + 0.05, vb - 0.05), 6) best, tags, round(ln(exp(za + 0.05) + exp(zb - 0.05)) - score, 5) loss FROM r JOIN M USING (doc_id) JOIN z USING (doc_id) JOIN y USING (doc_id) WHERE i = n""")
 def crf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed and best scores of the keep marks of a text's lines as a two-tag chain."""
+    """A text's lines as a two-tag chain: the summed and best scores, the best tags, and the loss of its keep marks."""
     e = F.transform("ls", lambda x: F.struct(((F.length(x) % 7) / 7.0).alias("a"), ((F.length(x) % 5) / 5.0).alias("b")))
-    s = samples(spark, sf_dir).select("doc_id", e.alias("e"))
-    return s.select("doc_id", F.round(A.crf_normalizer(F.col("e"), *CRF), 6).alias("normalizer"), F.round(A.crf_decode(F.col("e"), *CRF)["score"], 6).alias("best"))
+    s = samples(spark, sf_dir).select("doc_id", e.alias("e"), "keep")
+    s = s.select("doc_id", A.crf_normalizer(F.col("e"), *CRF).alias("z"), A.crf_decode(F.col("e"), *CRF).alias("d"), A.crf_score(F.col("e"), F.col("keep"), *CRF).alias("s"))
+    return s.select("doc_id", F.round("z", 6).alias("normalizer"), F.round("d.score", 6).alias("best"), F.sha2("d.tags", 256).alias("tags"), F.round(F.col("z") - F.col("s"), 5).alias("loss"))
 
 
 @query("""WITH d AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: (i % 3 - 1)::DOUBLE)) yes, list_dot_product(embedding::DOUBLE[], list_transform(range(0, 64), lambda i: ((i % 5 - 2) / 2.0)::DOUBLE)) AS nope FROM embeddings)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,3 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.persist()
+
+
+def work_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in that of ``spark.checkpoint.dir``, which all executors share; on a local master without
+    one, in a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='loam-work-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
