@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loam.llm.common import stash
 
 N = 10
-#: Windows that may be broadcast: 16 bytes each, so 64 MB. A larger benchmark is joined by a shuffle on the hash.
-BROADCAST_WINDOWS = 4_000_000
+#: Bytes of windows, words and items and what a row costs beside them, that are broadcast whole; and, beyond them, windows
+#: whose hashes alone are, 16 bytes each. A still larger benchmark is joined by a shuffle on the hash.
+BROADCAST_BYTES, BROADCAST_WINDOWS = 64 << 20, 4_000_000
 #: What isn't part of a word, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,10 +42,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per row group of doc_id: doc_id, n_words, hit (0-based positions of words inside any benchmark window)
     and items (ids of the items with a window there).
 
-    The benchmark's windows become a hash set, broadcast while it has at most ``BROADCAST_WINDOWS`` entries (it is
-    counted first): documents are then read once, each emits the hashes of its own windows and one mark, so documents
-    without a hit come through the same join. Beyond, (doc_id, place, hash) is shuffled, and what it finds is joined back
-    to the documents. A hit's words are compared one by one before it counts.
+    The benchmark's windows become a hash set, broadcast with their words while all have at most ``BROADCAST_BYTES`` (they
+    are added up first): documents are then read once, each emits the hashes of its own windows and one mark, so documents
+    without a hit come through the same join. Beyond, up to ``BROADCAST_WINDOWS`` hashes are broadcast alone, and (doc_id,
+    place, hash) of what they hit is shuffled to the words and joined back to the documents; with still more windows, of
+    every window of the documents. A hit's words are compared one by one before it counts.
 
     Null or wordless text: no words, no hits. Null doc_id: such rows are judged together, as are those of any other id.
     Repeated rows change nothing. Two texts of one id: the longer one's number of words, the hits of both. Null item_id:
@@ -65,19 +67,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     # one long per window, in a projection of its own: the explode and the join then compile into one loop that
     # touches a document's words only where a hash is in the set. The outer form keeps the optimizer from adding a
     # size test that would compute the whole array again. Places: the mark, then the windows of each width.
-    size, first, parts, word_at = F.size("words"), F.lit(1), [F.array(F.lit(0).cast("long"))], F.lit(-1)
+    n_words, first, parts, word_at = F.size("words"), F.lit(1), [F.array(F.lit(0).cast("long"))], F.lit(-1)
     for width in widths:
-        starts = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
+        starts = F.when(n_words >= width, F.sequence(F.lit(0), n_words - width)).otherwise(F.array().cast("array<int>"))
         parts.append(F.transform(starts, candidate(width)))
         word_at = F.when(F.col("b_width") == width, F.col("pos") - first).otherwise(word_at)
-        first = first + F.greatest(size - width + 1, F.lit(0))
+        first = first + F.greatest(n_words - width + 1, F.lit(0))
     base = base.select("doc_id", "words", F.concat(*parts).alias("own"))
     cand = base.select("doc_id", "words", F.posexplode_outer("own").alias("pos", "h"))
-    if found.count() <= BROADCAST_WINDOWS:
+    size = F.aggregate("w", F.lit(64), lambda n, x: n + F.octet_length(x) + 16) + 24 * F.size("items")
+    n_windows, n_bytes = found.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n_bytes <= BROADCAST_BYTES:
         joined = cand.join(F.broadcast(keyed), "h")
     else:
         # a window's row is three numbers; those found go back to their documents, where the words are compared
-        spots = cand.where("pos > 0").select(F.col("doc_id").alias("of"), "pos", "h").join(keyed.where("b_width > 0"), "h")
+        spots = cand.where("pos > 0").select(F.col("doc_id").alias("of"), "pos", "h")
+        if n_windows <= BROADCAST_WINDOWS:
+            spots = spots.join(F.broadcast(keyed.where("b_width > 0").select("h").distinct()), "h", "left_semi")
+        spots = spots.join(keyed.where("b_width > 0"), "h")
         joined = base.select("doc_id", "words").join(spots, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     spot = joined.withColumn("i", word_at)
     same = (F.col("i") >= 0) & (F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.greatest(F.col("b_width"), F.lit(0))) == F.col("w"))

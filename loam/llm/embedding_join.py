@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from loam.llm.common import components, stash
 DIMS, LOOK = 16, 24
 #: Vectors of a block, and children of a node of the recursion: its lowest nodes are intervals of so many blocks.
 BLOCK, FAN = 512, 16
+#: Intervals of a group, whose blocks a task holds: some 150 MB for 64 dimensions.
+GROUP = 16
 #: Share of a pair of blocks' vectors up to which those that the first look leaves are computed one by one.
 FEW = 0.03
 
@@ -160,8 +163,8 @@ def linked_pairs(a: Block, b: Block, least: float) -> np.ndarray | None:
 
 
 def _links(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows are the blocks of a pair of intervals (a, b), in order of (a, b, block). For each pair of blocks of the two:
-    (id, links, root), the number of linked vectors in the other block and one linked vector that stands for the part
+    """Rows are the blocks of a pair of groups (a, b), in order of (a, b, side, block): the first group's are held, the
+    second one's stream past them. For each pair of blocks of the two: (id, links, root), the number of linked vectors in the other block and one linked vector that stands for the part
     of the pair's graph that the vector lies in."""
     def stars(a: Block, b: Block) -> Iterator[pa.RecordBatch]:
         linked, same = linked_pairs(a, b, least), a.number == b.number
@@ -186,24 +189,21 @@ def _links(batches: Iterable[pa.RecordBatch], dim: int, axes: np.ndarray, least:
             on = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(n[on].astype(np.int64)), pa.array(root[on])], ["id", "links", "root"])
 
-    def tile(key: tuple, held: list[Block]) -> Iterator[pa.RecordBatch]:
-        left, right = ([x for x in held if x.number // FAN == k] for k in key)
-        for a in left:
-            for b in right:
-                if a.number <= b.number:
-                    yield from stars(a, b)
-
     now, held = None, []
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             if now != (row["a"], row["b"]):
-                if held:
-                    yield from tile(now, held)
                 now, held = (row["a"], row["b"]), []
-            held.append(Block(row, dim, axes))
-    if held:
-        yield from tile(now, held)
+            block = Block(row, dim, axes)
+            if row["side"]:
+                for other in held:
+                    yield from stars(other, block)
+                continue
+            if row["a"] == row["b"]:  # a group with itself: each block meets those before it, and its own vectors
+                for other in (*held, block):
+                    yield from stars(other, block)
+            held.append(block)
 
 
 def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -212,8 +212,8 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col
 
     Equal vectors become one with a weight. The rest are unit vectors, for which a cosine of ``least`` is a distance
     ``eps``; a grid of that width on the leading principal dimensions orders them. Intervals of the order are joined
-    recursively, those further apart than ``eps`` skipped (:func:`interval_pairs`); a task gets the blocks of two
-    intervals, skips pairs of blocks and of vectors that are further apart in their leading principal parts
+    recursively, those further apart than ``eps`` skipped (:func:`interval_pairs`); a task gets the blocks of two groups of
+    up to ``GROUP`` intervals, one while there are few, skips pairs of blocks and of vectors that are further apart in their leading principal parts
     (:func:`linked_pairs`), computes the others in double precision, and gives sums and one row per vector, never pairs.
 
     Null, empty or zero vectors and those with null or non-finite components: no links, a component of their own.
@@ -221,23 +221,34 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col
     has the id's result. Null id: not returned. Empty table: no rows. Other columns: ignored."""
     rows = stash(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding")).where("vec_id is not null").mapInArrow(_raw, "vec_id long, dim int, raw binary"), "vectors")
     real = rows.where("raw is not null")
-    member = real.select("vec_id", "dim", F.sha2("raw", 256).alias("same"))
-    reps = member.groupBy("dim", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    member = stash(member.join(reps, ["dim", "same"]).select("vec_id", "dim", "rep", "weight"), "equal")
+    real = real.withColumn("same", F.sha2("raw", 256))
+    # a vector is named by its smallest vec_id; if that names several vectors, all but one get numbers beyond all ids
+    reps = stash(real.groupBy("dim", "same").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("n", F.monotonically_increasing_id()), "reps")
+    named = reps.groupBy("first").agg(F.min("n").alias("named"))
+    top = real.agg(F.max("vec_id")).first()[0]
+    beyond = F.lit((top or 0) + 1)
+    reps = stash(reps.join(named, "first").select("dim", "same", "first", "weight", F.when(F.col("n") == F.col("named"), F.col("first")).otherwise(beyond + F.col("n")).alias("rep")), "equal")
+    member = stash(real.select("vec_id", "dim", "same").join(reps.drop("first"), ["dim", "same"]).select("vec_id", "dim", "rep", "weight"), "members")
     eps = (2 - 2 * least) ** 0.5
     linked, edges = None, member.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
     for dim in sorted(r[0] for r in member.select("dim").distinct().collect()):  # the lengths of vectors: few
-        heads = member.where((F.col("dim") == dim) & (F.col("vec_id") == F.col("rep"))).select("vec_id", "rep", "weight").distinct()
-        distinct = stash(real.where(F.col("dim") == dim).join(heads, "vec_id").select("rep", "weight", "raw").dropDuplicates(["rep"]), "distinct")
+        heads = reps.where(F.col("dim") == dim).select("same", F.col("first").alias("vec_id"), "rep", "weight")
+        distinct = stash(real.where(F.col("dim") == dim).join(heads, ["vec_id", "same"]).select("rep", "weight", "raw").dropDuplicates(["rep"]), "distinct")
         axes = principal(distinct, dim)
         cells = distinct.mapInArrow(lambda it, dim=dim, axes=axes: _cells(it, dim, axes, eps), "rep long, weight long, raw binary, cell string")
         ordered = cells.repartitionByRange("cell", "rep").sortWithinPartitions("cell", "rep")
         blocks = stash(ordered.mapInArrow(lambda it, dim=dim, axes=axes: _blocks(it, dim, axes, BLOCK), "place long, ids binary, weights binary, data binary, lo array<double>, hi array<double>"), "blocks")
         boxes = stash(_numbered(blocks.select("place", "lo", "hi")), "numbered")
         pairs = interval_pairs(boxes.select("block", "lo", "hi"), eps)
-        sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("interval"))
+        # groups of neighbouring intervals: a block is sent to as many tasks as there are groups, not intervals
+        many = -(-boxes.count() // FAN)
+        span = max(1, min(GROUP, many // math.ceil(math.sqrt(6 * vectors.sparkSession.sparkContext.defaultParallelism))))
+        group = lambda c: F.floor(F.col(c) / span).cast("long")
+        both = pairs.select(group("a").alias("ga"), group("b").alias("gb"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("interval")), F.struct((group("a") != group("b")).cast("int").alias("side"), F.col("b").alias("interval")))).alias("s"))
+        sides = both.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "s.side", "s.interval").distinct()
+        cells = sides.select("a", "b").distinct().count()
         placed = blocks.join(boxes.select("place", "block"), "place").withColumn("interval", F.floor(F.col("block") / FAN).cast("long"))
-        tiles = sides.join(placed, "interval").select("a", "b", "block", "ids", "weights", "data", "lo", "hi").repartition(max(1, pairs.count()), "a", "b").sortWithinPartitions("a", "b", "block")
+        tiles = sides.join(placed, "interval").select("a", "b", "side", "block", "ids", "weights", "data", "lo", "hi").repartition(max(1, cells), "a", "b").sortWithinPartitions("a", "b", "side", "block")
         found = stash(tiles.mapInArrow(lambda it, dim=dim, axes=axes: _links(it, dim, axes, least), "id long, links long, root long"), "links")
         linked = found if linked is None else linked.unionAll(found)
         edges = edges.unionAll(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

@@ -277,9 +277,10 @@ def test_benchmark(spark):
     assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}[1] == "x y"
 
 
-@pytest.mark.parametrize("most", [4_000_000, 0])
+@pytest.mark.parametrize("most", [(64 << 20, 4_000_000), (0, 4_000_000), (0, 0)])
 def test_benchmark_by_either_join(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most[0])
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most[1])
     rng = random.Random(8)
     say = lambda n: [rng.choice("ab cd ef gh".split()) for _ in range(n)]
     items = [(i, " ".join(say(n))) for i, n in enumerate([14, 12, 10, 11, 4, 3, 7])] + [(90, None), (91, "--")]
@@ -317,6 +318,32 @@ def test_embeddings(spark):
     assert {i: (r.component_id, r.n_links) for i, r in got.items()} == {i: (comp[i], deg[i]) for i, _ in rows}
 
 
+@pytest.mark.parametrize("group", [1, 3])
+def test_embeddings_in_many_blocks(spark, monkeypatch, group):
+    for name, value in (("BLOCK", 32), ("FAN", 2), ("GROUP", group)):
+        monkeypatch.setattr(embedding_join, name, value)
+    monkeypatch.setattr(embedding_join.math, "sqrt", lambda x: 1.0)  # as if there were few cores: groups of GROUP intervals
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 12))
+    made = [centres[k % 40] * (1 + k % 3) + rng.standard_normal(12) * rng.choice([0.1, 0.4, 0.55]) for k in range(1400)]  # families across blocks
+    made += [made[5]] * 30 + [x for x in rng.standard_normal((200, 12))]
+    rows = [(7 * i, [float(x) for x in v]) for i, v in enumerate(made)]
+    rows += [(0, rows[900][1]), (99_999, [1.0, 2.0]), (99_998, [2.0, 4.0])]  # an id with another vector, and another length
+    x = np.array([v for _, v in rows[:-2]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    ids = [r[0] for r in rows]
+    links = Counter([*i.tolist(), *j.tolist(), len(rows) - 2, len(rows) - 1])
+    comp = union(ids, [(ids[a], ids[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)] + [(99_998, 99_999)])
+    got = embedding_join.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)).collect()
+    assert len(got) == len(rows) and len(i) > 10_000 and len(set(comp.values())) > 100
+    assert all(r.component_id == comp[r.vec_id] and r.kept == (r.vec_id == comp[r.vec_id]) for r in got)
+    most = {}
+    for k, v in enumerate(ids):
+        most[v] = max(most.get(v, 0), links[k])
+    assert all(r.n_links == most[r.vec_id] for r in got)
+
+
 def test_segments_are_the_maximal_ones():
     rng = np.random.default_rng(4)
 
