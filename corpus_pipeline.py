@@ -7,12 +7,10 @@ the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import decontaminate, line_dedup, minhash, packing, quality
-from loam.llm.common import shared_dir, table
+from loam.llm.common import Scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on ``documents``; each stage's rows are written as Parquet in the shared folder and read again, and those
+    of the stage before are dropped then."""
+    docs, work, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = work.put(f"{k}-{name}", stage(spark, docs, sf_dir))
+        if last:
+            work.drop(last)
+        last = f"{k}-{name}"
     return docs
