@@ -149,8 +149,10 @@ def negative_type(same_class: Column, names: Column, lexical: Column, issue: Col
     return F.when(same_class, "same_class_other_method").when((names >= 0.5) | (lexical >= 0.30), "similar_name_no_relation").when(issue >= 0.20, "issue_keyword_match_no_relation").when(same_file, "same_file_other_branch")
 
 
-#: Characters of a gram, and grams of all fragments up to which they are broadcast: a number each.
+#: Characters of a gram, and units of all fragments up to which they are broadcast: a number each.
 GRAM, BROADCAST_GRAMS = 8, 2_000_000
+#: Fragments without inner words up to which no index is made for them.
+FEW = 64
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -158,24 +160,41 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
+def _inner_words(text: Column) -> Column:
+    """Hashes of the words that have a blank on either side: what contains the text has them as words of its own."""
+    words = F.split(text, " ")
+    return F.transform(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def _candidates(texts: DataFrame, parts: DataFrame, units: Column) -> DataFrame:
+    """(id, fragment) of texts with the rarest unit of a fragment (fragment, unit); none if a unit is in no text."""
+    keys = parts.select("unit").distinct()
+    keys = F.broadcast(keys) if parts.count() <= BROADCAST_GRAMS else keys
+    listed = cut(texts.select("id", F.explode(units).alias("unit")).join(keys, "unit", "left_semi").distinct())
+    rare = parts.join(listed.groupBy("unit").agg(F.count("*").alias("m")), "unit", "left").groupBy("fragment").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "unit")).alias("key")).where("key.m > 0")
+    return listed.join(rare.select("fragment", F.col("key.unit").alias("unit")), "unit").select("id", "fragment")
+
+
 def contained_fragments(texts: DataFrame, fragments: DataFrame) -> DataFrame:
     """(id, fragment) of fragments (fragment) that stand in a text (id, text).
 
-    An inverted index of grams: the texts' substrings of ``GRAM`` characters (a shorter fragment is one gram of its own
-    length) that some fragment holds are listed by number; a fragment is looked for in the texts of its rarest gram
-    only, and not at all if one of its grams is in no text. What the list gives is then compared. Empty: in no text."""
-    wanted = fragments.where("fragment <> ''").select("fragment").distinct().withColumn("size", F.least(F.length("fragment"), F.lit(GRAM)))
-    found = None
-    for size in sorted(r[0] for r in wanted.select("size").distinct().collect()):  # at most GRAM
-        parts = cut(wanted.where(F.col("size") == size).select("fragment", F.explode(_grams(F.col("fragment"), size)).alias("gram")).distinct())
-        keys = parts.select("gram").distinct()
-        keys = F.broadcast(keys) if parts.count() <= BROADCAST_GRAMS else keys
-        listed = cut(texts.select("id", F.explode(_grams(F.col("text"), size)).alias("gram")).join(keys, "gram", "left_semi").distinct())
-        rare = parts.join(listed.groupBy("gram").agg(F.count("*").alias("m")), "gram", "left").groupBy("fragment").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram")).alias("key")).where("key.m > 0")
-        hits = listed.join(rare.select("fragment", F.col("key.gram").alias("gram")), "gram").select("id", "fragment")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return texts.select("id", F.lit("").alias("fragment")).limit(0)
+    An inverted index of units: of a fragment with inner words, these, else its substrings of ``GRAM`` characters (a
+    shorter fragment is one gram of its own length); up to ``FEW`` of the latter are tried on each text as it is read. Those units of the texts that some fragment has are listed by
+    number; a fragment is looked for in the texts of its rarest unit only, and not at all if one of its units is in no
+    text. What the list gives is then compared. Empty: in no text."""
+    wanted = cut(fragments.where("fragment <> ''").select("fragment", _inner_words(F.col("fragment")).alias("words"), F.least(F.length("fragment"), F.lit(GRAM)).alias("size")).dropDuplicates(["fragment"]))
+    found = texts.select("id", F.lit("").alias("fragment")).limit(0)
+    worded = wanted.where(F.size("words") > 0)
+    if not worded.isEmpty():
+        found = found.unionByName(_candidates(texts, worded.select("fragment", F.explode("words").alias("unit")).distinct(), F.transform(F.split("text", " "), lambda w: F.xxhash64(w))))
+    short = wanted.where(F.size("words") == 0)
+    if short.count() <= FEW:
+        few = [F.lit(r[0]) for r in short.select("fragment").collect()]
+        hits = texts.select("id", F.explode(F.filter(F.array(*few), lambda f: F.col("text").contains(f))).alias("fragment")) if few else found
+        return found.distinct().join(texts, "id").where(F.col("text").contains(F.col("fragment"))).select("id", "fragment").unionByName(hits).distinct()
+    for size in sorted(r[0] for r in short.select("size").distinct().collect()):  # at most GRAM
+        parts = wanted.where((F.size("words") == 0) & (F.col("size") == size)).select("fragment", F.explode(_grams(F.col("fragment"), size)).alias("unit")).distinct()
+        found = found.unionByName(_candidates(texts, parts, _grams(F.col("text"), size)))
     return found.distinct().join(texts, "id").where(F.col("text").contains(F.col("fragment"))).select("id", "fragment").distinct()
 
 

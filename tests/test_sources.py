@@ -133,8 +133,9 @@ def test_fragments_by_grams(spark, monkeypatch):
     texts = [(k, word(rng.choice([0, 3, 60]))) for k in range(80)] + [(99, "héllo wörld, a 😀 smile"), (100, None)]
     parts = [word(n) for n in (1, 2, 3, 5, 8, 9, 12, 14) for _ in range(6)] + ["wörld, a", "😀 smile", "lo", "", "absent gram here"]
     want = {(i, f) for i, t in texts for f in parts if t is not None and f and f in t}
-    for most in (indexed.BROADCAST_BLOCKS, 0):
+    for most, few in ((10_000, 64), (10_000, 0), (0, 0)):
         monkeypatch.setattr(relations, "BROADCAST_GRAMS", most)
+        monkeypatch.setattr(relations, "FEW", few)
         got = relations.contained_fragments(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in parts], "fragment string"))
         assert {tuple(r) for r in got.collect()} == want
     assert relations.contained_fragments(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "fragment string")).count() == 0
