@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import textvec as tv
-from loam.llm.common import flat, slices, stash, texts_of
+from loam.llm.common import Scratch, flat, slices, texts_of
 
 #: Labelled rows that the model is fitted on at most; more are thinned by the hash of doc_id.
 LABELLED = 200_000
-#: Tokens that the log-odds table keeps at most: those whose log-odds are surest. It bounds what tasks are sent.
+#: Tokens of the log-odds table that tasks are sent at a time. A larger table goes over the texts part by part.
 TOKENS = 500_000
 #: Units of a word: the whole, and its first so many bytes where it is longer, as languages compound.
 PREFIXES = (5, 6, 7, 8)
@@ -51,6 +51,9 @@ class Model:
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
+    #: A table of more than ``TOKENS`` rows (token, odds, sure, part) and its number of parts; ``tokens`` is empty then.
+    large: DataFrame | None = None
+    parts: int = 0
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -126,24 +129,79 @@ def units(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     return out, doc
 
 
-def _odds(buf: np.ndarray, offs: np.ndarray, model: Model) -> list[np.ndarray]:
-    """The score of each word of each text: that of its surest unit."""
+def _odds(buf: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The score of each word, that of its surest unit (of equally sure ones the higher), how sure it is (0: no unit is
+    in the table), and where each text's words begin."""
     found, doc = units(buf, offs)
     x, sure = np.full(len(doc), model.unseen), np.zeros(len(doc))
     for h in found if len(model.tokens) else ():
         at = np.minimum(np.searchsorted(model.tokens, h), len(model.tokens) - 1)
-        better = (model.tokens[at] == h) & (model.sure[at] > sure)
-        x, sure = np.where(better, model.odds[at], x), np.where(better, model.sure[at], sure)
-    ends = np.searchsorted(doc, np.arange(len(offs)))
-    return [x[ends[i] : ends[i + 1]] for i in range(len(offs) - 1)]
+        x, sure = _surer(x, sure, model.odds[at], np.where(model.tokens[at] == h, model.sure[at], 0.0))
+    return x, sure, np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _features(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _surer(x: np.ndarray, sure: np.ndarray, other: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    better = (by > sure) | ((by == sure) & (by > 0) & (other > x))
+    return np.where(better, other, x), np.where(better, by, sure)
+
+
+def _words(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first, last + 1, word scores of each text) of a batch's rows: by the table, or as ``_placed`` has found them."""
+    if "x" in batch.schema.names:
+        x, offs = batch.column("x").flatten().to_numpy(), batch.column("x").offsets.to_numpy()
+        offs = offs - offs[0] if len(offs) else offs
+        yield 0, batch.num_rows, [x[offs[i] : offs[i + 1]] for i in range(batch.num_rows)]
+        return
+    buf, offs = flat(batch.column("text"))
+    for lo, hi, b, o in slices(buf, offs):
+        x, _, ends = _odds(b, o, model)
+        yield lo, hi, [x[ends[i] : ends[i + 1]] for i in range(len(o) - 1)]
+
+
+def _update(batches: Iterable[pa.RecordBatch], part: Model) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, x, sure) with the words' scores by one part of the table more; null x: no part yet."""
+    doubles = pa.list_(pa.float64())
     for batch in batches:
-        ids, (buf, offs) = batch.column("doc_id"), flat(batch.column("text"))
+        buf, offs = flat(batch.column("text"))
+        old = [batch.column(c) for c in ("x", "sure")]
         for lo, hi, b, o in slices(buf, offs):
+            x, sure, ends = _odds(b, o, part)
+            if old[0].null_count == 0:
+                x, sure = _surer(*(c.slice(lo, hi - lo).flatten().to_numpy() for c in old), x, sure)
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)).cast(doubles) for v in (x, sure)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo), *lists], ["doc_id", "text", "x", "sure"])
+
+
+def _placed(docs: DataFrame, model: Model) -> tuple[DataFrame, Model]:
+    """``docs`` (doc_id, text) ready for ``_words``, and the model without its large table. Parts of that go over the texts
+    one after the other, each on what the former wrote, so a task holds one part only and no unit is left out."""
+    if model.large is None:
+        return docs, model
+    bare = replace(model, large=None)
+    rows = docs.select("doc_id", "text", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("array<double>").alias("sure"))
+    scratch = Scratch(docs.sparkSession, "toxic-words")
+    for i in range(model.parts):
+        part = replace(bare, **_arrays(model.large.where(F.col("part") == i)))
+        rows = scratch.put(str(i), rows.mapInArrow(lambda it, part=part: _update(it, part), "doc_id long, text string, x array<double>, sure array<double>"))
+        if i:
+            scratch.drop(str(i - 1))
+    return rows.select("doc_id", "x"), bare
+
+
+def _arrays(rows: DataFrame) -> dict[str, np.ndarray]:
+    """A table or a part of it, by token; some ``TOKENS`` rows."""
+    found = rows.select("token", "odds", "sure").toPandas()
+    tokens = found.token.to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return {"tokens": tokens[order], "odds": found.odds.to_numpy(np.float64)[order], "sure": found.sure.to_numpy(np.float64)[order]}
+
+
+def _features(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for lo, hi, texts in _words(batch, model):
             rows, spans = [], []
-            for x in _odds(b, o, model):
+            for x in texts:
                 f, strong = evidence(x, model.lam, model.k)
                 rows.append(f)
                 spans.append([{"first": s, "stop": e, "score": v} for s, e, v in strong])
@@ -176,9 +234,8 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scores(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """How many words have each score."""
     for batch in batches:
-        buf, offs = flat(batch.column("text"))
-        for _, _, b, o in slices(buf, offs):
-            x, n = np.unique(np.concatenate([np.zeros(0), *_odds(b, o, model)]), return_counts=True)
+        for _, _, texts in _words(batch, model):
+            x, n = np.unique(np.concatenate([np.zeros(0), *texts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n.astype(np.int64))], ["x", "n"])
 
 
@@ -206,40 +263,43 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    known = stash(known, "labels")
+    blank, steps = (np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES)), Scratch(docs.sparkSession, "toxic")
+    known = steps.put("labels", known)
     pick = F.broadcast(known)  # ``most`` rows of two numbers at most
-    train = stash(texts_of(docs.where("doc_id is not null")).join(pick, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).alias("counted")), "labelled")
+    train = steps.put("train", texts_of(docs.where("doc_id is not null")).join(pick, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).alias("counted")))
 
-    def table(rows: DataFrame) -> tuple:
+    def table(rows: DataFrame, tag: str) -> Model:
         counts = rows.select("text", "label").mapInArrow(_counts, "token long, c0 long, c1 long").groupBy("token").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        counts = stash(counts, "tokens")
+        counts = steps.put(tag, counts)
         n0, n1 = (int(v or 0) for v in counts.agg(F.sum("c0"), F.sum("c1")).first())
+        none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), UNSEEN, 1.0, 0.1, *blank)
         if not n0 or not n1:
-            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), UNSEEN, 1.0, 0.1
+            return none
         prior = 0.5 + F.lit(PRIOR) * (F.col("c0") + F.col("c1")) / (n0 + n1)
         odds = F.log((F.col("c1") + prior) / (n1 + PRIOR)) - F.log((F.col("c0") + prior) / (n0 + PRIOR))
         sure = odds / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))
-        # a token that is rarer than its doubt tells nothing: its odds shrink to a small loss
-        rows = counts.withColumn("odds", odds).withColumn("sure", F.abs(sure)).where(F.col("sure") > SURE).orderBy(F.desc("sure"), "token").limit(TOKENS).toPandas()
-        # the odds shrink by their own doubt; all other units are one small loss
-        value, sure = rows.odds.to_numpy(np.float64), rows.sure.to_numpy(np.float64)
-        value = value * (1 - SURE**2 / np.maximum(sure**2, SURE**2)) + UNSEEN
-        tokens = rows.token.to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(tokens)
-        return tokens[order], value[order], sure[order], UNSEEN, 1.0, 0.1
-
-    blank = (np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
-    draft = Model(*table(train.where("counted")), *blank)
-    shares = train.where("counted and label = 0").select("text").mapInArrow(lambda it: _scores(it, draft), "x double, n long").groupBy("x").agg(F.sum("n").alias("n")).toPandas()
+        # a token that is rarer than its doubt tells nothing; the odds shrink by their own doubt, and all other units are
+        # one small loss
+        rows = counts.withColumn("odds", odds).withColumn("sure", F.abs(sure)).where(F.col("sure") > SURE).withColumn("odds", F.col("odds") * (1 - F.lit(SURE**2) / (F.col("sure") * F.col("sure"))) + UNSEEN)
+        n = rows.count()
+        if n <= TOKENS:
+            return replace(none, **_arrays(rows))
+        parts = -(-n // TOKENS)
+        return replace(none, large=steps.put(tag + "-parts", rows.select("token", "odds", "sure", F.pmod(F.xxhash64("token"), F.lit(parts)).alias("part"))), parts=parts)
+
+    draft = table(train.where("counted"), "tokens")
+    clean, bare = _placed(train.where("counted and label = 0").select("doc_id", "text"), draft)
+    shares = clean.mapInArrow(lambda it: _scores(it, bare), "x double, n long").groupBy("x").agg(F.sum("n").alias("n")).toPandas()
     if len(shares):  # as many rows as the table has values at most
         draft = replace(draft, **dict(zip(("lam", "k"), law(shares.x.to_numpy(), shares.n.to_numpy() / shares.n.sum()), strict=True)))
-    rest = train.where("not counted").select("doc_id", "text").mapInArrow(lambda it: _features(it, draft), SCORED).select("doc_id", "features").join(pick, F.col("doc_id") == F.col("id"))
+    others, bare = _placed(train.where("not counted").select("doc_id", "text"), draft)
+    rest = others.mapInArrow(lambda it: _features(it, bare), SCORED).select("doc_id", "features").join(pick, F.col("doc_id") == F.col("id"))
     seen = rest.select("features", "label").toPandas()  # FEATURES numbers for each of at most ``most`` rows
     if not len(seen):
-        return Model(*table(train), np.array([0.0] * FEATURES + [-10.0]), *blank[1:])
+        return replace(table(train, "all-tokens"), weights=np.array([0.0] * FEATURES + [-10.0]))
     x, y = np.array(seen.features.tolist()), seen.label.to_numpy().astype(float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Model(draft.tokens, draft.odds, draft.sure, draft.unseen, draft.lam, draft.k, _logistic((x - mean) / scale, y), mean, scale)
+    return replace(draft, weights=_logistic((x - mean) / scale, y), mean=mean, scale=scale)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,7 +309,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     significance in a text of that length, and a logistic of the best and of all significant ones the score.
     Null, empty or wordless text: the score of no evidence, no passages. Null doc_id: scored. Repeated rows: each
     scored. Empty table: no rows. Very long text: whole."""
-    return texts_of(docs).mapInArrow(lambda it: _features(it, model), SCORED)
+    rows, bare = _placed(texts_of(docs), model)
+    return rows.mapInArrow(lambda it: _features(it, bare), SCORED)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0):
@@ -257,5 +318,9 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0):
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of all texts, by a model of the labelled rows that aren't held out.
+
+    Nulls, repeated rows, empty and long texts, empty tables: as in ``fit`` and ``score``; a null doc_id has a null
+    held_out."""
     model = fit(docs, labels.where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
