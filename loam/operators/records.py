@@ -105,7 +105,8 @@ def diverse(rows: DataFrame, group: str, key: str, groups: int, total: int) -> D
     once = rows.groupBy(key).agg(F.min(group).alias(group))
     chosen = once.select(group).distinct().orderBy(stable_hash(F.col(group)), group).limit(groups)
     turn = F.row_number().over(Window.partitionBy(group).orderBy(stable_hash(F.col(key)), key))
-    return once.join(F.broadcast(chosen), group, "left_semi").withColumn("turn", turn).orderBy("turn", stable_hash(F.col(group)), group).limit(total)
+    # a turn beyond ``total`` is never taken, so ranks are cut before the shuffle and a hot group isn't sorted whole
+    return once.join(F.broadcast(chosen), group, "left_semi").withColumn("turn", turn).where(F.col("turn") <= total).orderBy("turn", stable_hash(F.col(group)), group).limit(total)
 
 
 def spread(rows: DataFrame, points: int, *order: str) -> DataFrame:

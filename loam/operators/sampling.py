@@ -91,14 +91,22 @@ def strategy_views(rows: DataFrame, seed: int, ratio: float) -> DataFrame:
 def file_listing(files: DataFrame, group: str, seed: int, most: int = 40, share: float = 0.3) -> DataFrame:
     """(group, path, role, confidence) of a listing of (group, path, dir, patch): the files of the patch, others in hash
     order up to ``most``, and of these as SUPPORT up to ``share`` of all, those in a directory of the patch first. Groups
-    with fewer than four files or no patch have none."""
-    per = Window.partitionBy(group)
-    g = files.withColumns({"pool": F.count("*").over(per), "np": F.count_if("patch").over(per), "samedir": F.max(F.col("patch").cast("int")).over(Window.partitionBy(group, "dir")), "r": F.row_number().over(Window.partitionBy(group, "patch").orderBy(stable_hash(F.lit(seed), F.col(group), F.col("path")), "path"))})
-    s = g.where((F.col("pool") >= 4) & (F.col("np") > 0) & (F.col("patch") | (F.col("r") <= most - F.col("np")))).withColumn("m", F.count("*").over(per))
-    want = F.greatest(F.col("np"), F.floor(share * F.col("m") + 0.999 + 1e-9)) - F.col("np")
-    t = s.withColumn("support", F.row_number().over(Window.partitionBy(group, "patch").orderBy(F.desc("samedir"), F.desc("path"))) <= want)
-    role = F.when(F.col("patch"), "CORE").when(F.col("support"), "SUPPORT").otherwise("DROP")
-    return t.select(group, "path", role.alias("role"), F.when(F.col("patch"), 1.0).when(F.col("support"), 0.7).otherwise(0.85).alias("confidence"))
+    with fewer than four files or no patch have none; a null ``patch`` is none, a null directory is one.
+
+    Counts are added up before the shuffle and others ranked up to a fixed place, which Spark cuts before the shuffle too:
+    no task sees a whole group."""
+    rows = files.withColumn("patch", F.coalesce("patch", F.lit(False)))
+    counts = rows.groupBy(group).agg(F.count("*").alias("pool"), F.count_if("patch").alias("np")).where("pool >= 4 and np > 0")
+    near = rows.where("patch").select(F.col(group).alias("__g"), F.col("dir").alias("__d"), F.lit(1).alias("samedir")).distinct()
+    hashed = Window.partitionBy(group).orderBy(stable_hash(F.lit(seed), F.col(group), F.col("path")), "path")
+    some = rows.where("not patch").withColumn("r", F.row_number().over(hashed)).where(F.col("r") <= most).join(counts, group).where(F.col("r") <= most - F.col("np"))
+    some = some.join(near, F.col(group).eqNullSafe(F.col("__g")) & F.col("dir").eqNullSafe(F.col("__d")), "left")
+    m = F.col("np") + F.least(F.col("pool") - F.col("np"), F.greatest(most - F.col("np"), F.lit(0)))
+    want = F.greatest(F.col("np"), F.floor(share * m + 0.999 + 1e-9)) - F.col("np")
+    support = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.coalesce("samedir", F.lit(0))), F.desc("path"))) <= want
+    others = some.withColumn("support", support).select(group, "path", F.when(F.col("support"), "SUPPORT").otherwise("DROP").alias("role"), F.when(F.col("support"), 0.7).otherwise(0.85).alias("confidence"))
+    core = rows.where("patch").join(counts.select(group), group, "left_semi").select(group, "path", F.lit("CORE").alias("role"), F.lit(1.0).alias("confidence"))
+    return core.unionByName(others)
 
 
 def select_views(lines: DataFrame, keys: list[str], at: str, keep: str, order: list[Column], ratio: float) -> DataFrame:
