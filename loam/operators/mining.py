@@ -48,13 +48,14 @@ def mined(anchors: DataFrame, blocks: DataFrame, related: DataFrame, keys: list[
     bare = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     a = anchors.select(*keys, "anchor", F.struct("name", bare(F.col("words")).alias("words"), bare(F.col("issue")).alias("issue"), "class", "file").alias("a"))
     b = blocks.select(*keys, "block", F.struct("name", bare(F.col("words")).alias("words"), "class", "file").alias("b"))
-    pairs = relations.unrelated(a.join(b, keys).where("anchor <> block"), related, anchors.select("anchor").distinct())
-    scored = pairs.withColumns({
+    scored = a.join(b, keys).where("anchor <> block").withColumns({
         "names": F.coalesce(T.name_similarity(F.col("a.name"), F.col("b.name")), F.lit(0.0)), "lexical": T.jaccard(F.col("a.words"), F.col("b.words")), "issue": T.jaccard(F.col("a.issue"), F.col("b.words")),
         "same_class": F.coalesce((F.col("a.class") == F.col("b.class")) & (F.col("a.class") != ""), F.lit(False)), "same_file": F.coalesce(F.col("a.file") == F.col("b.file"), F.lit(False))})
     scored = scored.select("anchor", "block", "same_file", "same_class", relations.negative_type(F.col("same_class"), F.col("names"), F.col("lexical"), F.col("issue"), F.col("same_file")).alias("negative_type"), F.round(F.greatest("names", "lexical", "issue"), 4).alias("similarity"))
     order = Window.partitionBy("anchor").orderBy(F.desc("same_file"), F.desc("same_class"), F.desc("similarity"), "block")
-    return scored.where("negative_type is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # scores alone, not words, are shuffled to the related pairs
+    free = relations.unrelated(scored.where("negative_type is not null"), related, anchors.select("anchor").distinct())
+    return free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def relation_loss(rows: DataFrame, groups: list[str], logits: str, label: str, weight: str) -> DataFrame:
