@@ -90,6 +90,12 @@ array_to_string(list_transform(r, lambda t, i: (f + i - 1) || ':' || t), ',') ma
 def built_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of each document as a task: its units are anchors, with two negatives of the same file and one of another,
     and the easy variant; the first four that are accepted, as whole rows."""
+    rows = built_rows(spark, sf_dir)
+    marks = F.array_join(F.zip_with("line_numbers", "line_roles", lambda n, r: F.concat_ws(":", n, r)), ",")
+    return rows.select(F.col("task").alias("doc_id"), "place", "sample_id", "hard_negative_type", F.sha2("code", 256).alias("code"), marks.alias("marks"), F.array_join(F.col("core_line_numbers").cast("array<string>"), ",").alias("core"), F.col("estimated_tokens").alias("tokens"))
+
+
+def built_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, units = _units(spark, sf_dir)
     tasks = files.select(F.col("doc_id").alias("task"), F.get("lines", F.lit(0)).alias("query"), F.transform(F.filter("lines", lambda x: F.length(x) % 40 == 39), T.fragment_hash).alias("forbidden"))
     at = units.select(F.col("doc_id").alias("task"), F.col("unit").alias("anchor"), F.col("doc_id").alias("file"), "u_start", "u_stop")
@@ -105,9 +111,7 @@ def built_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = files.select(F.col("doc_id").alias("file"), "lines", "roles")
     budget = {"lines": 24, "chars": 1_500, "tokens": 350, "core": 2}
     chosen = building.accepted(found, texts, tasks, 4, budget)
-    rows = building.sample_rows(chosen, texts, tasks, 42)
-    marks = F.array_join(F.zip_with("line_numbers", "line_roles", lambda n, r: F.concat_ws(":", n, r)), ",")
-    return rows.select(F.col("task").alias("doc_id"), "place", "sample_id", "hard_negative_type", F.sha2("code", 256).alias("code"), marks.alias("marks"), F.array_join(F.col("core_line_numbers").cast("array<string>"), ",").alias("core"), F.col("estimated_tokens").alias("tokens"))
+    return building.sample_rows(chosen, texts, tasks, 42)
 
 
 REPOS = """R AS (SELECT doc_id, 'r' || (doc_id // 10) AS name, md5(text) h FROM documents WHERE text IS NOT NULL),
