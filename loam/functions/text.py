@@ -88,10 +88,14 @@ def hash64(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def name_words(name: Column) -> Column:
+    """Distinct words of a name, split at underscores and what is no word character."""
+    return F.array_distinct(F.split(F.lower(name), r"[_\W]+", -1))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the words of two names, split at underscores and what is no word character."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[_\W]+", -1))
-    return jaccard(words(a), words(b))
+    """Jaccard of the words of two names; where many pairs are compared, make :func:`name_words` once a name."""
+    return jaccard(name_words(a), name_words(b))
 
 
 def repo_of(value: Column) -> Column:

@@ -58,6 +58,28 @@ def mined(anchors: DataFrame, blocks: DataFrame, related: DataFrame, keys: list[
     return free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def mined_by_profile(anchors: DataFrame, blocks: DataFrame, keys: list[str], profile: list[str], scores: dict[str, Column], related: DataFrame, most: int) -> DataFrame:
+    """(anchor, block, negative_type, similarity, rank): the ``most`` first hard negatives of each anchor, as in :func:`mined`,
+    for blocks that a few columns describe.
+
+    Blocks (keys, block, profile) of one profile in one repository tie but for their ids, so anchors (keys, anchor, ..) meet
+    profiles, not blocks: ``scores`` gives same_file, same_class, similarity and negative_type (null: none) of such a pair.
+    An anchor needs no profile behind those that already hold ``most`` blocks, its related ones (``related``: source,
+    target) and itself, nor more blocks than that of one. Pairs are anchors times profiles of a repository, however many
+    blocks it has. Null profiles are equal; null keys meet nothing."""
+    ends = related.select(F.col("source").alias("anchor"), F.col("target").alias("block")).unionByName(related.select(F.col("target").alias("anchor"), F.col("source").alias("block"))).join(anchors.select("anchor"), "anchor", "left_semi").distinct()
+    need = most + 1 + (ends.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0)
+    first = F.row_number().over(Window.partitionBy(*keys, *profile).orderBy("block"))
+    kinds = blocks.withColumn("at", first).where(F.col("at") <= need).groupBy(*keys, *profile).agg(F.collect_list("block").alias("ids"))
+    pairs = anchors.join(kinds, keys).withColumns(scores).where("negative_type is not null").select("anchor", "ids", *[c for c in scores])
+    score = [F.desc("same_file"), F.desc("same_class"), F.desc("similarity")]
+    n = F.sum(F.size("ids"))
+    ahead = n.over(Window.partitionBy("anchor").orderBy(*score).rangeBetween(Window.unboundedPreceding, 0)) - n.over(Window.partitionBy("anchor", "same_file", "same_class", "similarity"))
+    near = pairs.withColumn("ahead", ahead).where(F.col("ahead") < need).select("anchor", *[c for c in scores], F.explode("ids").alias("block")).where("anchor <> block")
+    free = near.join(ends, ["anchor", "block"], "left_anti")
+    return free.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(*score, "block"))).where(F.col("rank") <= most).select("anchor", "block", "negative_type", "similarity", "rank")
+
+
 def relation_loss(rows: DataFrame, groups: list[str], logits: str, label: str, weight: str) -> DataFrame:
     """(groups, n, loss): the mean cross entropy of arrays of logits and the label's place (from 0), by weights, which
     count as 0 below it. Rows without logits or a label: left out."""

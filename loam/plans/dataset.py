@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import arrays as A
 from loam.functions import text as T
-from loam.operators import checks, records, relations, sampling
+from loam.operators import checks, mining, records, relations, sampling
 from loam.plans.catalog import LINES, query, read, sql_lines
 
 #: Documents as samples: the lines, a role by a line's length, and a keep mark.
@@ -197,13 +197,11 @@ T AS (SELECT *, CASE WHEN same_class THEN 'same_class_other_method' WHEN nm >= 0
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of an anchor's brand that no edge joins to it, by why they are near; the 20 first of each anchor."""
     part = read(spark, sf_dir, "part")
-    a = part.where("p_size = 7").select("p_brand", F.col("p_partkey").alias("anchor"), F.col("p_name").alias("an"), F.col("p_type").alias("at"))
-    c = a.join(part.select("p_brand", F.col("p_partkey").alias("block"), F.col("p_name").alias("bn"), F.col("p_type").alias("bt")), "p_brand").where("anchor <> block")
-    u = relations.unrelated(c, _tree_edges(spark, sf_dir), a.select("anchor"))
-    names, issue, same = T.name_similarity(F.col("an"), F.col("bn")), T.name_similarity(F.col("at"), F.col("bn")), F.col("at") == F.col("bt")
-    rows = u.withColumns({"same_class": same, "same_file": F.col("block") % 2 == 0, "similarity": F.round(F.greatest(names, issue), 4), "negative_type": relations.negative_type(same, names, names, issue, F.col("block") % 2 == 0)}).where("negative_type is not null")
-    w = Window.partitionBy("anchor").orderBy(F.desc("same_file"), F.desc("same_class"), F.desc("similarity"), "block")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("anchor", "block", "negative_type", "similarity", "rank")
+    a = part.where("p_size = 7").select("p_brand", F.col("p_partkey").alias("anchor"), T.name_words(F.col("p_name")).alias("an"), T.name_words(F.col("p_type")).alias("aw"), F.col("p_type").alias("at"))
+    b = part.select("p_brand", F.col("p_partkey").alias("block"), T.name_words(F.col("p_name")).alias("bn"), F.col("p_type").alias("bt"), (F.col("p_partkey") % 2 == 0).alias("same_file"))
+    names, issue, same = T.jaccard(F.col("an"), F.col("bn")), T.jaccard(F.col("aw"), F.col("bn")), F.col("at") == F.col("bt")
+    scores = {"same_file": F.col("same_file"), "same_class": same, "similarity": F.round(F.greatest(names, issue), 4), "negative_type": relations.negative_type(same, names, names, issue, F.col("same_file"))}
+    return mining.mined_by_profile(a, b, ["p_brand"], ["bn", "bt", "same_file"], scores, _tree_edges(spark, sf_dir), 20)
 
 
 @query(f"""WITH {EDGES}, C AS (SELECT p_brand AS task, p_partkey AS block FROM part WHERE p_size >= 48), M AS (SELECT DISTINCT p_brand AS task, p_brand || '/' || p_size AS sample_id FROM part WHERE p_size <= 3),

@@ -10,6 +10,7 @@ from loam.operators import patches, processing, records, sampling
 from loam.plans.building import BUILT, DIFFS, built_rows, diffs
 from loam.plans.catalog import query, read
 from loam.plans.dataset import SAMPLES, samples
+from loam.storage import cut
 
 # documents as files of their source, those of a line or none left out; each language of a source is a task that touches its files
 UNRELATED = f"""{SAMPLES}, F AS (SELECT source AS repo, lang || '/' || doc_id AS path, ls, lang FROM S WHERE len(ls) % 4 <> 1), K AS (SELECT DISTINCT source AS repo, lang FROM S), X AS (SELECT repo, K.lang, min(path) AS path FROM K JOIN F USING (repo) WHERE F.lang <> K.lang GROUP BY ALL),
@@ -52,6 +53,7 @@ def _processed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     files = _files(spark, sf_dir)
     chosen = processing.first_unrelated(tasks.select("task", "repo"), tasks.select("task", "path"), files.select("repo", "path"))
     negatives = processing.negative_rows(chosen, files, 20, 42).select("task", "sample_id")
+    judged, negatives = cut(judged), cut(negatives)  # ids and marks, which are read several times
     return processing.outcomes(tasks.select("task", "query", "n_core", "mapped"), judged, negatives, 0.25, 42), judged, negatives
 
 

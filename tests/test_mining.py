@@ -91,3 +91,32 @@ def test_listings_and_turns_match_whole_ranks(spark):
     order = sorted(((turns[g].index(k) + 1, mark(g), g, k) for g, k in once))[:20]
     got = records.diverse(spark.createDataFrame(once + once[:5], "g string, k string"), "g", "k", 3, 20)
     assert [(r.turn, r.g, r.k) for r in got.collect()] == [(t, g, k) for t, _, g, k in order]
+
+
+def test_profiles_give_the_negatives_that_all_pairs_give(spark):
+    rng = random.Random(11)
+    blocks = [(rng.choice("rs"), k, rng.choice(["a b", "b c", "c", None]), rng.choice("xy"), rng.random() < 0.5) for k in range(300)]
+    anchors = [(r, k, n, c) for r, k, n, c, _ in blocks if k % 17 == 0] + [("none", 999, "a b", "x"), (None, 998, "a", "x")]
+    edges = [(k, rng.randrange(300)) for _, k, *_ in anchors for _ in range(rng.randrange(6))] + [(rng.randrange(300), k) for _, k, *_ in anchors]
+    related = {p for a, b in edges for p in ((a, b), (b, a))}
+    want = set()
+    for r, a, an, ac in anchors:
+        rows = []
+        for br, b, bn, bc, same_file in blocks:
+            if br != r or a == b or (a, b) in related:
+                continue
+            x, y = set((an or "").split()), set((bn or "").split())
+            names = round(len(x & y) / len(x | y), 4) if an and bn else 0.0
+            kind = "class" if ac == bc else "name" if names >= 0.3 else "file" if same_file else None
+            if kind:
+                rows.append((not same_file, ac != bc, -names, b, kind))
+        want |= {(a, b, kind, -n, at + 1) for at, (_, _, n, b, kind) in enumerate(sorted(rows)[:7])}
+    x, y = F.split("an", " "), F.split("bn", " ")
+    names = F.round(F.coalesce(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), F.lit(0.0)), 4)
+    names = F.when(F.col("an").isNull() | F.col("bn").isNull(), 0.0).otherwise(names)
+    kind = F.when(F.col("ac") == F.col("bc"), "class").when(names >= 0.3, "name").when(F.col("same_file"), "file")
+    got = mining.mined_by_profile(
+        spark.createDataFrame(anchors, "repo string, anchor int, an string, ac string"), spark.createDataFrame(blocks, "repo string, block int, bn string, bc string, same_file boolean"), ["repo"], ["bn", "bc", "same_file"],
+        {"same_file": F.col("same_file"), "same_class": F.col("ac") == F.col("bc"), "similarity": names, "negative_type": kind}, spark.createDataFrame(edges, "source int, target int"), 7)
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
