@@ -166,7 +166,7 @@ def _code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbol = lambda size: F.concat_ws("/", "p_type", size.cast("string"))
     calls = relations.unique_name_edges(part.select(F.col("p_partkey").alias("source"), symbol(F.col("p_size") % 50 + 1).alias("name")), part.select(symbol(F.col("p_size")).alias("name"), F.col("p_partkey").alias("target")))
     up = part.where("p_partkey >= 3 and p_size % 7 = 0").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 3).alias("target"))
-    return relations.edges({"IMPORT": relations.shared_names(names.where("p_size > 25"), names.where("p_size <= 3")), "CALL": calls, "CALLED_BY": calls.select(F.col("target").alias("source"), F.col("source").alias("target")), "DECORATOR": up})
+    return relations.edges({"IMPORT": relations.shared_names(names.where("p_size > 25"), names.where("p_size <= 3")), "CALL": calls, "CALLED_BY": calls.select(F.col("target").alias("source"), F.col("source").alias("target")), "DECORATOR": up}, once=("IMPORT",))
 
 
 EDGES = "E AS (SELECT p_partkey AS source, p_partkey // 3 AS target, 'DECORATOR' relation, 0.78::DOUBLE confidence FROM part WHERE p_partkey >= 3 UNION ALL SELECT p_partkey, p_partkey // 2, 'CALL', 0.72 FROM part WHERE p_partkey >= 2)"

@@ -120,3 +120,18 @@ def test_profiles_give_the_negatives_that_all_pairs_give(spark):
         {"same_file": F.col("same_file"), "same_class": F.col("ac") == F.col("bc"), "similarity": names, "negative_type": kind}, spark.createDataFrame(edges, "source int, target int"), 7)
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_shared_names_lists_each_pair_once_and_shuffles_none(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(relations, "TOGETHER", 4)
+    draw = lambda n: [(rng.choice(["f", "g", None]), rng.randrange(40), rng.choice([None, [], [""], ["a", "a"], ["a", "b"], ["b", None, "c"], ["", "c"]])) for _ in range(n)]
+    uses, defined = draw(150), draw(60)
+    want = {(b, d) for f, b, names in uses for g, d, more in defined if f and f == g and {x for x in names or [] if x} & set(more or [])}
+    schema = "file string, block int, names array<string>"
+    got = relations.shared_names(spark.createDataFrame(uses, schema), spark.createDataFrame(defined, schema))
+    rows = [tuple(r) for r in relations.edges({"IMPORT": got}, once=("IMPORT",)).select("source", "target").collect()]
+    assert set(rows) == {p for p in want if p[0] != p[1]} and len(rows) == len(set(rows))
+    assert {tuple(r) for r in got.collect()} == want
+    plan = relations.edges({"IMPORT": got}, once=("IMPORT",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("explode(targets")] and "Join" not in plan[: plan.index("explode(targets")]
