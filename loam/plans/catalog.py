@@ -198,10 +198,12 @@ def frontier_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT l_orderkey src, 'supplied' relation, -l_suppkey dst FROM lineitem), f AS (SELECT o_orderkey node FROM orders WHERE o_orderpriority LIKE '1%')
 SELECT DISTINCT dst AS node, relation FROM e WHERE src IN (SELECT node FROM f)""")
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of all orders of the first priority."""
-    edges = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("supplied").alias("relation"), (-F.col("l_suppkey")).alias("dst")).distinct()
-    frontier = read(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("node"))
-    return graph.one_hop(edges, frontier)
+    """Neighbours of all orders of the first priority. A node is its kind and number: an order's key may be that of a
+    supplier, negative or not."""
+    node = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("id"))
+    edges = read(spark, sf_dir, "lineitem").where("l_orderkey is not null").select(node("order", F.col("l_orderkey")).alias("src"), F.lit("supplied").alias("relation"), node("supplier", -F.col("l_suppkey")).alias("dst")).distinct()
+    frontier = read(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(node("order", F.col("o_orderkey")).alias("node"))
+    return graph.one_hop(edges, frontier).select("node.id", "relation").withColumnRenamed("id", "node")
 
 
 @query("""WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) component FROM documents), h AS (SELECT *, CAST('0x' || substr(sha256('split' || chr(0) || component), 1, 8) AS BIGINT) / 4294967295.0 h FROM c)

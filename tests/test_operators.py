@@ -202,3 +202,18 @@ def test_derived_errors_and_loading(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("d",), ("a",)], "sample_id string")
     got = {(r.sample_id, r.n, r.kind, r.error) for r in reports.training_rows(base, more, ids).collect()}
     assert got == {("a", 1, None, None), ("b", 2, None, None), ("b", 3, None, None), ("a1", None, "x", None), ("d", None, None, "missing"), ("b", None, None, "duplicate")}
+
+
+def test_hop_tells_orders_from_suppliers_of_one_number(spark, tmp_path):
+    # order 0 is in the frontier and supplier 0 a neighbour; order -3 is one of the frontier and supplier 3 of another order
+    orders = [(0, "1-URGENT"), (1, "5-LOW"), (-3, "1-URGENT"), (4, "1-URGENT"), (None, "1-URGENT")]
+    items = [(0, 7), (0, 0), (1, 0), (1, 5), (4, 3), (-3, 2), (1, 3), (None, 6), (4, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["one_hop"]).fetchall()
+    got = catalog.QUERIES["one_hop"](spark, str(tmp_path))
+    assert got.dtypes == [("node", "bigint"), ("relation", "string")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 5
