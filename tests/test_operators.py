@@ -217,3 +217,15 @@ def test_hop_tells_orders_from_suppliers_of_one_number(spark, tmp_path):
     got = catalog.QUERIES["one_hop"](spark, str(tmp_path))
     assert got.dtypes == [("node", "bigint"), ("relation", "string")]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 5
+
+
+def test_long_chains_stay_finite(spark):
+    # the sums of exp pass what a double holds at some 709; logs of sums do not
+    ls = [(i % 7 / 7.0, i * 3 % 5 / 5.0) for i in range(3_000)]
+    start, trans, end = dataset.CRF
+    a, b = ls[0][0] + start[0], ls[0][1] + start[1]
+    both = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    for x, y in ls[1:]:
+        a, b = both(a + trans[0][0], b + trans[0][1]) + x, both(a + trans[1][0], b + trans[1][1]) + y
+    got = spark.createDataFrame([(ls,)], "e array<struct<a:double,b:double>>").select(A.crf_normalizer(F.col("e"), *dataset.CRF)).first()[0]
+    assert a > 709 and math.isclose(got, both(a + end[0], b + end[1]), rel_tol=1e-9)
