@@ -26,3 +26,10 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     if not found and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(found or 'file://' + tempfile.mkdtemp(prefix='loam-work-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as Parquet into a new work folder and read again: for a step that several others read."""
+    path = work_dir(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

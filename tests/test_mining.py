@@ -9,6 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from loam.operators import mining, records, relations, sampling
+from loam.plans import mining as mining_plans
 
 
 def test_uses_meet_the_last_definition_before_them(spark):
@@ -135,3 +136,20 @@ def test_shared_names_lists_each_pair_once_and_shuffles_none(spark, monkeypatch)
     assert {tuple(r) for r in got.collect()} == want
     plan = relations.edges({"IMPORT": got}, once=("IMPORT",))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("explode(targets")] and "Join" not in plan[: plan.index("explode(targets")]
+
+
+def test_names_of_few_lists_what_shared_names_lists(spark):
+    rng = random.Random(4)
+    sets = [None, [], [""], ["a", "a"], ["a", "b"], ["b", None, "c"], ["", "c"]]
+    uses = [(rng.choice(["f", "g", None]), i, rng.choice(sets)) for i in range(80)]
+    defined = [(rng.choice(["f", "g", "h", None]), i, rng.choice(sets)) for i in range(6)]
+    schema = "file string, block int, names array<string>"
+    a, b = spark.createDataFrame(uses, schema), spark.createDataFrame(defined, schema)
+    want = {(u, d) for f, u, names in uses for g, d, more in defined if f and f == g and {x for x in names or [] if x} & set(more or [])}
+    got = [tuple(r) for r in relations.names_of_few(a, b).collect()]
+    assert set(got) == want == {tuple(r) for r in relations.shared_names(a, b).collect()} and len(got) == len(want)
+
+
+def test_line_relations_reads_texts_once(spark):
+    plan = mining_plans.line_relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "documents.parquet" not in plan
