@@ -11,7 +11,7 @@ from loam.operators import alignment, building, graph, ordering, patches, record
 from loam.plans.catalog import query, read, sql_lines
 from loam.plans.dataset import SAMPLES, samples
 from loam.sources import indexed
-from loam.storage import work_dir
+from loam.storage import work_dir, written
 
 # documents as diffs: a hunk every 10 lines, marks by the lines' lengths, now and then another file's header
 DIFFS = f"""P AS (SELECT doc_id, '--- a/' || lang || '/' || doc_id || '.txt' || chr(10) || '+++ b/' || lang || '/' || doc_id || '.txt' || chr(10) || array_to_string(list_transform(ls, lambda x, i:
@@ -55,10 +55,10 @@ I AS (SELECT doc_id, k, f, least(b, greatest(a, f - (8 - (l - f + 1)) // 2) + 7)
 W AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id, k ORDER BY min(f)) - 1 w, greatest(a, w2 - 7) w1, w2 FROM I GROUP BY doc_id, k, a, w2 UNION ALL SELECT doc_id, k, 0, a, b FROM U WHERE b - a < 8)"""
 
 
-def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The files, and their units (doc_id, unit, u_start, u_stop)."""
-    files = samples(spark, sf_dir).select("doc_id", "source", F.col("ls").alias("lines"), "roles")
-    n = F.size("lines")
+def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of documents as samples, and their units (doc_id, unit, u_start, u_stop)."""
+    files = rows.select("doc_id", "source", F.col("ls").alias("lines"), "roles")
+    n = F.size("roles")
     units = files.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 12).cast("int"))).alias("unit"))
     return files, units.select("doc_id", "unit", (F.col("unit") * 12 + 1).alias("u_start"), F.least(F.col("unit") * 12 + 12, "n").alias("u_stop"))
 
@@ -71,7 +71,7 @@ def _windows(files: DataFrame, units: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {UNITS} SELECT doc_id, CAST(k AS INTEGER) AS unit, CAST(w AS INTEGER) AS "window", CAST(w1 AS INTEGER) AS first, CAST(w2 AS INTEGER) AS last FROM W""")
 def unit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 8 lines around the core blocks of units of 12."""
-    return _windows(*_units(spark, sf_dir))
+    return _windows(*_units(samples(spark, sf_dir)))
 
 
 BUILT = f"""{UNITS}, D AS (SELECT doc_id, k, a, b FROM U WHERE NOT EXISTS (SELECT 1 FROM R WHERE R.doc_id = U.doc_id AND i BETWEEN a AND b AND r <> 'DROP')),
@@ -90,13 +90,14 @@ array_to_string(list_transform(r, lambda t, i: (f + i - 1) || ':' || t), ',') ma
 def built_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of each document as a task: its units are anchors, with two negatives of the same file and one of another,
     and the easy variant; the first four that are accepted, as whole rows."""
-    rows = built_rows(spark, sf_dir)
+    rows = built_rows(written(samples(spark, sf_dir), "samples"))
     marks = F.array_join(F.zip_with("line_numbers", "line_roles", lambda n, r: F.concat_ws(":", n, r)), ",")
     return rows.select(F.col("task").alias("doc_id"), "place", "sample_id", "hard_negative_type", F.sha2("code", 256).alias("code"), marks.alias("marks"), F.array_join(F.col("core_line_numbers").cast("array<string>"), ",").alias("core"), F.col("estimated_tokens").alias("tokens"))
 
 
-def built_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, units = _units(spark, sf_dir)
+def built_rows(rows: DataFrame) -> DataFrame:
+    """The samples that are built from ``rows``, which are read by many steps: written ones are parsed once."""
+    files, units = _units(rows)
     tasks = files.select(F.col("doc_id").alias("task"), F.get("lines", F.lit(0)).alias("query"), F.transform(F.filter("lines", lambda x: F.length(x) % 40 == 39), T.fragment_hash).alias("forbidden"))
     at = units.select(F.col("doc_id").alias("task"), F.col("unit").alias("anchor"), F.col("doc_id").alias("file"), "u_start", "u_stop")
     windows = _windows(files, units).select(F.col("doc_id").alias("task"), F.col("unit").alias("anchor"), "window", "first", "last").join(at, ["task", "anchor"]).withColumn("whole", (F.col("first") == F.col("u_start")) & (F.col("last") == F.col("u_stop")))

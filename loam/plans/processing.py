@@ -10,22 +10,22 @@ from loam.operators import patches, processing, records, sampling
 from loam.plans.building import BUILT, DIFFS, built_rows, diffs
 from loam.plans.catalog import query, read
 from loam.plans.dataset import SAMPLES, samples
-from loam.storage import cut
+from loam.storage import written
 
 # documents as files of their source, those of a line or none left out; each language of a source is a task that touches its files
 UNRELATED = f"""{SAMPLES}, F AS (SELECT source AS repo, lang || '/' || doc_id AS path, ls, lang FROM S WHERE len(ls) % 4 <> 1), K AS (SELECT DISTINCT source AS repo, lang FROM S), X AS (SELECT repo, K.lang, min(path) AS path FROM K JOIN F USING (repo) WHERE F.lang <> K.lang GROUP BY ALL),
 H AS (SELECT X.*, ls[1:20] h FROM X JOIN F ON F.repo = X.repo AND F.path = X.path), B AS (SELECT *, list_max(list_transform(h, lambda x, i: CASE WHEN trim(x) <> '' THEN i ELSE 0 END)) m FROM H)"""
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).where(F.size("ls") % 4 != 1)
+def _files(rows: DataFrame) -> DataFrame:
+    s = rows.where(F.size("ls") % 4 != 1)
     return s.select(F.col("source").alias("repo"), F.concat_ws("/", "lang", "doc_id").alias("path"), F.col("ls").alias("lines"))
 
 
 @query(f"""WITH {UNRELATED} SELECT 'docneg_' || substr(sha256(repo || ':' || lang || chr(0) || path || chr(0) || '42'), 1, 24) sample_id, repo || ':' || lang task, path, sha256(array_to_string(h[:m], chr(10))) code, CAST(m AS INTEGER) n_lines, greatest(1, (length(array_to_string(h[:m], chr(10))) + 3) // 4) tokens, 0 document_label FROM B WHERE m > 0""")
 def unrelated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document negatives: of each source and language the first file in another language, its first 20 lines."""
-    files = _files(spark, sf_dir)
+    files = _files(samples(spark, sf_dir))
     docs = read(spark, sf_dir, "documents").where("text <> ''")
     task = F.concat_ws(":", "source", "lang").alias("task")
     touched = docs.select(task, F.concat_ws("/", "lang", "doc_id").alias("path"))
@@ -45,15 +45,15 @@ NG.sample_id IS NOT NULL AND CAST('0x' || substr(sha256('[' || TK.doc_id || ',42
 
 def _processed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outcomes of documents as tasks, their samples with whether they leak, and their document negatives."""
-    s = samples(spark, sf_dir)
+    s = written(samples(spark, sf_dir), "samples")
     asked = F.when(F.col("lang") == "es", "").otherwise(F.get("ls", F.lit(0)))
     tasks = s.select(F.col("doc_id").alias("task"), F.col("source").alias("repo"), F.concat_ws("/", "lang", "doc_id").alias("path"), asked.alias("query"), F.size(F.filter("roles", lambda r: r == "CORE")).alias("n_core"), (F.size("ls") % 9 != 4).alias("mapped"), F.filter("ls", lambda x: F.length(x) % 25 == 18).alias("added"))
-    built = built_rows(spark, sf_dir).select("task", "sample_id", "hard_negative_type", "code")
+    built = built_rows(s).select("task", "sample_id", "hard_negative_type", "code")
     judged = built.join(tasks.select("task", F.col("query").alias("issue"), "added"), "task").select("task", "sample_id", "hard_negative_type", processing.leaks(F.col("issue"), T.splitlines(F.col("code")), F.col("added")).alias("leaks"))
-    files = _files(spark, sf_dir)
+    files = _files(s)
     chosen = processing.first_unrelated(tasks.select("task", "repo"), tasks.select("task", "path"), files.select("repo", "path"))
     negatives = processing.negative_rows(chosen, files, 20, 42).select("task", "sample_id")
-    judged, negatives = cut(judged), cut(negatives)  # ids and marks, which are read several times
+    judged, negatives = written(judged, "judged"), written(negatives, "negatives")  # ids and marks, which are read several times
     return processing.outcomes(tasks.select("task", "query", "n_core", "mapped"), judged, negatives, 0.25, 42), judged, negatives
 
 

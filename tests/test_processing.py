@@ -130,3 +130,12 @@ def test_auxiliary_rows_without_a_sample_and_odd_labels(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("b",)], "sample_id string")
     got = processing.auxiliary_findings({"relation": (rel, "relation"), "ranking": (rank, "kind")}, ids, {"relation": ("CALL",), "ranking": ("h",)})
     assert {tuple(r) for r in got.collect()} == {("orphan", "relation", "", 2), ("label", "relation", "ODD", 1), ("label", "relation", "", 1)}
+
+
+def test_tasks_and_samples_parse_the_texts_once(spark):
+    from loam.plans import building
+    from loam.plans import processing as plans
+
+    for query in (building.built_samples, plans.processed_tasks, plans.processed_samples):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(text" not in plan, query.__name__
