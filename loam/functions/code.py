@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The keywords of the language that samples are in.
@@ -38,16 +39,31 @@ def fingerprints(code: Column) -> Column:
     return F.struct(list_hash(found).alias("token_hash"), list_hash(plain).alias("identifier_normalized_hash"))
 
 
+def _numbers(names: pa.Array) -> pa.Array:
+    """For each text the number of each name's first appearance among its names, from 1; null stays null."""
+    out = []
+    for text in names:
+        seen: dict[str, int] = {}
+        out.append(None if not text.is_valid else [None if n is None else seen.setdefault(n, len(seen) + 1) for n in text.as_py()])
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def renamed(found: Column) -> Column:
+    """Tokens with each identifier as ``v`` and the number of its first appearance among the text's identifiers."""
+    numbers = F.arrow_udf(_numbers, "array<int>")(F.transform(found, lambda t: F.when(is_identifier(t), t)))
+    return F.zip_with(found, numbers, lambda t, n: F.coalesce(F.concat(F.lit("v"), n.cast("string")), t))
+
+
 def renamed_hashes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, renamed_hash): the hash of the tokens with each identifier as ``v`` and the number of its first appearance
-    among the text's identifiers, so that texts have it in common if consistent renaming makes them equal. Sorts of a
-    text's tokens and no look-ups: linear but for sorting. A text without tokens or null: the hash of no tokens."""
-    each = rows.select(F.col(id_col).alias("id"), F.posexplode_outer(tokens(F.col(text_col))).alias("at", "token"))
-    each = each.withColumn("name", F.coalesce(is_identifier(F.col("token")), F.lit(False)))
-    of_name = Window.partitionBy("id", "token")
-    each = each.withColumn("new", F.col("name") & (F.col("at") == F.min("at").over(of_name)))
-    each = each.withColumn("number", F.count_if("new").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.withColumn("number", F.min("number").over(of_name))
-    out = F.when(F.col("name"), F.concat(F.lit("v"), F.col("number").cast("string"))).otherwise(F.col("token"))
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", out.alias("t"))))), lambda x: x["t"])
-    return each.groupBy("id").agg(list_hash(listed).alias("renamed_hash"))
+    """(id, renamed_hash): the hash of the tokens as :func:`renamed` gives them, so that texts have it in common if
+    consistent renaming makes them equal. A text's tokens are read once, in its own row: linear, and nothing is shuffled. A
+    text without tokens or null: the hash of no tokens."""
+    found = rows.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("found"))
+    return found.select("id", list_hash(renamed(F.col("found"))).alias("renamed_hash"))
+
+
+def all_hashes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token_hash, identifier_normalized_hash, renamed_hash) from one reading of a text's tokens. Null: as no tokens."""
+    found = rows.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("found"))
+    plain = F.transform("found", lambda t: F.when(is_identifier(t), "IDENT").otherwise(t))
+    return found.select("id", list_hash(F.col("found")).alias("token_hash"), list_hash(plain).alias("identifier_normalized_hash"), list_hash(renamed(F.col("found"))).alias("renamed_hash"))

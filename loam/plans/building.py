@@ -154,8 +154,7 @@ SELECT E.doc_id, {_JSON.format("ts")} token_hash, {_JSON.format("list_transform(
 def code_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of each text's tokens: as they are, without identifiers, and with identifiers by their order."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    prints = docs.select("doc_id", code.fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*")
-    return prints.join(code.renamed_hashes(docs, "doc_id", "text").withColumnRenamed("id", "doc_id"), "doc_id")
+    return code.all_hashes(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 _SQL_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
