@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
+import string
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from loam.llm import minhash, warc
+from loam.llm import language_model, minhash, warc, word_model
 
 
 @pytest.mark.parametrize("num", [75, 80])
@@ -40,3 +45,27 @@ def test_page_ids_with_several_payloads(spark, rows):
     want = sorted((p, len((h or "").encode()), sha(h or ""), "response" if top[h or ""] == p else "revisit", None if top[h or ""] == p else top[h or ""]) for p, h in rows if p is not None)
     pages = spark.createDataFrame([(p, "u", h, 1, "x", 2) for p, h in rows], "page_id long, url string, html string, payload_bytes int, digest string, n int")
     assert sorted(map(tuple, warc.round_trip(pages).collect())) == want
+
+
+def test_scores_from_counts_of_all_texts(spark):
+    """op3's score against plain Python, over several chunks and shards; a word that one learning text alone holds counts."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("Ab ba cc dd EE fü g".split()) for _ in range(rng.randrange(9))) + (f" only{k}" if k % 3 else "") for k in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(400, None), (3, texts[3]), (None, "ba zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    made = [(d, [*(t or "").translate(low).split(), None]) for d, t in rows]
+    learned = [w for d, w in made if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
+    one = Counter(x for w in learned for x in w)
+    two = Counter(p for w in learned for p in zip([0, *w], w))
+    total, once = sum(one.values()), sum(v == 1 for v in one.values())
+    want = defaultdict(list)
+    for d, w in made:
+        p = lambda x: (one[x] or once) / (total + once)
+        want[d].append(sum(math.log10((two[v, x] + 100 * p(x)) / ((len(learned) if v == 0 else one[v]) + 100)) for v, x in zip([0, *w], w)))
+    got = defaultdict(list)
+    for r in language_model.report(docs).collect():
+        got[r.doc_id].append(r.score)
+    assert set(got) == set(want) and all(len(got[d]) == len(want[d]) and max(abs(a - b) for a, b in zip(got[d], want[d])) < 1e-9 for d in want)
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
+    assert (word_model.unpack(word_model.pack(x, True), True) == x).all() and (word_model.unpack(word_model.pack(x[::-1])) == x[::-1]).all()
