@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import relations
+from loam.storage import written
 
 
 def last_definitions(names: DataFrame, symbol: str = "symbol", at: str = "at") -> DataFrame:
@@ -64,20 +65,27 @@ def mined_by_profile(anchors: DataFrame, blocks: DataFrame, keys: list[str], pro
 
     Blocks (keys, block, profile) of one profile in one repository tie but for their ids, so anchors (keys, anchor, ..) meet
     profiles, not blocks: ``scores`` gives same_file, same_class, similarity and negative_type (null: none) of such a pair.
-    An anchor needs no profile behind those that already hold ``most`` blocks, its related ones (``related``: source,
-    target) and itself, nor more blocks than that of one. Pairs are anchors times profiles of a repository, however many
-    blocks it has. Null profiles are equal; null keys meet nothing."""
+    Anchors that agree in all but their ids have the same list but for themselves and their related ones (``related``:
+    source, target), so pairs are of distinct anchors and profiles, scores and counts alone; of a list only as many
+    blocks are kept as the anchor with the most related ones can need, and each anchor then meets these few. Pairs don't
+    grow with anchors or blocks that repeat others. Null profiles are equal; null keys meet nothing."""
     ends = related.select(F.col("source").alias("anchor"), F.col("target").alias("block")).unionByName(related.select(F.col("target").alias("anchor"), F.col("source").alias("block"))).join(anchors.select("anchor"), "anchor", "left_semi").distinct()
     need = most + 1 + (ends.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0)
     first = F.row_number().over(Window.partitionBy(*keys, *profile).orderBy("block"))
-    kinds = blocks.withColumn("at", first).where(F.col("at") <= need).groupBy(*keys, *profile).agg(F.collect_list("block").alias("ids"))
-    pairs = anchors.join(kinds, keys).withColumns(scores).where("negative_type is not null").select("anchor", "ids", *[c for c in scores])
+    few = blocks.withColumn("at", first).where(F.col("at") <= need).groupBy(*keys, *profile).agg(F.collect_list("block").alias("ids"))
+    kinds = written(few.withColumn("kind", F.array_min("ids")), "kinds")
+    told = [c for c in anchors.columns if c not in (*keys, "anchor")]
+    one = written(anchors.groupBy(*keys, *told).agg(F.min("anchor").alias("who")), "anchors")
+    pairs = one.join(kinds.select(*keys, *profile, "kind", F.size("ids").alias("n")), keys).withColumns(scores).where("negative_type is not null").select("who", "kind", "n", *scores)
     score = [F.desc("same_file"), F.desc("same_class"), F.desc("similarity")]
-    n = F.sum(F.size("ids"))
-    ahead = n.over(Window.partitionBy("anchor").orderBy(*score).rangeBetween(Window.unboundedPreceding, 0)) - n.over(Window.partitionBy("anchor", "same_file", "same_class", "similarity"))
-    near = pairs.withColumn("ahead", ahead).where(F.col("ahead") < need).select("anchor", *[c for c in scores], F.explode("ids").alias("block")).where("anchor <> block")
-    free = near.join(ends, ["anchor", "block"], "left_anti")
-    return free.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(*score, "block"))).where(F.col("rank") <= most).select("anchor", "block", "negative_type", "similarity", "rank")
+    n = F.sum("n")
+    ahead = n.over(Window.partitionBy("who").orderBy(*score).rangeBetween(Window.unboundedPreceding, 0)) - n.over(Window.partitionBy("who", "same_file", "same_class", "similarity"))
+    near = pairs.withColumn("ahead", ahead).where(F.col("ahead") < need).join(kinds.select("kind", "ids"), "kind").select("who", *scores, F.explode("ids").alias("block"))
+    order = [*score, "block"]
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("who").orderBy(*order))).where(F.col("at") <= need).drop("at")
+    same = [anchors[c] == one[c] for c in keys] + [anchors[c].eqNullSafe(one[c]) for c in told]
+    free = anchors.join(one, same).select("anchor", "who").join(near, "who").where("anchor <> block").join(ends, ["anchor", "block"], "left_anti")
+    return free.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("rank") <= most).select("anchor", "block", "negative_type", "similarity", "rank")
 
 
 def relation_loss(rows: DataFrame, groups: list[str], logits: str, label: str, weight: str) -> DataFrame:

@@ -153,3 +153,20 @@ def test_names_of_few_lists_what_shared_names_lists(spark):
 def test_line_relations_reads_texts_once(spark):
     plan = mining_plans.line_relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan and "documents.parquet" not in plan
+
+
+def test_anchors_that_repeat_others_meet_no_profile_again(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(a, b):
+        met.add(1)
+        return a == b
+
+    anchors = [("r", k, "ab"[k % 2]) for k in range(200)]
+    blocks = [("r", k, "abc"[k % 3]) for k in range(200)]
+    scores = {"same_file": F.lit(True), "same_class": same("ac", "bc"), "similarity": F.lit(1.0), "negative_type": F.lit("file")}
+    got = mining.mined_by_profile(spark.createDataFrame(anchors, "repo string, anchor int, ac string"), spark.createDataFrame(blocks, "repo string, block int, bc string"), ["repo"], ["bc"], scores, spark.createDataFrame([(0, 6), (4, 4)], "source int, target int"), 3).collect()
+    want = {(a, b, at + 1) for _, a, ac in anchors for at, (_, b) in enumerate(sorted((bc != ac, b) for _, b, bc in blocks if a != b and {a, b} != {0, 6})[:3])}
+    assert {(r.anchor, r.block, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert met.value <= 60  # two distinct anchors and three profiles, some evaluations each
