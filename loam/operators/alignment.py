@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: A line with its end, and pieces that cover a text as subword tokenizers cut it before they merge.
 _END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
@@ -49,17 +54,45 @@ def token_lines(rows: DataFrame, id_col: str, text_col: str, pattern: str = PIEC
     return merged.where("kind = 1").select("id", "token", F.col("at").alias("start"), F.least("line", F.col("n") - 1).cast("int").alias("line"))
 
 
+def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of numbers, as what comes before each number in its list, in sum, at most the column before."""
+    for batch in batches:
+        counts, most = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2).to_numpy()
+        offs = counts.offsets.to_numpy().astype(np.int64)
+        n = np.concatenate([[0], np.cumsum(counts.values.to_numpy(zero_copy_only=False)[: offs[-1]], dtype=np.int64)])
+        sizes = np.diff(offs)
+        before = n[np.arange(offs[0], offs[-1])] - np.repeat(n[offs[:-1]], sizes)
+        found = pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(np.minimum(before, np.repeat(most, sizes)).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found], [*batch.schema.names[:-2], "line_index"])
+
+
+def with_token_lines(rows: DataFrame, text_col: str, lines: Column, budget: Column, pattern: str = PIECE) -> DataFrame:
+    """``rows`` with ``line_index``, the lines of :func:`token_lines` of a text's first ``budget`` tokens, in order, and
+    without the text, which has ``lines`` lines. A token's line is the number of line ends in the tokens before it, as no token parts one; so a text
+    is looked at in its own row, and nothing is shuffled. No tokens or a null text: an empty list."""
+    kept = [c for c in rows.columns if c != text_col]
+    pieces = F.slice(F.coalesce(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")), F.lit(1), F.greatest(F.coalesce(budget, F.lit(0)), F.lit(0)))
+    ends = F.transform(pieces, lambda p: F.size(F.regexp_extract_all(p, F.lit(rf"\r\n|[{_END}]"), F.lit(0))))
+    asked = rows.select(*kept, F.greatest(F.coalesce(lines, F.lit(1)) - 1, F.lit(0)).alias("__most"), ends.alias("__ends"))
+    return asked.mapInArrow(_running, StructType([*(rows.schema[c] for c in kept), StructField("line_index", ArrayType(IntegerType()))]))
+
+
 def encoded(rows: DataFrame, tokens: DataFrame, budget: Column, structural: Column) -> DataFrame:
-    """(id, error, line_index, keep, roles, confidences, hard_negative) of rows (id, code_lines, line_keep_labels,
-    line_roles, line_confidences, line_numbers, hard_spans): per token, within the row's ``budget`` of tokens, its line's
-    label, role number, confidence and whether its line lies in a hard negative's span; roles of rows that are not
-    ``structural`` are ``IGNORED``. ``error``: the line arrays don't fit the lines, or no token is left.
+    """:func:`labelled` of rows (id, ..) and of ``tokens`` (id, token, line), within the row's ``budget`` of tokens.
 
     Only tokens within the budget are gathered, one array a text; labels are then read by place."""
-    sized = rows.withColumn("budget", budget).withColumn("structural", structural)
+    sized = rows.withColumn("budget", budget)
     cut = tokens.join(sized.select("id", "budget"), "id").where(F.col("token") < F.col("budget"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("token", "line"))), lambda x: x["line"])
-    both = sized.join(cut.groupBy("id").agg(lines.alias("line_index")), "id", "left")
+    return labelled(sized.join(cut.groupBy("id").agg(lines.alias("line_index")), "id", "left"), structural)
+
+
+def labelled(rows: DataFrame, structural: Column) -> DataFrame:
+    """(id, error, line_index, keep, roles, confidences, hard_negative) of rows (id, code_lines, line_keep_labels,
+    line_roles, line_confidences, line_numbers, hard_spans, line_index): per token its line's label, role number,
+    confidence and whether its line lies in a hard negative's span; roles of rows that are not ``structural`` are
+    ``IGNORED``. ``error``: the line arrays don't fit the lines, or no token is left."""
+    both = rows.withColumn("structural", structural)
     n = F.col("code_lines")
     names = ("line_keep_labels", "line_roles", "line_confidences", "line_numbers")
     fits = n > 0
@@ -67,12 +100,13 @@ def encoded(rows: DataFrame, tokens: DataFrame, budget: Column, structural: Colu
         fits = fits & F.coalesce(F.size(c) == n, F.lit(False))
     error = F.when(~fits, "line arrays do not align").when(F.coalesce(F.size("line_index"), F.lit(0)) < 1, "no tokens")
     at = lambda f: F.when(error.isNull(), F.transform("line_index", f))
-    role = F.transform("line_roles", lambda r: F.when(r == "DROP", ROLES["DROP"]).when(r == "SUPPORT", ROLES["SUPPORT"]).when(r == "CORE", ROLES["CORE"]).otherwise(IGNORED))
-    hard = F.transform("line_numbers", lambda x: F.exists("hard_spans", lambda s: (s["start"] <= x) & (x <= s["stop"])))
-    told = both.withColumns({"__role": role, "__hard": hard})
-    return told.select(
+    # by token, not as arrays by line: Spark would make those anew for each token
+    role = lambda r: F.when(r == "DROP", ROLES["DROP"]).when(r == "SUPPORT", ROLES["SUPPORT"]).when(r == "CORE", ROLES["CORE"]).otherwise(IGNORED)
+    role_at = lambda i: F.when(i < F.size("line_roles"), role(F.get("line_roles", i)))
+    hard_at = lambda i: F.exists("hard_spans", lambda s: (s["start"] <= F.get("line_numbers", i)) & (F.get("line_numbers", i) <= s["stop"]))
+    return both.select(
         "id", error.alias("error"), at(lambda i: i).alias("line_index"), at(lambda i: F.get("line_keep_labels", i)).alias("keep"),
-        at(lambda i: F.when(F.col("structural"), F.get("__role", i)).otherwise(IGNORED)).alias("roles"), at(lambda i: F.get("line_confidences", i)).alias("confidences"), at(lambda i: F.coalesce(F.get("__hard", i), F.lit(False))).alias("hard_negative"))
+        at(lambda i: F.when(F.col("structural"), role_at(i)).otherwise(IGNORED)).alias("roles"), at(lambda i: F.get("line_confidences", i)).alias("confidences"), at(lambda i: F.coalesce(hard_at(i), F.lit(False))).alias("hard_negative"))
 
 
 def line_means(tokens: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from loam.functions import code
 from loam.functions import text as T
 from loam.operators import alignment, building, graph, ordering, patches, records, relations
 from loam.plans.catalog import query, read, sql_lines
-from loam.plans.dataset import SAMPLES, samples
+from loam.plans.dataset import SAMPLES, marked, samples
 from loam.sources import indexed
 from loam.storage import work_dir, written
 
@@ -168,12 +168,11 @@ B AS (SELECT A.doc_id, k, least(line, len(ls) - 1) line, keep, roles, ls FROM A
 SELECT doc_id, CAST(count(*) AS INTEGER) tokens, CAST(max(line) + 1 AS INTEGER) seen_lines, sha256(string_agg(CAST(line AS VARCHAR), ',' ORDER BY k)) line_index, sum(keep[line + 1])::BIGINT kept, string_agg(CASE roles[line + 1] WHEN 'CORE' THEN '2' WHEN 'SUPPORT' THEN '1' ELSE '0' END, '' ORDER BY k) roles, round(avg(length(ls[line + 1]) * 1.0), 6) AS mean_length FROM B GROUP BY doc_id""")
 def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of each text by their lines and labels, within what its query leaves of 600."""
-    docs = read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
-    s = samples(spark, sf_dir).join(docs, "doc_id")
+    s = marked(read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", T.splitlines(F.col("text")).alias("ls")))  # a line at least
     n = F.size("ls")
     rows = s.select(F.col("doc_id").alias("id"), "text", n.alias("code_lines"), F.col("keep").alias("line_keep_labels"), F.col("roles").alias("line_roles"), F.transform("ls", lambda x: F.length(x).cast("double")).alias("line_confidences"), F.sequence(F.lit(1), n).alias("line_numbers"), F.array().cast("array<struct<start:int,stop:int>>").alias("hard_spans"))
     budget = alignment.budgets(F.floor(F.length("text") / 100), 601, 1, 1)["code"]
-    got = alignment.encoded(rows, alignment.token_lines(docs, "doc_id", "text"), budget, F.lit(True))
+    got = alignment.labelled(alignment.with_token_lines(rows, "text", F.col("code_lines"), budget), F.lit(True))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return got.where("error is null").select(
         F.col("id").alias("doc_id"), F.size("keep").alias("tokens"), (F.array_max("line_index") + 1).alias("seen_lines"), F.sha2(F.array_join(F.col("line_index").cast("array<string>"), ","), 256).alias("line_index"), total("keep").cast("long").alias("kept"),

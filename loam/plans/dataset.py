@@ -16,7 +16,10 @@ list_transform(ls, lambda x: CAST(length(x) % 3 = 0 AS INTEGER)) keep FROM (SELE
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.splitlines(F.col("text")).alias("ls")).where(F.size("ls") > 0)
+    return marked(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.splitlines(F.col("text")).alias("ls")).where(F.size("ls") > 0))
+
+
+def marked(docs: DataFrame) -> DataFrame:
     role = lambda x: F.when(F.length(x) % 9 == 0, "CORE").when(F.length(x) % 3 == 0, "SUPPORT").otherwise("DROP")
     return docs.select("*", F.transform("ls", role).alias("roles"), F.transform("ls", lambda x: (F.length(x) % 3 == 0).cast("int")).alias("keep"))
 
