@@ -10,6 +10,16 @@ from loam.operators import relations
 from loam.storage import written
 
 
+#: Anchors that may be sent to all tasks.
+FEW = 1_000
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has up to ``FEW`` rows: what it meets then stays where it is, however much of
+    it has one key."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def last_definitions(names: DataFrame, symbol: str = "symbol", at: str = "at") -> DataFrame:
     """(source, target): each block's use of a name with the block before it, in the same symbol, that defined it last.
 
@@ -43,15 +53,19 @@ def mined(anchors: DataFrame, blocks: DataFrame, related: DataFrame, keys: list[
     anchor among the blocks of its keys.
 
     ``anchors`` (keys, anchor, name, words, issue, class, file) meet ``blocks`` (keys, block, name, words, class, file) by
-    an equi-join, so the pairs are the blocks times the anchors of their repository, a few; sets of words are made once
-    a block. Blocks of ``related`` (source, target) edges are none. Ranks are limited before the shuffle. A null class is
-    no shared one; null words are none."""
-    bare = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    a = anchors.select(*keys, "anchor", F.struct("name", bare(F.col("words")).alias("words"), bare(F.col("issue")).alias("issue"), "class", "file").alias("a"))
-    b = blocks.select(*keys, "block", F.struct("name", bare(F.col("words")).alias("words"), "class", "file").alias("b"))
-    scored = a.join(b, keys).where("anchor <> block").withColumns({
-        "names": F.coalesce(T.name_similarity(F.col("a.name"), F.col("b.name")), F.lit(0.0)), "lexical": T.jaccard(F.col("a.words"), F.col("b.words")), "issue": T.jaccard(F.col("a.issue"), F.col("b.words")),
-        "same_class": F.coalesce((F.col("a.class") == F.col("b.class")) & (F.col("a.class") != ""), F.lit(False)), "same_file": F.coalesce(F.col("a.file") == F.col("b.file"), F.lit(False))})
+    an equi-join, so the pairs are the blocks times the anchors of their repository, a few; sets of words, of names too, are
+    made once a block and met once a pair, unions are told by sizes. Up to ``FEW`` anchors are sent to the blocks. Blocks of
+    ``related`` (source, target) edges are none. Ranks are limited before the shuffle. A null class is no shared one; null
+    words are none."""
+    bare = lambda c: F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    part = lambda *more: F.struct(T.name_words(F.col("name")).alias("name"), bare("words").alias("words"), *more, "class", "file")
+    a = if_few(written(anchors.select(*keys, "anchor", part(bare("issue").alias("issue")).alias("a")), "anchors"))
+    b = blocks.select(*keys, "block", part().alias("b"))
+    met = lambda x, y: F.size(F.array_intersect(x, y))
+    both = b.join(a, keys).where("anchor <> block").withColumns({"__n": met("a.name", "b.name"), "__w": met("a.words", "b.words"), "__i": met("a.issue", "b.words")})
+    share = lambda n, x, y: F.coalesce(F.when(F.size(x) + F.size(y) == 0, 0.0).otherwise(F.col(n) / (F.size(x) + F.size(y) - F.col(n))), F.lit(0.0))
+    scored = both.select("anchor", "block", F.when(F.col("a.name").isNotNull() & F.col("b.name").isNotNull(), share("__n", "a.name", "b.name")).otherwise(0.0).alias("names"), share("__w", "a.words", "b.words").alias("lexical"), share("__i", "a.issue", "b.words").alias("issue"),
+        F.coalesce((F.col("a.class") == F.col("b.class")) & (F.col("a.class") != ""), F.lit(False)).alias("same_class"), F.coalesce(F.col("a.file") == F.col("b.file"), F.lit(False)).alias("same_file"))
     scored = scored.select("anchor", "block", "same_file", "same_class", relations.negative_type(F.col("same_class"), F.col("names"), F.col("lexical"), F.col("issue"), F.col("same_file")).alias("negative_type"), F.round(F.greatest("names", "lexical", "issue"), 4).alias("similarity"))
     order = Window.partitionBy("anchor").orderBy(F.desc("same_file"), F.desc("same_class"), F.desc("similarity"), "block")
     # scores alone, not words, are shuffled to the related pairs

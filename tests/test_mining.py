@@ -170,3 +170,26 @@ def test_anchors_that_repeat_others_meet_no_profile_again(spark):
     want = {(a, b, at + 1) for _, a, ac in anchors for at, (_, b) in enumerate(sorted((bc != ac, b) for _, b, bc in blocks if a != b and {a, b} != {0, 6})[:3])}
     assert {(r.anchor, r.block, r["rank"]) for r in got} == want and len(got) == len(want)
     assert met.value <= 60  # two distinct anchors and three profiles, some evaluations each
+
+
+def test_mined_negatives_reads_texts_once_and_leaves_blocks_where_they_are(spark):
+    plan = mining_plans.mined_negatives(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "documents.parquet" not in plan and "array_union" not in plan
+    rows = [("r", k, None if k == 3 else f"a_b{k % 3}", [f"w{k % 5}", "w1"] if k % 4 else None, "c", "f") for k in range(12)]
+    blocks = spark.createDataFrame(rows, "repo string, block int, name string, words array<string>, class string, file string")
+    anchors = blocks.where("block < 4").withColumnRenamed("block", "anchor").withColumn("issue", F.array(F.lit("w1")))
+    few, mining.FEW = mining.FEW, 0
+    try:
+        many = mining.mined(anchors, blocks, spark.createDataFrame([(0, 5)], "source int, target int"), ["repo"], 6).collect()
+    finally:
+        mining.FEW = few
+    want = set()
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    for _, a, an, aw, *_ in rows[:4]:
+        near = []
+        for _, b, bn, bw, *_ in rows:
+            if a != b and {a, b} != {0, 5}:
+                names = share(set(an.split("_")), set(bn.split("_"))) if an and bn else 0.0
+                near.append((-round(max(names, share(set(aw or []), set(bw or [])), share({"w1"}, set(bw or []))), 4), b))
+        want |= {(a, b, -n, at + 1) for at, (n, b) in enumerate(sorted(near)[:6])}
+    assert {(r.anchor, r.block, r.similarity, r["rank"]) for r in many} == want
