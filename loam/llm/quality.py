@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm import kneser_ney
 from loam.llm import textvec as tv
-from loam.llm.common import flat, if_small, slices, stash, texts_of
+from loam.llm.common import Scratch, flat, if_small, slices, stash, texts_of
+from loam.llm.kneser_ney import START, discounts
 
-#: Trusted rows whose n-grams are counted at most, shared out alike to all languages; thinned by the hash of doc_id. The
-#: model is sent to all tasks: some 400 distinct n-grams a row, 12 bytes each. All other trusted rows give thresholds.
-TRUSTED = 2_400
+#: Trusted rows of all languages whose n-grams are counted: no bound. ``classify`` takes one for a caller who wants it.
+TRUSTED = math.inf
 #: Shares of the trusted texts of a language and length beyond which thresholds begin, and by how much of their
 #: distance from the middle they are widened: a clean text that is a little less usual than all trusted ones stays.
 TAIL, WIDER = 0.01, 0.8
@@ -23,7 +25,6 @@ TAIL, WIDER = 0.01, 0.8
 LEAST = 60
 #: Of the trusted rows of a language, one in so many is not counted, however few there are.
 ASIDE = 2
-START = np.uint64(0x1D8E4E27C47D124F)
 _GRAMS = "a long, b long, c long, n long"
 
 
@@ -117,9 +118,7 @@ def _order(counts: DataFrame, context: list[str], word: str) -> tuple[DataFrame,
     """(context, word, share) and (context, left) of one order: counts less the three discounts, over the context's
     total; the discounts, which depend on counts of counts, are what the context leaves to the order below."""
     of = {r[0]: r[1] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*")).collect()}
-    n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    d = [max(0.05, min(k - 0.05, k - (k + 1) * y * up / down if down else 0.5 * k)) for k, down, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    d = discounts(*(of.get(k, 0) for k in (1, 2, 3, 4)))
     less = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     totals = counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(less).alias("less"))
     shares = counts.join(totals.select(*context, "total"), context).select(*context, word, ((F.col("n") - less) / F.col("total")).alias("share"))
@@ -136,12 +135,13 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table(rows: DataFrame, keys: list[str], value: str, plus: float = 0.0) -> Table:
-    got = rows.select(*keys, value).mapInArrow(_hashed, "h long, v float").toArrow()  # n-grams of at most TRUSTED texts
+    got = rows.select(*keys, value).mapInArrow(_hashed, "h long, v float").toArrow()  # a model for small tables
     return Table.of(got.column("h").to_numpy().view(np.uint64), got.column("v").to_numpy() + np.float32(plus))
 
 
 def fit_model(texts: DataFrame) -> Model:
-    """A trigram model of ``texts`` (text): counts of the highest order, and below it in how many contexts a word
+    """A trigram model of few ``texts`` (text), which :func:`score` sends to all tasks; :func:`classify` uses
+    :mod:`kneser_ney`, where the same model has no such bound. Counts of the highest order, and below it in how many contexts a word
     stands, are sums sharded by n-gram, joined with their contexts' totals."""
     tri = stash(texts.mapInArrow(_counts, _GRAMS).groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
     bi = stash(tri.groupBy("b", "c").agg(F.count("*").alias("n")), "bigrams")
@@ -167,12 +167,12 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("size", F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: float = TRUSTED) -> DataFrame:
     """(doc_id, lang, n_words, log_ppl, low, high, kept) for each row of ``docs`` (doc_id, text, lang).
 
-    Trusted are the texts with ``labels.quality`` 1. The n-grams of at most ``most`` of them are counted, as many of each
-    language; every text of ``docs`` is then scored once. The scores of all the other trusted texts, which are those of
-    unseen text, give the thresholds: quantiles by language and binary order of length, as a short text's perplexity
+    Trusted are the texts with ``labels.quality`` 1. The n-grams of half of them are counted, by the hash of doc_id (of
+    ``most`` at most, as many of each language, if that is given); every text of ``docs`` is then scored once. The scores
+    of the other half, which are those of unseen text, give the thresholds: quantiles by language and binary order of length, as a short text's perplexity
     varies more; groups with few trusted texts use their language's, then all texts'. A text is kept between the two:
     junk is too surprising (symbols, shouting) or not surprising enough (one word over and over).
 
@@ -182,15 +182,15 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFra
     Empty table: no rows. Other columns: ignored."""
     trusted = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
+    scratch = Scratch(docs.sparkSession, "quality")
     known = stash(base.where("text is not null").select("doc_id", "lang").join(trusted, F.col("doc_id") == F.col("id"), "left_semi").distinct(), "trusted")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     langs = max(1, sizes.count())
     rate = F.least(F.lit(1 - 1 / ASIDE), F.lit(float(most)) / langs / F.col("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.floor(rate * (1 << 20))
     counted = stash(known.join(F.broadcast(sizes), known["lang"].eqNullSafe(sizes["lang"])).where(draw).select(F.col("doc_id").alias("id")).distinct(), "counted")
-    train = stash(base.where("text is not null").join(F.broadcast(counted), F.col("doc_id") == F.col("id"), "left_semi").select("text"), "trusted-texts")  # some ``most`` ids
-    scored = stash(_grouped(_with_lang(base, fit_model(train))), "perplexities")
-    rest = known.join(F.broadcast(counted), F.col("doc_id") == F.col("id"), "left_anti").select(F.col("doc_id").alias("id")).distinct()
+    scored = _grouped(kneser_ney.score(base, counted, scratch))
+    rest = known.join(if_small(counted), F.col("doc_id") == F.col("id"), "left_anti").select(F.col("doc_id").alias("id")).distinct()
     seen = scored.where("log_ppl is not null").join(if_small(stash(rest, "unseen")), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "size", "log_ppl")
 
     def bounds(by: list[str], name: str) -> DataFrame:
@@ -209,19 +209,6 @@ def _no_bounds(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.range(1).select(F.lit(None).cast("struct<low:double,high:double>").alias("t3"))
 
 
-def _with_lang(base: DataFrame, model: Model) -> DataFrame:
-    sent = base.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, lo = batch.column("lang"), 0
-            for out in _perplexities([batch], sent.value):
-                yield pa.RecordBatch.from_arrays([*out.columns, langs.slice(lo, out.num_rows)], ["doc_id", "n_words", "log_ppl", "lang"])
-                lo += out.num_rows
-
-    return base.mapInArrow(run, SCORED + ", lang string")
-
-
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`classify` rejects; rows of one doc_id go if any of them is rejected, and
     rows without a doc_id stay."""
