@@ -12,15 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm import common
 from loam.llm import textvec as tv
 from loam.llm.common import Scratch, flat, if_small, shuffles_freed, slices, trim
 from loam.llm.word_model import pack, unpack
 
 #: Bytes of text that are asked for together, and of text whose n-grams a shard counts.
 CHUNK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
-#: In how many parts, by their shards, pairs of words and words are asked for (powers of two, 8 at most, as there are no
-#: fewer shards), and in how many, by their chunks, trigrams: questions of one part are on disk at a time.
-PAIR_PARTS, WORD_PARTS, CHUNK_PARTS = 4, 2, 4
+#: In how many parts, by their shards, pairs of words are learned (a power of two, 8 at most, as there are no fewer
+#: shards), and in how many, by a hash of their rows, texts are scored: chunks and questions of one part are on disk at a time.
+PAIR_PARTS, TEXT_PARTS = 4, 4
 #: What stands before a text's first word, twice.
 START = np.uint64(0x1D8E4E27C47D124F)
 _START = np.array([START])
@@ -28,11 +29,14 @@ _BOTH = tv.join2(_START, _START)
 #: A trigram's leading bits are those of its first two words, so that both are in one shard.
 _TOP, _LOW = np.uint64(0xFFFF << 48), np.uint64(16)
 _STATS = "n1 long, n2 long, n3 long, n4 long, kinds long, total long"
+_STRUCT = f"struct<{_STATS.replace(' long', ': long')}>"
 _CHUNK = "chunk long, doc_id array<long>, lang array<string>, sizes array<int>, places binary, words binary"
-_ASKED = "chunk long, shard int, pairs binary, n_next binary, next binary, times binary, n_prev binary, prev binary"
-_TOLD = f"chunk long, shard int, here binary, total binary, k1 binary, k2 binary, k3 binary, trigrams binary, n_trigrams binary, tri struct<{_STATS.replace(' long', ': long')}>, bi struct<{_STATS.replace(' long', ': long')}>"
-_ASKED_WORDS = "chunk long, shard int, words binary, here binary, total binary, k1 binary, k2 binary, k3 binary"
-_TOLD_WORDS = f"chunk long, shard int, here binary, total binary, k1 binary, k2 binary, k3 binary, uni struct<{_STATS.replace(' long', ': long')}>"
+_LEARNED = "chunk long, shard int, pairs binary, n_next binary, next binary, times binary, n_prev binary, prev binary"
+_PAIRS = f"chunk long, shard int, first binary, pairs binary, here binary, total binary, k1 binary, k2 binary, k3 binary, trigrams binary, n_trigrams binary, tri {_STRUCT}, bi {_STRUCT}"
+_LEARNED_WORDS = "shard int, words binary, here binary, total binary, k1 binary, k2 binary, k3 binary"
+_WORDS = f"shard int, words binary, w_here binary, w_total binary, w_k1 binary, w_k2 binary, w_k3 binary, uni {_STRUCT}"
+_ASKED = "chunk long, shard int, pairs binary, words binary"
+_TOLD = "chunk long, shard int, here binary, total binary, k1 binary, k2 binary, k3 binary, w_here binary, w_total binary, w_k1 binary, w_k2 binary, w_k3 binary"
 _ASKED_TRIGRAMS, _TOLD_TRIGRAMS = "chunk long, shard int, trigrams binary", "chunk long, shard int, n_trigrams binary"
 SCORED = "doc_id long, n_words long, log_ppl double, lang string"
 
@@ -68,15 +72,25 @@ class Order:
         return np.where(total > 0, (self.d[1] * k1 + self.d[2] * k2 + self.d[3] * k3) / np.maximum(total, 1), 1.0)
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the text of each word, a slice at a time, as ``tv.words`` makes several arrays of 8 bytes for each byte."""
+    h, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, _, b, o in slices(buf, offs):
+        x, _, _, d = tv.words(b, o, lower=False)
+        h.append(x)
+        doc.append(d + lo)
+    return np.concatenate(h), np.concatenate(doc)
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], part: int = 0) -> Iterator[pa.RecordBatch]:
     """A row for some ``CHUNK_BYTES`` of whole texts: their distinct words and each token's place among them."""
     from pyspark import TaskContext
 
-    chunk = TaskContext.get().partitionId() << 32
+    chunk = (part << 56) + (TaskContext.get().partitionId() << 32)
     for batch in batches:
         buf, offs = flat(batch.column("text"))
         for lo, hi, b, o in slices(buf, offs, CHUNK_BYTES):
-            h, _, _, doc = tv.words(b, o, lower=False)
+            h, doc = _tokens(b, o)
             words, places, n = np.unique(h, return_inverse=True, return_counts=True)
             order = np.lexsort((words, -n))  # small places for frequent words are stored in fewer bytes
             places = np.argsort(order)[places]
@@ -134,26 +148,23 @@ def _within(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == np.uint64(part)
 
 
-def _asked(batches: Iterable[pa.RecordBatch], bits: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """For each shard of a part a chunk's pairs of words in it; of its learned trigrams, by their first two words, which
-    and how often, and by their last two words, after which."""
+def _learned(batches: Iterable[pa.RecordBatch], bits: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """For each shard of a part a chunk's pairs of words in it; of its trigrams, by their first two words, which and how
+    often, and by their last two words, after which."""
     for batch in batches:
         for row in batch.to_pylist():
-            yield from _asked_of(row, bits, part, parts).to_batches()
+            yield from _learned_of(row, bits, part, parts).to_batches()
             trim()
 
 
-def _asked_of(row: dict, bits: int, part: int, parts: int) -> pa.Table:
+def _learned_of(row: dict, bits: int, part: int, parts: int) -> pa.Table:
     c = _Chunk(row)
-    learn = np.zeros(len(c.sizes), bool)
-    learn[row["at"] or []] = True
-    learn = learn[c.text]
     ahead, both = _within(c.ahead, part, parts), _within(c.both, part, parts)
     pairs = np.unique(np.concatenate([c.both[both], _BOTH[_within(_BOTH, part, parts)]]))
 
     def distinct(where: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The distinct learned trigrams' tokens in the order of their pairs, their counts, and how many a pair has."""
-        at = np.flatnonzero(learn & where)
+        """The distinct trigrams' tokens in the order of their pairs, their counts, and how many a pair has."""
+        at = np.flatnonzero(where)
         _, first, n = np.unique(c.trigrams(at), return_index=True, return_counts=True)
         of = np.searchsorted(pairs, by[at[first]])
         order = np.argsort(of, kind="stable")
@@ -169,7 +180,7 @@ def _asked_of(row: dict, bits: int, part: int, parts: int) -> pa.Table:
         k = slice(cuts[s], cuts[s + 1])
         x, p = (slice(y[k.start], y[k.stop]) for y in (nexts, prevs))
         out.append((row["chunk"], s, pack(pairs[k], True), pack(n_next[k]), pack(following[x]), pack(times[x]), pack(n_prev[k]), pack(previous[p])))
-    return _rows(out, _ASKED)
+    return _rows(out, _LEARNED)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "stats": pa.struct([(x.split()[0], pa.int64()) for x in _STATS.split(", ")])}
@@ -177,7 +188,7 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "stats":
 
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
     trim()
-    plain = schema.replace(f"struct<{_STATS.replace(' long', ': long')}>", "stats")
+    plain = schema.replace(_STRUCT, "stats")
     kinds = [x.split() for x in plain.split(", ")]
     cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
     return pa.table([pa.array(list(x), _TYPES[kind]) for x, (_, kind) in zip(cols, kinds, strict=True)], [name for name, _ in kinds])
@@ -192,10 +203,11 @@ def _kinds(groups: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.bincount(groups, weights=n, minlength=size).astype(np.int64), *(np.bincount(groups[w], minlength=size) for w in (n == 1, n == 2, n >= 3))]
 
 
-def _told(rows: pa.Table) -> pa.Table:
-    """A shard's answers for the pairs of words that each chunk asked for, in its order: after how many words the second
-    stands behind the first (twice that, and one more in the one row of all that is to hand the pair on), and how often
-    and with how many words once, twice and more often the pair is gone on. The first row has the shard's trigrams."""
+def _pairs(rows: pa.Table) -> pa.Table:
+    """A shard's pairs of words and trigrams, in the first row, and for each chunk of learned texts, in its order, the
+    pairs that it alone is to hand on to the counts of words: after how many words the second stands behind the first, 0
+    for others. Of pairs the shard keeps that and how often and with how many words once, twice and more often they are
+    gone on."""
     get = lambda name, rising=False: [unpack(x, rising) for x in rows.column(name).to_pylist()]
     keys = get("pairs", True)
     found, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -206,12 +218,12 @@ def _told(rows: pa.Table) -> pa.Table:
     pair = np.repeat(back, np.concatenate(get("n_prev")).astype(np.int64))
     _, at = np.unique(tv.join2(found[pair], np.concatenate(get("prev"))), return_index=True)
     here = np.bincount(pair[at], minlength=len(found))
-    told = [2 * here[back], *(x[back] for x in after)]
-    told[0][first[here > 0]] += 1
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    told = [[pack(x) for x in np.split(t, cuts)] for t in told]
-    extra = [(pack(trigrams, True), pack(n), _stats(n), _stats(here))] + [(None,) * 4] * (rows.num_rows - 1)
-    return _rows([(c, s, *t, *x) for c, s, *t, x in zip(rows.column("chunk").to_pylist(), rows.column("shard").to_pylist(), *told, extra, strict=True)], _TOLD)
+    hands = np.zeros(len(back), np.int64)
+    hands[first] = here
+    hands = [pack(x) for x in np.split(hands, np.cumsum([len(k) for k in keys])[:-1])]
+    held = (pack(found, True), *(pack(x) for x in (here, *after)), pack(trigrams, True), pack(n), _stats(n), _stats(here))
+    extra = [held] + [(None,) * len(held)] * (rows.num_rows - 1)
+    return _rows([(c, s, h, *x) for c, s, h, x in zip(rows.column("chunk").to_pylist(), rows.column("shard").to_pylist(), hands, extra, strict=True)], _PAIRS)
 
 
 def _joined(told: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -221,39 +233,65 @@ def _joined(told: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 _PARTS = ("here", "total", "k1", "k2", "k3")
+_W_PARTS = tuple(f"w_{c}" for c in _PARTS)
 
 
 def _wanted(c: _Chunk, here: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The tokens that trigrams end at which may have been learned, as both of their pairs of words were."""
-    return np.flatnonzero((total[c.before] > 0) & (here[c.pair] > 1))
+    return np.flatnonzero((total[c.before] > 0) & (here[c.pair] > 0))
 
 
-def _asked_words(chunk: pa.Table, told: pa.Table, bits: int, part: int, parts: int) -> pa.Table:
-    """For each shard of a part a chunk's words in it, with what the pairs that the chunk is to hand on add to their
+def _learned_words(chunk: pa.Table, told: pa.Table, bits: int) -> pa.Table:
+    """For each shard a learned chunk's words in it, with what the pairs that the chunk is to hand on add to their
     counts."""
-    row = chunk.to_pylist()[0]
-    c, (here,) = _Chunk(row), _joined(told, _PARTS[:1])
+    c, (hands,) = _Chunk(chunk.to_pylist()[0]), _joined(told, ("first",))
     c.index()
     first = np.full(len(c.pairs), -1)
     first[c.pair] = np.arange(len(c.pair))  # a token of each pair
-    first = first[(here & 1 == 1) & (first >= 0)]
-    n, size = here[c.pair[first]] >> 1, len(c.words)
+    first = first[(hands > 0) & (first >= 0)]
+    n, size = hands[c.pair[first]], len(c.words)
     told = [np.bincount(c.word[first], minlength=size), *_kinds(c.prev[first], n, size)]
     cuts = _edges(c.words, bits)
-    mine = np.arange(1 << bits) * parts >> bits == part
-    used = [(s, slice(cuts[s], cuts[s + 1])) for s in np.flatnonzero(mine & (np.diff(cuts) > 0))]
-    return _rows([(row["chunk"], s, pack(c.words[w], True), *(pack(x[w]) for x in told)) for s, w in used], _ASKED_WORDS)
+    used = [(s, slice(cuts[s], cuts[s + 1])) for s in np.flatnonzero(np.diff(cuts))]
+    return _rows([(s, pack(c.words[w], True), *(pack(x[w]) for x in told)) for s, w in used], _LEARNED_WORDS)
 
 
-def _told_words(asked: pa.Table) -> pa.Table:
-    """A shard's answers for words: after how many words each stands, and how it is gone on."""
-    words = [unpack(x, True) for x in asked.column("words").to_pylist()]
+def _words(rows: pa.Table) -> pa.Table:
+    """A shard's words: after how many words each stands, and how it is gone on."""
+    words = [unpack(x, True) for x in rows.column("words").to_pylist()]
     found, back = np.unique(np.concatenate(words), return_inverse=True)
-    sums = [np.bincount(back, weights=np.concatenate([unpack(x) for x in asked.column(c).to_pylist()]), minlength=len(found)).astype(np.int64) for c in _PARTS]
-    cuts = np.cumsum([len(k) for k in words])[:-1]
-    told = [[pack(x) for x in np.split(s[back], cuts)] for s in sums]
-    stats = [_stats(sums[0])] + [None] * (asked.num_rows - 1)
-    return _rows(list(zip(asked.column("chunk").to_pylist(), asked.column("shard").to_pylist(), *told, stats, strict=True)), _TOLD_WORDS)
+    sums = [np.bincount(back, weights=np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]), minlength=len(found)).astype(np.int64) for c in _PARTS]
+    return _rows([(rows.column("shard")[0].as_py(), pack(found, True), *(pack(x) for x in sums), _stats(sums[0]))], _WORDS)
+
+
+def _asked(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """For each shard a chunk's pairs of words and words in it."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            c = _Chunk(row)
+            c.index()
+            cuts, w_cuts = _edges(c.pairs, bits), _edges(c.words, bits)
+            used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(w_cuts) > 0))
+            yield from _rows([(row["chunk"], s, pack(c.pairs[cuts[s] : cuts[s + 1]], True), pack(c.words[w_cuts[s] : w_cuts[s + 1]], True)) for s in used], _ASKED).to_batches()
+
+
+def _held(model: pa.Table, keys: str, values: Iterable[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What a shard has of some kind, nothing if it learned none: the keys in ascending order, and their values."""
+    raw = [(model.column(c)[0].as_py() if model.num_rows else None) or pack(np.zeros(0)) for c in (keys, *values)]
+    return unpack(raw[0], True), [unpack(x) for x in raw[1:]]
+
+
+def _looked_up(x: np.ndarray, keys: np.ndarray, values: list[np.ndarray]) -> list[bytes]:
+    """The values of ``x``, packed, 0 where there is none."""
+    at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
+    hit = keys[at] == x if len(keys) else np.zeros(len(x), bool)
+    return [pack(np.where(hit, v[at], 0) if len(keys) else np.zeros(len(x))) for v in values]
+
+
+def _told(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """A shard's answers for the pairs of words and the words of chunks, in their order."""
+    pairs, words = _held(model, "pairs", _PARTS), _held(model, "words", _W_PARTS)
+    return _rows([(chunk, shard, *_looked_up(unpack(p, True), *pairs), *_looked_up(unpack(w, True), *words)) for chunk, shard, p, w in zip(*(c.to_pylist() for c in asked.columns), strict=True)], _TOLD)
 
 
 def _asked_trigrams(chunk: pa.Table, told: pa.Table, bits: int) -> pa.Table:
@@ -266,24 +304,19 @@ def _asked_trigrams(chunk: pa.Table, told: pa.Table, bits: int) -> pa.Table:
     return _rows([(row["chunk"], s, pack(keys[cuts[s] : cuts[s + 1]], True)) for s in np.flatnonzero(np.diff(cuts))], _ASKED_TRIGRAMS)
 
 
-def _told_trigrams(asked: pa.Table, held: pa.Table) -> pa.Table:
+def _told_trigrams(asked: pa.Table, model: pa.Table) -> pa.Table:
     """A shard's answers for trigrams: their counts."""
-    keys, n = (unpack(held.column(c)[0].as_py(), c == "trigrams") if held.num_rows else np.zeros(0, np.uint64) for c in ("trigrams", "n_trigrams"))
-    out = []
-    for chunk, shard, x in zip(*(c.to_pylist() for c in asked.columns), strict=True):
-        x = unpack(x, True)
-        at = np.minimum(np.searchsorted(keys, x), max(0, len(keys) - 1))
-        out.append((chunk, shard, pack(np.where(keys[at] == x, n[at], 0) if len(keys) else np.zeros(len(x)))))
-    return _rows(out, _TOLD_TRIGRAMS)
+    held = _held(model, "trigrams", ["n_trigrams"])
+    return _rows([(chunk, shard, *_looked_up(unpack(x, True), *held)) for chunk, shard, x in zip(*(c.to_pylist() for c in asked.columns), strict=True)], _TOLD_TRIGRAMS)
 
 
 def _scored(chunk: pa.Table, told: pa.Table, tri: Order, bi: Order, uni: Order) -> pa.Table:
     row = chunk.to_pylist()[0]
     c = _Chunk(row)
     c.index()
-    of_pairs, of_words, of_trigrams = (told.filter(pc.equal(told.column("step"), x)) for x in range(3))
-    here, total, *kinds = _joined(of_pairs, _PARTS)
-    w_here, w_total, *w_kinds = _joined(of_words, _PARTS)
+    answers, of_trigrams = (told.filter(pc.equal(told.column("step"), x)) for x in range(2))
+    here, total, *kinds = _joined(answers, _PARTS)
+    w_here, w_total, *w_kinds = _joined(answers, _W_PARTS)
     (counts,) = _joined(of_trigrams, ("n_trigrams",))
     at = _wanted(c, here, total)
     _, places = np.unique(c.trigrams(at), return_inverse=True)
@@ -291,49 +324,57 @@ def _scored(chunk: pa.Table, told: pa.Table, tri: Order, bi: Order, uni: Order)
     n[at] = counts[places]
     unseen = uni.off / uni.total / (uni.kinds + 1) if uni.kinds else 1.0
     p = uni.share(w_here, uni.total)[c.word] + unseen
-    p = bi.share(here[c.pair] >> 1, w_total[c.prev]) + bi.left(w_total, *w_kinds)[c.prev] * p
+    p = bi.share(here[c.pair], w_total[c.prev]) + bi.left(w_total, *w_kinds)[c.prev] * p
     p = tri.share(n, total[c.before]) + tri.left(total, *kinds)[c.before] * p
     sums = np.bincount(c.text, weights=np.log10(p), minlength=len(c.sizes))
     return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(c.sizes), pa.array(-sums / np.maximum(c.sizes, 1), mask=c.sizes == 0), pa.array(row["lang"], pa.string())], _names(SCORED))
 
 
+def _parts(docs: DataFrame, parts: int) -> list[DataFrame]:
+    """Rows by a hash of all that they hold, so that rows without an id or of one id aren't in one part."""
+    return [docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [docs]
+
 
 def score(docs: DataFrame, learned: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_words, log_ppl, lang) of each row of ``docs`` (doc_id, text, lang): the mean of -log10 of its words'
     probabilities, null without words, by a model of the texts of the ids in ``learned`` (id, each once).
 
     All n-grams of all those texts are counted, and no table of them is gathered or broadcast: texts lie in chunks, which
-    ask shards of hashes. First a chunk asks for all its distinct pairs of words and says which trigrams its learned
-    texts have; a shard adds these up, under their first two words and under their last two, and answers. Then a chunk
-    asks for its words, and one chunk hands each learned pair on to the counts of its words. Last it asks for those
-    trigrams alone of which both pairs were learned, as no other can have been. What is shuffled grows with the texts, while a chunk
-    and a shard stay as large as they are. Steps are dropped from disk when they are read."""
+    deal with shards of hashes. First the learned texts alone are learned from: a chunk says which pairs of words and
+    trigrams it has; a shard adds these up, under their first two words and under their last two, and one chunk hands
+    each pair on to the counts of its words. Then all texts are scored, one part after the other: a chunk asks for its
+    words and pairs, and then for those trigrams alone of which both pairs were learned, as no other can have been. What
+    is shuffled grows with the texts, while a chunk and a shard stay as large as they are. Steps are dropped from disk
+    when they are read: while texts are scored, the shards' tables and one part's chunks, questions and answers are there.
+
+    Learned texts are picked where they lie if ids are few (:func:`common.if_small`); else texts meet ids part by part."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(3, int(np.ceil(np.log2(max(1, size / SHARD_BYTES))))))
-    by_shard = lambda rows: rows.repartition(1 << bits, "shard").groupBy("shard")
-    asking = lambda part: lambda a, b: _asked_words(a, b, bits, part, WORD_PARTS)
+    buckets, shards = max(12, 2 * size // CHUNK_BYTES), 1 << bits
+    by_shard = lambda rows: rows.repartition(shards, "shard").groupBy("shard")
     with shuffles_freed(spark):
-        chunks = scratch.add("chunks", docs.mapInArrow(_chunks, _CHUNK), max(4, 4 * size // CHUNK_BYTES), "chunk")
-        ids = chunks.select("chunk", F.posexplode("doc_id").alias("at", "id")).join(if_small(learned), "id", "left_semi")
-        own = scratch.put("learned", ids.groupBy("chunk").agg(F.collect_list("at").alias("at")))
-        known = chunks.join(if_small(own), "chunk", "left")
+        for k, own in enumerate(_parts(docs, 1 if learned.count() <= common.BROADCAST_ROWS else TEXT_PARTS)):
+            texts = own.join(if_small(learned), F.col("doc_id") == F.col("id"), "left_semi")
+            chunks = scratch.add("learned", texts.mapInArrow(lambda it, k=k: _chunks(it, k), _CHUNK), buckets, "chunk")
         for k in range(PAIR_PARTS):
-            asked = known.mapInArrow(lambda it, k=k: _asked(it, bits, k, PAIR_PARTS), _ASKED)
-            told = scratch.add("pairs", by_shard(asked).applyInArrow(_told, _TOLD), 1 << bits, "shard")
-        tri, bi = Order.of(told, "tri"), Order.of(told, "bi")
-        answers, held = told.select("chunk", "shard", *_PARTS), told.where("trigrams is not null").select("shard", "trigrams", "n_trigrams")
-        for k in range(WORD_PARTS):
-            asked = chunks.groupBy("chunk").cogroup(answers.select("chunk", "shard", "here").groupBy("chunk")).applyInArrow(asking(k), _ASKED_WORDS)
-            words = scratch.add("words", by_shard(asked).applyInArrow(_told_words, _TOLD_WORDS), 1 << bits, "shard")
-        uni, scored = Order.of(words, "uni"), []
-        for k in range(CHUNK_PARTS):
-            own, own_answers, own_words = (x.where(F.pmod(F.xxhash64("chunk"), F.lit(CHUNK_PARTS)) == k) for x in (chunks, answers, words.drop("uni")))
-            asked = own.groupBy("chunk").cogroup(own_answers.select("chunk", "shard", *_PARTS[:2]).groupBy("chunk")).applyInArrow(lambda a, b: _asked_trigrams(a, b, bits), _ASKED_TRIGRAMS)
-            counts = scratch.put(f"trigrams{k}", asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_told_trigrams, _TOLD_TRIGRAMS))
-            steps = [x.withColumn("step", F.lit(j)) for j, x in enumerate((own_answers, own_words, counts))]
-            told = steps[0].unionByName(steps[1]).unionByName(steps[2], allowMissingColumns=True)
-            scored.append(scratch.put(f"scores{k}", own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: _scored(a, b, tri, bi, uni), SCORED)))
-            scratch.drop(f"trigrams{k}")
-    scratch.drop("chunks", "learned", "pairs", "words")
+            asked = chunks.mapInArrow(lambda it, k=k: _learned(it, bits, k, PAIR_PARTS), _LEARNED)
+            pairs = scratch.add("pairs", by_shard(asked).applyInArrow(_pairs, _PAIRS), shards, "shard")
+        asked = chunks.groupBy("chunk").cogroup(pairs.select("chunk", "shard", "first").groupBy("chunk")).applyInArrow(lambda a, b: _learned_words(a, b, bits), _LEARNED_WORDS)
+        words = scratch.add("words", by_shard(asked).applyInArrow(_words, _WORDS), shards, "shard")
+        tri, bi, uni = Order.of(pairs, "tri"), Order.of(pairs, "bi"), Order.of(words, "uni")
+        scratch.drop("learned")
+        model = scratch.add("model", pairs.where("pairs is not null").drop("chunk", "first", "tri", "bi").join(words.drop("uni"), "shard", "full"), shards, "shard")
+        scratch.drop("pairs", "words")
+        looked, counted, scored = model.drop("trigrams", "n_trigrams").groupBy("shard"), model.select("shard", "trigrams", "n_trigrams").groupBy("shard"), []
+        for k, own in enumerate(_parts(docs, TEXT_PARTS)):
+            chunks = scratch.add(f"chunks{k}", own.mapInArrow(lambda it, k=k: _chunks(it, k), _CHUNK), buckets, "chunk")
+            asked = chunks.mapInArrow(lambda it: _asked(it, bits), _ASKED)
+            answers = scratch.put(f"answers{k}", by_shard(asked).cogroup(looked).applyInArrow(_told, _TOLD))
+            asked = chunks.groupBy("chunk").cogroup(answers.select("chunk", "shard", *_PARTS[:2]).groupBy("chunk")).applyInArrow(lambda a, b: _asked_trigrams(a, b, bits), _ASKED_TRIGRAMS)
+            counts = scratch.put(f"trigrams{k}", by_shard(asked).cogroup(counted).applyInArrow(_told_trigrams, _TOLD_TRIGRAMS))
+            told = answers.withColumn("step", F.lit(0)).unionByName(counts.withColumn("step", F.lit(1)), allowMissingColumns=True)
+            scored.append(scratch.put(f"scores{k}", chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: _scored(a, b, tri, bi, uni), SCORED)))
+            scratch.drop(f"chunks{k}", f"answers{k}", f"trigrams{k}")
+    scratch.drop("model")
     return reduce(DataFrame.unionAll, scored)

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loam.llm import kneser_ney, quality
+from loam.llm import common, kneser_ney, quality
 from loam.llm.common import Scratch
 
 
@@ -39,3 +39,26 @@ def test_half_of_the_trusted_are_counted_and_the_rest_give_thresholds(spark, mon
     docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
     got = quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality")))
     assert 2_800 < seen[0] < 3_200 and got.where("kept").count() == 6_000
+
+
+def test_few_texts_lie_on_disk_as_chunks(spark, monkeypatch):
+    """Of the texts that are scored no more than a part lies in chunks at a time; with many learned ids texts meet them
+    part by part, with the same scores."""
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), F.col("id") % 7, F.col("id") % 11).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionAll(docs.select(F.lit(None).cast("long"), "text", "lang"))
+    there, most, add, drop = {}, [], Scratch.add, Scratch.drop
+
+    def added(self, name, df, n, by):
+        out = add(self, name, df, n, by)
+        if "sizes" in out.columns:
+            there[name] = out.agg(F.sum(F.size("sizes"))).first()[0]
+            most.append(sum(there.values()))
+        return out
+
+    monkeypatch.setattr(Scratch, "add", added)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: [there.pop(x, None) for x in names] and drop(self, *names))
+    read = lambda: {(r.doc_id or r.lang, r.n_words, round(r.log_ppl, 9)) for r in kneser_ney.score(docs, spark.range(300).select("id"), Scratch(spark, "test")).collect()}
+    few = read()
+    assert len(few) > 900 and max(most) <= 900
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert read() == few
