@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loam.llm import language_model, minhash, warc, word_model
+from loam.llm import language_model, minhash, queries, warc, word_model
 
 
 @pytest.mark.parametrize("num", [75, 80])
@@ -69,3 +69,31 @@ def test_scores_from_counts_of_all_texts(spark):
     assert set(got) == set(want) and all(len(got[d]) == len(want[d]) and max(abs(a - b) for a, b in zip(got[d], want[d])) < 1e-9 for d in want)
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (word_model.unpack(word_model.pack(x, True), True) == x).all() and (word_model.unpack(word_model.pack(x[::-1])) == x[::-1]).all()
+
+
+def test_contexts_of_three_words(spark, tmp_path):
+    """op3 against plain Python with runs of up to four tokens; a held-out text that was learned from in another document is
+    told from one of the same words in other order."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(12)]
+    learned, held = ([k for k in range(400) if (zlib.crc32(str(k).encode()) % 7 == 2) == x] for x in (False, True))
+    rows = {k: [rng.choice(vocabulary) for _ in range(rng.randrange(4) if k % 9 == 0 else 40)] for k in learned}
+    twins, mixed = held[::2], held[1::2]
+    rows |= {k: rows[learned[3 * i + 1]] for i, k in enumerate(twins)}
+    rows |= {k: rng.sample(rows[twins[i]], len(rows[twins[i]])) for i, k in enumerate(mixed)}
+    spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id long, text string").repartition(6).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_lm_scoring(spark, f"file://{tmp_path}").collect()}
+    grams = lambda w, n: zip(*[([0] * (n - 1) + w)[k : k + len(w)] for k in range(n)])
+    counts = [Counter(g for k in learned for g in grams([*rows[k], None], n)) for n in range(1, 5)]
+    total, once = sum(counts[0].values()), sum(v == 1 for v in counts[0].values())
+    for k, words in rows.items():
+        want = 0.0
+        for gram in grams([*words, None], 4):
+            p = (counts[0][gram[3:]] or max(1, once)) / (total + max(1, once))
+            for n, weight in ((2, 100), (3, 300), (4, 1)):
+                before = gram[4 - n : 3]
+                p = (counts[n - 1][gram[4 - n :]] + weight * p) / ((counts[n - 2][before] if before[-1] else len(learned)) + weight)
+            want += math.log10(p)
+        assert abs(got[k].score - want) < 1e-9
+    per = lambda ks: [got[k].score / got[k].n_tokens for k in ks if got[k].n_tokens > 20]
+    assert min(per(twins)) > max(per(mixed))
